@@ -5,6 +5,11 @@ rows are range-partitioned on the order, sorted inside each partition, numbered
 locally by ``monotonically_increasing_id`` (consecutive inside a partition), and
 shifted by the row counts of the preceding partitions (a table with one row per
 partition, broadcast).  Requires a total order (unique order keys).
+
+Range bounds come from sampling, and the sample depends on the order in which
+shuffle blocks arrive, so the numbered rows are materialised once with a
+reliable checkpoint (shared ``spark.checkpoint.dir``) before the counts and the
+offsets are taken from them.  Callers pass narrow frames (keys + order columns).
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartwise.session import cut_lineage
+
 
 def global_row_number(df: DataFrame, order, name: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order`` (list of Columns/names)."""
@@ -22,9 +29,10 @@ def global_row_number(df: DataFrame, order, name: str = "rank", num_partitions:
     numbered = (ordered.withColumn("_mid", F.monotonically_increasing_id())
                        .withColumn("_pid", F.shiftright("_mid", 33))
                        .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
+    numbered = cut_lineage(numbered.drop("_mid"))
     sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (numbered.join(F.broadcast(offsets), "_pid")
                     .withColumn(name, F.col("_off") + F.col("_local") + 1)
-                    .drop("_mid", "_pid", "_local", "_off"))
+                    .drop("_pid", "_local", "_off"))

@@ -40,9 +40,27 @@ def processed(spark, sf, outliers=True):
     return preprocess(lines(spark, sf), JobParams(outlier_enabled=outliers))
 
 
+_MEMO: dict = {}
+
+
+def _memo(key, build):
+    """Persist a shared stage once per (session, input, parameters).
+
+    Persisted blocks are rebuilt from lineage if an executor is lost.
+    """
+    from pyspark.storagelevel import StorageLevel
+    hit = _MEMO.get(key)
+    if hit is None:
+        if len(_MEMO) > 16:
+            for old in list(_MEMO)[:8]:
+                _MEMO.pop(old).unpersist()
+        hit = _MEMO[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return hit
+
+
 def baskets(spark, sf):
     from cartwise.operators.baskets import create_baskets
-    return create_baskets(processed(spark, sf, outliers=False))
+    return _memo((id(spark), sf, "baskets"), lambda: create_baskets(processed(spark, sf, outliers=False)))
 
 
 def show_ts(c="InvoiceDate"):
@@ -71,7 +89,8 @@ RULE_CONFIDENCE = 0.02
 
 def bundles(spark, sf, min_support=BUNDLE_SUPPORT, max_size=3):
     from cartwise.operators.mining import mine_bundles
-    return mine_bundles(baskets(spark, sf), min_support, max_size)
+    return _memo((id(spark), sf, "bundles", min_support, max_size),
+                 lambda: mine_bundles(baskets(spark, sf), min_support, max_size))
 
 
 # Import the query modules so that they register themselves.
