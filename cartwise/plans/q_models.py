@@ -11,17 +11,23 @@ from cartwise.sources.tables import table
 
 # ------------------------------------------------------------------ shared Spark inputs
 def labelled(spark, sf):
-    b = baskets(spark, sf)
-    return X.label_baskets(b, bundles(spark, sf, BUNDLE_SUPPORT, 3))
+    from cartwise.plans.catalog import _memo
+    return _memo((id(spark), sf, "labelled"),
+                 lambda: X.label_baskets(baskets(spark, sf), bundles(spark, sf, BUNDLE_SUPPORT, 3)))
 
 
 def split(spark, sf):
     return X.random_split(labelled(spark, sf), 0.2, 42)
 
 
+def vocab_of(spark, sf):
+    from cartwise.plans.catalog import _memo
+    return _memo((id(spark), sf, "vocab"), lambda: X.vocabulary(baskets(spark, sf)))
+
+
 def nb_model(spark, sf, kind="multinomial"):
     data = split(spark, sf)
-    vocab = X.vocabulary(baskets(spark, sf))
+    vocab = vocab_of(spark, sf)
     train = data.filter(~F.col("is_test"))
     fit = MD.fit_multinomial_nb if kind == "multinomial" else MD.fit_gaussian_nb
     return fit(train, vocab), data
