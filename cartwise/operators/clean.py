@@ -130,3 +130,15 @@ def rejects(raw: DataFrame) -> DataFrame:
     valid = keep_positive_amounts(drop_missing_descriptions(remove_missing_customers(kept)))
     dups = duplicate_lines(valid).withColumn("reason", F.lit("Duplicate_transactions"))
     return cancelled.unionByName(no_cust).unionByName(dups)
+
+
+# P11 ----------------------------------------------------------------------------------
+def apply_aliases(df: DataFrame, aliases: DataFrame, col: str = "Description") -> DataFrame:
+    """Canonicalize ``col`` through an alias map (alias → canonical); unknown values stay.
+
+    The map is keyed by alias (one row each); Catalyst broadcasts it when its measured
+    size is under the broadcast threshold and shuffles otherwise.
+    """
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canon"))
+    return (df.join(a, F.col(col) == F.col("_alias"), "left")
+              .withColumn(col, F.coalesce(F.col("_canon"), F.col(col))).drop("_alias", "_canon"))
