@@ -8,6 +8,8 @@ overlap with bundles is a join on the item, ranking is a per-request window
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,12 +78,19 @@ def cross_sell(requests: DataFrame, bundles: DataFrame, top_n: int = 5, items: s
     """
     req = _req_items(requests, items)
     bi = bundles.select("bundle", "size", F.explode("items").alias("item"))
+    # Exact scores: numerators over the common denominator lcm(1..max size), so ties
+    # do not depend on the order in which a sum of fractions is added up.
+    max_size = bundles.agg(F.max("size")).first()[0] or 1
+    denom = 1
+    for k in range(2, int(max_size) + 1):
+        denom = denom * k // math.gcd(denom, k)
     overlap = req.join(bi, "item").groupBy(REQ, "bundle", "size").agg(F.count(F.lit(1)).alias("ov"))
     contrib = (overlap.join(bi.select("bundle", F.col("item").alias("product")), "bundle")
                .join(req.select(REQ, F.col("item").alias("product")), [REQ, "product"], "left_anti")
-               .groupBy(REQ, "product").agg(F.sum(F.col("ov") / F.col("size")).alias("score")))
-    w = Window.partitionBy(REQ).orderBy(F.desc("score"), "product")
-    pos = contrib.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+               .groupBy(REQ, "product").agg(F.sum(F.col("ov") * (F.lit(denom) / F.col("size")).cast("long")).alias("_num")))
+    w = Window.partitionBy(REQ).orderBy(F.desc("_num"), "product")
+    pos = (contrib.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+           .withColumn("score", F.col("_num") / F.lit(denom)))
     max_req = requests.agg(F.max(F.size(F.array_distinct(items)))).first()[0] or 0
     k = 2 * top_n + int(max_req)
     pad_list = (bi.select("item").distinct().orderBy("item").limit(k)

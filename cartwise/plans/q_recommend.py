@@ -80,10 +80,11 @@ rq AS (SELECT DISTINCT request_id, item FROM REQ),
 ov AS (SELECT r.request_id, b.bundle, b.size, count(*) AS ov FROM rq r JOIN bi2 b ON r.item = b.item GROUP BY r.request_id, b.bundle, b.size),
 cand AS (SELECT r.request_id, c.item AS product FROM (SELECT DISTINCT request_id FROM rq) r, (SELECT DISTINCT item FROM bi2) c
          WHERE NOT EXISTS (SELECT 1 FROM rq x WHERE x.request_id = r.request_id AND x.item = c.item)),
-xs AS (SELECT cand.request_id, cand.product, coalesce(sum(ov.ov / ov.size), 0) AS score FROM cand
+xs AS (SELECT cand.request_id, cand.product, CAST(coalesce(sum(ov.ov * (60 // ov.size)), 0) AS BIGINT) AS num,
+              coalesce(sum(ov.ov * (60 // ov.size)), 0) / 60 AS score FROM cand
        LEFT JOIN bi2 ON bi2.item = cand.product LEFT JOIN ov ON ov.request_id = cand.request_id AND ov.bundle = bi2.bundle
        GROUP BY cand.request_id, cand.product),
-xr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product) AS rank FROM xs) WHERE rank <= 5)
+xr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY num DESC, product) AS rank FROM xs) WHERE rank <= 5)
 """
 
 

@@ -8,14 +8,22 @@ from cartwise.plans import sqlparts as S
 from cartwise.plans.catalog import BUNDLE_SUPPORT, baskets, lines, processed, register
 from cartwise.sources.tables import table
 
-NORM_SQL = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
-            "lower(regexp_replace(coalesce(X, ''), '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), "
-            "'\\b(inches|inch|in\\.)\\b', 'in', 'g'), '\\b(centimeters|centimetres|cm\\.)\\b', 'cm', 'g'), "
-            "'\\b(grams|gram|g\\.)\\b', 'g', 'g'), '\\b(kilograms|kilogram|kg\\.)\\b', 'kg', 'g')")
+_W = "[\\pL\\pN_]"
+_NW = "[^\\pL\\pN_]"
+_UNITS = [("inches|inch", "in\\.", "in"), ("centimeters|centimetres", "cm\\.", "cm"),
+          ("grams|gram", "g\\.", "g"), ("kilograms|kilogram", "kg\\.", "kg")]
 
 
 def norm_sql(x):
-    return NORM_SQL.replace("X", x)
+    """P06 in DuckDB.  RE2's \\b is ASCII-only while Python's is Unicode-aware, so word
+    boundaries are spelled out with Unicode classes (each rule applied twice, because
+    a match consumes the separator the next match needs)."""
+    e = f"regexp_replace(lower(regexp_replace(coalesce({x}, ''), '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')"
+    for words, dotted, unit in _UNITS:
+        for _ in range(2):
+            e = f"regexp_replace({e}, '(^|{_NW})({words})({_NW}|$)', '\\1{unit}\\3', 'g')"
+            e = f"regexp_replace({e}, '(^|{_NW}){dotted}({_W})', '\\1{unit}\\2', 'g')"
+    return e
 
 
 @register("P06", f"SELECT doc_id, {norm_sql('text')} AS normalized FROM documents")
