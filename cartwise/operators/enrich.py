@@ -51,6 +51,9 @@ def ingest(raw: DataFrame, schema, check=None):
         body = F.when(body.startswith("["), F.concat(F.lit(f'{{"{schema.fields[0].name}": '), body, F.lit("}"))).otherwise(body)
     parsed = raw.withColumn("value", F.from_json(body, schema, {"mode": "PERMISSIVE"}))
     ok = (F.col("status") == "ok") & F.col("value").isNotNull()
+    if isinstance(schema, T.StructType):  # required fields (PERMISSIVE yields a struct of NULLs)
+        for f in schema.fields:
+            ok = ok & F.col("value")[f.name].isNotNull()
     if check is not None:
         ok = ok & F.coalesce(check(F.col("value")), F.lit(False))
     valid = parsed.filter(ok).select("key", "value")
