@@ -211,3 +211,17 @@ def f10(spark, sf):
     vocab = X.vocabulary(baskets(spark, sf))
     out = X.filter_unknown(requests(spark, sf), vocab)
     return out.select("request_id", F.array_join("known_items", "|").alias("known_items"), "n_dropped")
+
+
+@register("L16", S.with_ctes(*BASE, MNB, CV_SQL, body="""
+SELECT 'nb' AS model, r.accuracy AS random_accuracy, k.accuracy AS kfold_accuracy,
+       round(abs(r.accuracy - k.accuracy), 9) AS diff_accuracy,
+       r.f1 AS random_f1, k.f1 AS kfold_f1, round(abs(r.f1 - k.f1), 9) AS diff_f1
+FROM (""" + metrics_sql("pred WHERE is_test") + """) r,
+     (SELECT round(avg(accuracy), 9) AS accuracy, round(avg(f1), 9) AS f1 FROM fm) k"""))
+def l16(spark, sf):
+    model, data = nb_model(spark, sf)
+    rnd = MT.binary_metrics(model.predict_proba(data.filter("is_test"))).withColumn("model", F.lit("nb"))
+    kf = l13(spark, sf)
+    cmp = MT.compare(rnd, kf)
+    return cmp.select("model", "random_accuracy", "kfold_accuracy", "diff_accuracy", "random_f1", "kfold_f1", "diff_f1")
