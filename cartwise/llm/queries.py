@@ -74,3 +74,32 @@ FROM t
 def op9(spark, sf):
     from cartwise.llm.dedup import exact_dedup
     return exact_dedup(table(spark, sf, "documents"))
+
+
+@register("op10_simhash")
+def op10(spark, sf):
+    from cartwise.llm.simhash import simhash_classes
+    return simhash_classes(table(spark, sf, "documents"))
+
+
+@register("op8_fair_queue_mix", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+l AS (SELECT *, cap::DOUBLE / weight AS full_at, sum(source_size) OVER () AS total,
+        (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level
+      FROM w),
+water AS (SELECT level FROM l WHERE level <= full_at ORDER BY full_at, rank LIMIT 1),
+t AS (SELECT source, rank, source_size, total, coalesce(least(cap::DOUBLE, (SELECT level FROM water) * weight), 0.0) AS target FROM l),
+q AS (SELECT doc_id, size, t.rank, t.source_size, total, target, md5('mix|' || doc_id) AS place,
+        sum(size) OVER (PARTITION BY t.rank ORDER BY md5('mix|' || doc_id) ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+turns AS (SELECT * FROM q, (VALUES (0), (1), (2)) AS x(turn) WHERE size > 0 AND turn * source_size < target),
+line AS (SELECT *, sum(size) OVER (ORDER BY (turn * source_size + upto)::DOUBLE / target, rank, place, turn ROWS UNBOUNDED PRECEDING) AS so_far FROM turns),
+taken AS (SELECT doc_id, count(*) AS passes FROM line WHERE so_far <= total GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(passes, 0)::BIGINT * size AS taken FROM q LEFT JOIN taken USING (doc_id)
+""")
+def op8(spark, sf):
+    from cartwise.llm.mixing import mix
+    return mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
