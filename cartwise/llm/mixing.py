@@ -52,13 +52,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES, wei
     return levels.select("source", "rank", "weight", "source_size", F.coalesce(filled, F.lit(0.0)).alias("target"))
 
 
+def _key(doc_id, text, source):
+    return F.concat_ws(":", row_key(doc_id, text), source.isNull().cast("string"), source.cast("string"))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, max_passes: int = MAX_PASSES, seed: str = SEED, weight_of: dict | None = None) -> DataFrame:
     """One row per input row: key, doc_id, size, source, source_size, target, passes, taken."""
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     size = F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
     # Words are counted once; rows that repeat become one unit with ``copies``.
-    units = cut_lineage(df.select(row_key(doc_id, text).alias("key"), doc_id.alias("doc_id"),
+    units = cut_lineage(df.select(_key(doc_id, text, F.col(f"`{source_col}`")).alias("key"), doc_id.alias("doc_id"),
                                   F.col(f"`{source_col}`").alias("source"), size.alias("size"))
                         .groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).cast("long").alias("source_size"))
@@ -88,9 +92,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                       (F.col("passes") * F.col("size")).alias("taken"))
 
 
-def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
     """The mixed table: each row as often as the mix takes it, whole."""
-    passes = mix(df, id_col, text_col, **parameters).where("passes > 0").select("key", "passes").distinct()
-    rows = df.select(row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"),
+    passes = mix(df, id_col, text_col, source_col, **parameters).where("passes > 0").select("key", "passes").distinct()
+    rows = df.select(_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`")).alias("key"),
                      F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     return rows.join(passes, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")

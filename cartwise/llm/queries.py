@@ -103,3 +103,10 @@ SELECT doc_id, size, source_size, target, coalesce(passes, 0)::BIGINT * size AS
 def op8(spark, sf):
     from cartwise.llm.mixing import mix
     return mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op5_best_fit_packing")
+def op5(spark, sf):
+    import public_tokenizers
+    from cartwise.llm.packing import pack, pieces
+    return pack(pieces(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
