@@ -25,6 +25,7 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +47,7 @@ class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark deals out the cores
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]

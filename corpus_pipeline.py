@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartwise.llm import dedup, line_rules
+from cartwise.llm import dedup, line_rules, mixing, packing, simhash
 from cartwise.session import checkpoint_dir
 
 
@@ -26,9 +26,28 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, sources at their target weights."""
+    return mixing.mix_rows(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in a sequence."""
+    import public_tokenizers
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("source mix", source_mix),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: Packing by a tokenizer has no SQL form; the tests hold the run against a brute-force version.
