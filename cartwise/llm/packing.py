@@ -13,8 +13,8 @@ smaller piece).  Each accepted step raises the sum of squared fills, so the sear
 bins that run empty are gone.
 
 Tokenizing: the byte-level pre-tokenizer always cuts before a lone space that follows
-a non-space, so space-separated chunks are encoded apart and a task remembers the ids
-of chunks it has seen (a bounded memory that only saves time).  Texts with runs of spaces
+a non-space, so space-separated chunks are encoded apart, and a task remembers the ids
+of chunks and of their parts (a bounded memory that only saves time).  Texts with runs of spaces
 or with the text of a special token are encoded whole.
 
 Defined results: a null text is empty and becomes one piece of the end id alone; null
@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,12 @@ CAPACITY = 2048
 END_ID = 0
 SHARD_ITEMS = 20_000
 ROUNDS = 6
-CHUNK_MEMORY = 200_000
+CHUNK_MEMORY = 400_000
+
+
+#: Places within a chunk where the pre-tokenizer always cuts: after a letter or number before
+#: a sign, and around a line feed between two non-blanks.
+CUTS = re.compile(r"(?<=[^\W_])(?=[^\w\s])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
 class ChunkEncoder:
@@ -52,21 +59,33 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def learn(self, new: set[str]) -> None:
+        """Put the ids of chunks into ``seen``, from the older memory, from known parts or by encoding."""
+        known = {c for c in new if c in self.older}
+        self.seen.update((c, self.older[c]) for c in known)
+        parts = {c: CUTS.split(c) for c in new - known}
+        fresh = {p for ps in parts.values() for p in ps}.difference(self.seen)
+        known = {p for p in fresh if p in self.older}
+        self.seen.update((c, self.older[c]) for c in known)
+        fresh = list(fresh - known)
+        self.seen.update(zip(fresh, self.encode(fresh), strict=True))
+        self.seen.update((c, b"".join(map(self.seen.__getitem__, ps))) for c, ps in parts.items() if len(ps) > 1)
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or any(s in text for s in self.specials):
             return self.encode([text])[0]
         first, *rest = text.split(" ")
         chunks = [first, *[f" {c}" for c in rest]] if first else [f" {c}" for c in rest]
-        new = list(set(chunks).difference(self.seen))
-        if len(self.seen) + len(new) > CHUNK_MEMORY:
-            self.seen = {}
-            new = list(set(chunks))
-        self.seen.update(zip(new, self.encode(new), strict=True))
+        if len(self.seen) > CHUNK_MEMORY:       # what is still in use comes back from the older memory
+            self.seen, self.older = {}, self.seen
+        if new := set(chunks).difference(self.seen):
+            self.learn(new)
         return b"".join(map(self.seen.__getitem__, chunks))
 
 
