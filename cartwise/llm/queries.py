@@ -140,3 +140,26 @@ def op6(spark, sf):
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _held_out(doc_id):
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0
+
+
+def _scored(scores: DataFrame, cut: float) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+@register("op1_counterfactual_toxicity")
+def op1(spark, sf):
+    from cartwise.llm import toxicity
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, labels.where(~_held_out(F.col("doc_id"))))), 0.5)
+
+
+@register("op7_compression_quality")
+def op7(spark, sf):
+    from cartwise.llm import compression_quality
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return _scored(compression_quality.score(docs, compression_quality.fit(docs, labels.where(~_held_out(F.col("doc_id"))))), 0.3)
