@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 3000
-DICTIONARY_BYTES = 64 * 1024
-BLOCK = 2048
+DICTIONARY_BYTES = 32 * 1024
+BLOCK = 1024
 LEVEL = 3
 
 

@@ -163,3 +163,10 @@ def op7(spark, sf):
     from cartwise.llm import compression_quality
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     return _scored(compression_quality.score(docs, compression_quality.fit(docs, labels.where(~_held_out(F.col("doc_id"))))), 0.3)
+
+
+@register("op2_evidence_language")
+def op2(spark, sf):
+    from cartwise.llm.language import fit, identify
+    found = identify(table(spark, sf, "pages"), fit(table(spark, sf, "documents")))
+    return found.select("page_id", "host", "declared", "text_lang", "lang", "confidence")

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from cartwise.llm.compression_quality import labelled_sample
 
 MAX_ROWS = 4000
-MAX_FEATURES = 400
-MIN_DOCS = 4
-MIN_RATIO = 20.0           # least likelihood-ratio statistic of a feature
+MAX_FEATURES = 600
+MIN_DOCS = 3
+MIN_RATIO = 10.0           # least likelihood-ratio statistic of a feature
 STEMS = (4, 5, 6, 7)
-RIDGE = 1.0
+RIDGE = 0.5
 PENALTY = 50.0
 
 #: Identity terms; a term is swapped for the others of its line.
