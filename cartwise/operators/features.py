@@ -100,14 +100,15 @@ def kfold(df: DataFrame, n_splits: int = 10, seed: int = 42, key: str = "Invoice
     so fold sizes differ by at most one; otherwise fold = hash mod k.
     """
     if n_splits < 2:
-        raise ValueError("n_splits must be at least 2")
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+        raise ValueError(f"cannot deal rows into {n_splits} folds; use two or more")
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     if not exact:
         return df.withColumn("fold", (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n_splits).cast("int"))
-    keys = df.select(key, h.alias("_h")).filter(F.col(key).isNotNull())
-    ranked = global_row_number(keys, [F.col("_h"), F.col(key)], "_r")
-    folds = ranked.select(key, ((F.col("_r") - 1) % n_splits).cast("int").alias("fold"))
-    return df.join(folds, key)
+    # One fold per distinct key, a null key included: repeated keys neither multiply nor split.
+    keys = df.select(F.col(key).alias("_key"), h.alias("_h")).distinct()
+    ranked = global_row_number(keys, [F.col("_h"), F.col("_key")], "_r")
+    folds = ranked.select("_key", ((F.col("_r") - 1) % n_splits).cast("int").alias("fold"))
+    return df.join(folds, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 # F10 ----------------------------------------------------------------------------------

@@ -95,11 +95,6 @@ def bundles(spark, sf, min_support=BUNDLE_SUPPORT, max_size=3):
 
 # Import the query modules so that they register themselves.
 def load_all():
-    from cartwise.plans import q_clean, q_mining  # noqa: F401
-    for mod in ("q_query", "q_profile", "q_models", "q_recommend", "q_stock", "q_enrich", "q_io"):
-        try:
-            __import__(f"cartwise.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"cartwise.plans.{mod}":
-                raise
+    from cartwise.plans import (  # noqa: F401
+        q_clean, q_enrich, q_mining, q_models, q_profile, q_query, q_recommend, q_stock)
     return QUERIES, ORACLES

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cartwise.functions.text import candidate_hash, normalize_basic, record_key
+from cartwise.operators.anomaly import with_record_key
+from cartwise.functions.text import candidate_hash, normalize_basic
 from cartwise.operators import stock as ST
 from cartwise.plans import sqlparts as S
 from cartwise.plans.catalog import BUNDLE_SUPPORT, baskets, lines, processed, register
@@ -32,13 +33,15 @@ def p06(spark, sf):
 
 
 @register("P07", S.with_ctes(S.LINES, S.CLEAN, body="""SELECT InvoiceNo, StockCode,
-  concat_ws('|', InvoiceNo, StockCode, CAST(CAST(CustomerID AS BIGINT) AS VARCHAR), strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S'),
-            CAST(Quantity AS VARCHAR)) AS record_key FROM feat"""))
+  concat_ws('|', InvoiceNo, StockCode, coalesce(CAST(CAST(CustomerID AS BIGINT) AS VARCHAR), ''), strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S'),
+            CAST(Quantity AS VARCHAR), CAST(CAST(UnitPrice AS DECIMAL(18, 4)) AS VARCHAR),
+            CAST(CAST(TransactionValue AS DECIMAL(18, 4)) AS VARCHAR)) AS record_key FROM feat"""))
 def p07(spark, sf):
-    d = processed(spark, sf, outliers=False)
-    return d.select("InvoiceNo", "StockCode", record_key(
-        "InvoiceNo", "StockCode", F.col("CustomerID").cast("bigint"),
-        F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss"), "Quantity").alias("record_key"))
+    d = processed(spark, sf, outliers=False).select(
+        "InvoiceNo", "StockCode", F.col("CustomerID").cast("bigint").alias("CustomerID"),
+        F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"), "Quantity",
+        *[F.col(c).cast("decimal(18,4)").alias(c) for c in ("UnitPrice", "TransactionValue")])
+    return with_record_key(d).select("InvoiceNo", "StockCode", "record_key")
 
 
 @register("P08", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, body="""SELECT InvoiceNo,

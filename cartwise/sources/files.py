@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,19 @@ def save_snapshot(out: str, lines: DataFrame, baskets: DataFrame, bundles: DataF
         .write.mode("overwrite").json(f"{out}/_manifest")
 
 
+def _missing(error: AnalysisException) -> bool:
+    """True if the path is not there; permission, schema and parse errors must rise."""
+    return (error.getCondition() or "").startswith("PATH_NOT_FOUND")
+
+
 def load_snapshot(spark: SparkSession, path: str) -> dict:
     """The saved tables; a missing snapshot raises FileNotFoundError."""
     try:
         man = spark.read.json(f"{path}/_manifest").first()
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"no snapshot at {path}") from e
+    except AnalysisException as e:
+        if _missing(e):
+            raise FileNotFoundError(f"no snapshot at {path}") from e
+        raise
     return {"lines": spark.read.parquet(f"{path}/lines"), "baskets": spark.read.parquet(f"{path}/baskets"),
             "bundles": spark.read.parquet(f"{path}/bundles"), "timestamp": man["timestamp"]}
 
@@ -62,37 +70,53 @@ def load_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
     from cartwise.operators.stock import inventory_from_frame
     try:
         df = spark.read.option("header", True).csv(path)
-        df.schema  # noqa: B018  (forces the existence check)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], "item string, in_stock boolean")
-    return inventory_from_frame(df.withColumn("_o", F.struct(F.col("_metadata.file_path"),
-                                                             F.monotonically_increasing_id())), "_o")
+    except AnalysisException as e:
+        if _missing(e):
+            return spark.createDataFrame([], "item string, in_stock boolean")
+        raise
+    return inventory_from_frame(df.withColumn("_o", F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())), "_o")
 
 
 def load_kv_cache(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """Parquet (key, value) cache; missing or unreadable → None (empty)."""
+    """The current version of a Parquet (key, value) cache; none saved yet → None.
+
+    A pointer names the current version; an unreadable pointer or version fails.
+    """
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001
-        return None
+        version = spark.read.schema("saved string, version string").json(f"{path}/_current").orderBy(F.desc("saved")).first()
+    except AnalysisException as e:
+        if _missing(e):
+            return None
+        raise
+    return spark.read.schema(schema).parquet(f"{path}/{version['version']}")
 
 
 def save_kv_cache(cache: DataFrame, path: str) -> str:
-    """Write a new version directory (readers of the old one are unaffected)."""
-    version = f"{path}/v={dt.datetime.now(dt.timezone.utc).strftime('%Y%m%d%H%M%S%f')}"
-    cache.write.mode("overwrite").parquet(version)
-    return version
+    """Write a new version, then point to it (readers of the old one are unaffected)."""
+    saved = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
+    version = f"version-{saved}"
+    cache.write.mode("errorifexists").parquet(f"{path}/{version}")
+    cache.sparkSession.createDataFrame([(saved, version)], "saved string, version string").coalesce(1) \
+        .write.mode("append").json(f"{path}/_current")
+    return f"{path}/{version}"
 
 
 def load_alias_map(spark: SparkSession, path: str) -> DataFrame:
-    """JSON object alias → canonical, both sides normalized."""
+    """JSON object alias → canonical, both sides normalized.
+
+    Aliases that become equal by normalization: the last entry of the last file wins.
+    """
     try:
-        raw = spark.read.option("multiLine", True).json(path)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], "alias string, canonical string")
-    pairs = raw.select(F.explode(F.from_json(F.to_json(F.struct("*")), "map<string,string>")).alias("k", "v"))
-    return pairs.select(normalize_basic("k").alias("alias"), normalize_basic("v").alias("canonical")) \
-        .dropDuplicates(["alias"])
+        raw = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as e:
+        if _missing(e):
+            return spark.createDataFrame([], "alias string, canonical string")
+        raise
+    pairs = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(
+        F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("pos", "k", "v"))
+    return pairs.groupBy(normalize_basic("k").alias("alias")).agg(
+        F.max_by(normalize_basic("v"), F.struct("file", "pos")).alias("canonical"))
 
 
 def save_nb_model(model, out: str) -> None:
