@@ -61,20 +61,23 @@ def sparse_features(baskets: DataFrame, items: str = "Items", vocab_size: int |
 
 
 # L02 ----------------------------------------------------------------------------------
-def bundle_items(bundles: DataFrame) -> DataFrame:
-    """(bundle, size, item) rows of the mined bundles."""
-    return bundles.select("bundle", "size", F.explode("items").alias("item"))
-
-
 def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
     """Label 1 when some bundle is contained in the basket.
 
-    basket items ⋈ bundle items on item, count matches per (basket, bundle), keep
-    complete bundles, left-semi back: no basket × bundle loop.
+    A basket that holds a bundle holds the bundle's rarest item, so each bundle is looked
+    up under that item alone: popular items never become join keys.  The left-semi join
+    stops at the first bundle found whole and emits no pairs.  A bundle is its array of
+    items; its printed name plays no part.
     """
-    hits = (basket_items(baskets, key, items).join(bundle_items(bundles), "item")
-            .groupBy(key, "bundle", "size").agg(F.count(F.lit(1)).alias("m"))
-            .filter(F.col("m") == F.col("size")).select(key).distinct())
+    long = basket_items(baskets, key, items)
+    frequency = long.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    whole = bundles.select(F.array_sort(F.array_distinct("items")).alias("_bundle")).filter(F.size("_bundle") > 0)
+    rarest = (whole.select("_bundle", F.explode("_bundle").alias("item")).join(frequency, "item", "left")
+              .groupBy("_bundle").agg(F.min_by("item", F.struct(F.coalesce("_n", F.lit(0)), "item")).alias("_rare")))
+    rows = baskets.select(F.col(key), F.array_distinct(items).alias("_held"))
+    rows = rows.select(key, "_held", F.explode("_held").alias("item"))
+    found = (F.col("item") == F.col("_rare")) & (F.size(F.array_except("_bundle", "_held")) == 0)
+    hits = rows.join(rarest, found, "left_semi").select(key).distinct()
     labelled = baskets.join(hits.withColumn("_hit", F.lit(1)), key, "left")
     return labelled.withColumn("label", F.when(F.col("_hit").isNotNull(), 1).otherwise(0)).drop("_hit")
 

@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartwise.functions.text import normalize_basic, tokens
-
 REQ = "request_id"
 
 
@@ -27,9 +25,9 @@ def confidence(requests: DataFrame, models: dict, recommender_name: str | None =
                items: str = "items") -> DataFrame:
     """P(label = 1) from one named recommender, or the ensemble mean over all."""
     if not models:
-        raise ValueError("No recommenders available")
+        raise ValueError("there is no model to score with")
     if recommender_name is not None and recommender_name not in models:
-        raise ValueError(f"Recommender '{recommender_name}' not found")
+        raise ValueError(f"unknown model {recommender_name!r}; known: {sorted(models)}")
     names = [recommender_name] if recommender_name else list(models)
     parts = [models[n].predict_proba(requests.select(REQ, items), REQ, items)
              .select(REQ, F.lit(n).alias("model"), F.col("p1")) for n in names]
@@ -53,10 +51,20 @@ def model_scores(requests: DataFrame, models: dict, items: str = "items") -> Dat
 
 def applicable_bundles(requests: DataFrame, bundles: DataFrame, top_n: int = 5, items: str = "items") -> DataFrame:
     """Bundles sharing at least one item with the request, first ``top_n`` in bundle
-    order (size, support desc, bundle)."""
-    bi = bundles.select("bundle", "size", "support_count", F.explode("items").alias("item"))
-    hits = _req_items(requests, items).join(bi, "item").select(REQ, "bundle", "size", "support_count").distinct()
-    w = Window.partitionBy(REQ).orderBy("size", F.desc("support_count"), "bundle")
+    order (size, support desc, bundle).
+
+    Only the first ``top_n`` bundles of an item can be among the first of a request that
+    holds it, so the small bundle table is cut per item before the join.  Output:
+    request_id, bundle_items (array), bundle (printed name), size, rank.
+    """
+    order = ["size", F.desc("support_count"), "bundle", "bundle_items"]
+    bi = bundles.select(F.col("items").alias("bundle_items"), "bundle", "size", "support_count",
+                        F.explode("items").alias("item"))
+    first = (bi.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(*order)))
+               .filter(F.col("_r") <= top_n).drop("_r"))
+    hits = (_req_items(requests, items).join(first, "item")
+            .select(REQ, "bundle_items", "bundle", "size", "support_count").distinct())
+    w = Window.partitionBy(REQ).orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n).drop("support_count")
 
 
@@ -71,23 +79,26 @@ def recommend_bundles(requests: DataFrame, conf: DataFrame, bundles: DataFrame,
 def cross_sell(requests: DataFrame, bundles: DataFrame, top_n: int = 5, items: str = "items") -> DataFrame:
     """score(p) = Σ over bundles b ∋ p, p ∉ t of |b ∩ t| / |b|; top ``top_n``.
 
-    Positive scores come from bundles that overlap the request (join on item).
+    The same sum by items: score(p) = Σ over i in t of W[i, p], where W[i, p] adds 1 / |b| over the
+    bundles that hold both.  W comes from the bundles alone (a bundle has few items), and the
+    requests are joined with it once.
+
     Requests with fewer than ``top_n`` positives are padded with zero-score bundle
     items in name order; the padding list is a scalar subquery bounded by
     2·top_n + the largest request, so no request × catalogue product is formed.
     """
     req = _req_items(requests, items)
-    bi = bundles.select("bundle", "size", F.explode("items").alias("item"))
-    # Exact scores: numerators over the common denominator lcm(1..max size), so ties
+    bi = bundles.select(F.col("items").alias("_b"), "size", F.explode("items").alias("item"))
+    # Exact scores: integer numerators over the common denominator lcm(1..max size), so ties
     # do not depend on the order in which a sum of fractions is added up.
-    max_size = bundles.agg(F.max("size")).first()[0] or 1
-    denom = 1
-    for k in range(2, int(max_size) + 1):
-        denom = denom * k // math.gcd(denom, k)
-    overlap = req.join(bi, "item").groupBy(REQ, "bundle", "size").agg(F.count(F.lit(1)).alias("ov"))
-    contrib = (overlap.join(bi.select("bundle", F.col("item").alias("product")), "bundle")
-               .join(req.select(REQ, F.col("item").alias("product")), [REQ, "product"], "left_anti")
-               .groupBy(REQ, "product").agg(F.sum(F.col("ov") * (F.lit(denom) / F.col("size")).cast("long")).alias("_num")))
+    max_size = int(bundles.agg(F.max("size")).first()[0] or 1)
+    denom = math.lcm(*range(1, max_size + 1))
+    if denom > 1 << 53:
+        raise ValueError(f"bundles of {max_size} items are too large for exact scores")
+    weights = (bi.select("item", "size", F.explode("_b").alias("product")).filter("item <> product")
+               .groupBy("item", "product").agg(F.sum(F.expr(f"{denom}L div size")).alias("_w")))
+    contrib = (req.join(weights, "item").groupBy(REQ, "product").agg(F.sum("_w").alias("_num"))
+               .join(req.select(REQ, F.col("item").alias("product")), [REQ, "product"], "left_anti"))
     w = Window.partitionBy(REQ).orderBy(F.desc("_num"), "product")
     pos = (contrib.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
            .withColumn("score", F.col("_num") / F.lit(denom)))
@@ -110,7 +121,7 @@ def cross_sell(requests: DataFrame, bundles: DataFrame, top_n: int = 5, items: s
 def suggestions(recs: DataFrame, request_items: DataFrame, top_n: int = 3) -> DataFrame:
     """Per product (≠ selected, case-insensitive) over recommended bundles × models:
     frequency and mean (3-dp) confidence; top ``top_n`` by confidence, then product."""
-    exploded = recs.select(REQ, "recommender", "confidence", F.explode(F.split("bundle", r"\|")).alias("product"))
+    exploded = recs.select(REQ, "recommender", "confidence", F.explode("bundle_items").alias("product"))
     sel = request_items.select(REQ, F.lower(F.col("selected")).alias("_sel"))
     agg = (exploded.join(sel, REQ).filter(F.lower("product") != F.col("_sel"))
            .groupBy(REQ, "product").agg(F.avg(F.round("confidence", 3)).alias("confidence"),

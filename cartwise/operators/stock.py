@@ -58,14 +58,16 @@ def best_alternatives(missing: DataFrame, candidates: DataFrame, group: str | No
 def repair_bundles(recs: DataFrame, inventory: DataFrame, min_score: float = 0.3, req: str = "request_id") -> DataFrame:
     """Replace out-of-stock items of each request's recommended bundles.
 
-    ``recs``: (request_id, rank, bundle) with '|'-joined items.  An item is out of
+    ``recs``: (request_id, rank, bundle) and ``bundle_items``, the array of items; only a
+    frame without that column has its printed names split at '|'.  An item is out of
     stock iff the inventory holds its normalized name as false (absent → in stock);
     candidates are the in-stock items of the same request's bundles.  Returns one
     row per (request, rank): original and resolved bundle and the substitutions.
     """
     inv = inventory.select(normalize_basic("item").alias("_key"), "in_stock").groupBy("_key").agg(
         F.min(F.col("in_stock").cast("int")).alias("_in"))
-    items = recs.select(req, "rank", "bundle", F.posexplode(F.split("bundle", r"\|")).alias("pos", "item"))
+    held = F.col("bundle_items") if "bundle_items" in recs.columns else F.split("bundle", r"\|")
+    items = recs.select(req, "rank", "bundle", F.posexplode(held).alias("pos", "item"))
     items = items.join(inv, normalize_basic("item") == F.col("_key"), "left").withColumn(
         "oos", F.coalesce(F.col("_in") == 0, F.lit(False))).drop("_key", "_in")
     cands = items.filter(~F.col("oos")).select(req, "item").distinct()

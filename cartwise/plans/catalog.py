@@ -85,9 +85,10 @@ def sql_lines(src: str, extra: str = "") -> str:
 BUNDLE_SUPPORT = 0.001      # 1,973 pairs at sf0.01 (FIXTURES §3)
 TRIPLE_SUPPORT = 0.0005     # 143 triples at sf0.01
 RULE_CONFIDENCE = 0.02
+MAX_BUNDLE_SIZE = JobParams.max_bundle_size
 
 
-def bundles(spark, sf, min_support=BUNDLE_SUPPORT, max_size=3):
+def bundles(spark, sf, min_support=BUNDLE_SUPPORT, max_size=MAX_BUNDLE_SIZE):
     from cartwise.operators.mining import mine_bundles
     return _memo((id(spark), sf, "bundles", min_support, max_size),
                  lambda: mine_bundles(baskets(spark, sf), min_support, max_size))

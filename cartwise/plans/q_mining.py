@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cartwise.operators import mining as M
 from cartwise.operators.baskets import bundle_size_distribution, bundle_statistics, top_bundles
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import (BUNDLE_SUPPORT, RULE_CONFIDENCE, TRIPLE_SUPPORT, baskets, bundles,
+from cartwise.plans.catalog import (BUNDLE_SUPPORT, MAX_BUNDLE_SIZE, RULE_CONFIDENCE, TRIPLE_SUPPORT, baskets, bundles,
                                     register)
 
 _BUNDLE_COLS = "bundle, size, support_count, support"
@@ -19,30 +19,28 @@ def m01(spark, sf):
     return M.frequent_items(baskets(spark, sf), 0.05)
 
 
-@register("M02", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, 3),
+@register("M02", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, MAX_BUNDLE_SIZE),
                              body=f"SELECT {_BUNDLE_COLS} FROM bundles"))
 def m02(spark, sf):
-    return bundles(spark, sf, BUNDLE_SUPPORT, 3).select("bundle", "size", "support_count", "support")
+    return bundles(spark, sf, BUNDLE_SUPPORT, MAX_BUNDLE_SIZE).select("bundle", "size", "support_count", "support")
 
 
-@register("M02T", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, 3),
+@register("M02T", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE),
                               body=f"SELECT {_BUNDLE_COLS} FROM bundles"))
 def m02t(spark, sf):
-    return bundles(spark, sf, TRIPLE_SUPPORT, 3).select("bundle", "size", "support_count", "support")
+    return bundles(spark, sf, TRIPLE_SUPPORT, MAX_BUNDLE_SIZE).select("bundle", "size", "support_count", "support")
 
 
-@register("M03", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, 3), body="""
-SELECT l.size, CAST(coalesce(c.n, 0) AS BIGINT) AS n_itemsets
-FROM (SELECT 2 AS size UNION ALL SELECT 3) l
+@register("M03", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE),
+                             f"lv AS (SELECT CAST(unnest(range(2, {MAX_BUNDLE_SIZE + 1})) AS INTEGER) AS size)", body="""
+SELECT l.size, CAST(coalesce(c.n, 0) AS BIGINT) AS n_itemsets FROM lv l
 LEFT JOIN (SELECT size, count(*) AS n FROM bundles GROUP BY size) c ON l.size = c.size
-WHERE l.size <= coalesce((SELECT min(x.size) FROM (SELECT 2 AS size UNION ALL SELECT 3) x
-                          LEFT JOIN (SELECT size, count(*) AS n FROM bundles GROUP BY size) y ON x.size = y.size
-                          WHERE y.n IS NULL), 3)"""))
+WHERE l.size <= coalesce((SELECT min(size) FROM lv WHERE size NOT IN (SELECT size FROM bundles)), (SELECT max(size) FROM lv))"""))
 def m03(spark, sf):
-    return M.mine_bundles_levelwise(baskets(spark, sf), TRIPLE_SUPPORT, 3)
+    return M.mine_bundles_levelwise(baskets(spark, sf), TRIPLE_SUPPORT, MAX_BUNDLE_SIZE)
 
 
-@register("M04", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, 3), f"""
+@register("M04", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, MAX_BUNDLE_SIZE), f"""
 single AS (SELECT item, count(*) AS c FROM bi GROUP BY item),
 rules AS (
   SELECT b.items[2] AS antecedent, b.items[1] AS consequent, b.support_count AS sc FROM bundles b WHERE b.size = 2
@@ -82,23 +80,22 @@ def m05s(spark, sf):
     return M.hash_sample(b, "InvoiceNo", M.quick_sample_size(b.count())).select("InvoiceNo")
 
 
-@register("A20", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, 3), body="""
+@register("A20", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE), body="""
 SELECT count(*) AS total_bundles, min(size) AS min_size, max(size) AS max_size,
        round(avg(size), 6) AS avg_size, (SELECT n FROM nb) AS n_baskets FROM bundles"""))
 def a20(spark, sf):
     b = baskets(spark, sf)
-    from cartwise.operators.mining import mine_bundles
-    stats = bundle_statistics(mine_bundles(b, TRIPLE_SUPPORT, 3))
+    stats = bundle_statistics(bundles(spark, sf, TRIPLE_SUPPORT))
     return stats.withColumn("n_baskets", F.lit(b.agg(F.count(F.lit(1))).scalar()))
 
 
-@register("A20D", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, 3),
+@register("A20D", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE),
                               body="SELECT size, count(*) AS n_bundles FROM bundles GROUP BY size"))
 def a20d(spark, sf):
-    return bundle_size_distribution(bundles(spark, sf, TRIPLE_SUPPORT, 3))
+    return bundle_size_distribution(bundles(spark, sf, TRIPLE_SUPPORT, MAX_BUNDLE_SIZE))
 
 
-@register("A20T", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, 3), body=f"""
+@register("A20T", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE), body=f"""
 SELECT {_BUNDLE_COLS} FROM bundles ORDER BY size, support_count DESC, bundle LIMIT 10"""))
 def a20t(spark, sf):
-    return top_bundles(bundles(spark, sf, TRIPLE_SUPPORT, 3)).select("bundle", "size", "support_count", "support")
+    return top_bundles(bundles(spark, sf, TRIPLE_SUPPORT, MAX_BUNDLE_SIZE)).select("bundle", "size", "support_count", "support")

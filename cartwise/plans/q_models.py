@@ -6,14 +6,14 @@ from cartwise.operators import features as X
 from cartwise.operators import metrics as MT
 from cartwise.operators import models as MD
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import BUNDLE_SUPPORT, baskets, bundles, register
+from cartwise.plans.catalog import BUNDLE_SUPPORT, MAX_BUNDLE_SIZE, baskets, bundles, register
 from cartwise.sources.tables import table
 
 # ------------------------------------------------------------------ shared Spark inputs
 def labelled(spark, sf):
     from cartwise.plans.catalog import _memo
     return _memo((id(spark), sf, "labelled"),
-                 lambda: X.label_baskets(baskets(spark, sf), bundles(spark, sf, BUNDLE_SUPPORT, 3)))
+                 lambda: X.label_baskets(baskets(spark, sf), bundles(spark, sf)))
 
 
 def split(spark, sf):
@@ -74,7 +74,7 @@ gsc AS (SELECT s.InvoiceNo, s.label, s.is_test, gpri.b0 + coalesce(sum(gl.w0), 0
 gpred AS (SELECT InvoiceNo, label, is_test, 1.0 / (1.0 + exp(j0 - j1)) AS p1, CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS prediction FROM gsc)
 """
 
-BASE = (S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, 3), LABELS)
+BASE = (S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, MAX_BUNDLE_SIZE), LABELS)
 
 
 def metrics_sql(src):
@@ -200,7 +200,7 @@ def requests(spark, sf):
                     lambda s: s["d"]).alias("items")))
 
 
-@register("F10", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, 3), LABELS, """
+@register("F10", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, MAX_BUNDLE_SIZE), LABELS, """
 rq AS (SELECT InvoiceNo AS request_id, lower(regexp_replace(Description, '^\\s+|\\s+$', '', 'g')) AS item,
               row_number() OVER (PARTITION BY InvoiceNo ORDER BY ord1, ord2, ord3, ord4, ord5) AS pos
        FROM lines WHERE starts_with(InvoiceNo, 'C') AND Description IS NOT NULL)""", body="""

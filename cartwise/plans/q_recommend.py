@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from cartwise.operators import features as X
 from cartwise.operators import models as MD
 from cartwise.operators import recommend as R
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import BUNDLE_SUPPORT, baskets, bundles, register
+from cartwise.plans.catalog import bundles, register
 from cartwise.plans.q_models import BASE, GNB, MNB, split, vocab_of
 from cartwise.sources.tables import table
 
@@ -68,10 +67,14 @@ def r01(spark, sf):
                              APPL.replace("REQ", "breq").replace("TOPN", "5"), body="""
 SELECT a.request_id, a.rank, a.bundle FROM appl a JOIN ens e ON a.request_id = e.request_id WHERE e.confidence >= 0.5"""))
 def r02(spark, sf):
+    return basket_recommendations(spark, sf).select("request_id", F.col("rank").cast("bigint").alias("rank"), "bundle")
+
+
+def basket_recommendations(spark, sf):
+    """R02 with the arrays of items, as R03 takes them."""
     models, data = engine(spark, sf)
     reqs = basket_requests(data)
-    recs = R.recommend_bundles(reqs, R.confidence(reqs, models), bundles(spark, sf, BUNDLE_SUPPORT, 3), 0.5, 5)
-    return recs.select("request_id", F.col("rank").cast("bigint").alias("rank"), "bundle")
+    return R.recommend_bundles(reqs, R.confidence(reqs, models), bundles(spark, sf), 0.5, 5)
 
 
 CROSS = """
@@ -92,7 +95,7 @@ xr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER
 SELECT request_id, product, round(score, 9) AS score, rank FROM xr"""))
 def r05(spark, sf):
     data = split(spark, sf)
-    out = R.cross_sell(basket_requests(data), bundles(spark, sf, BUNDLE_SUPPORT, 3), 5)
+    out = R.cross_sell(basket_requests(data), bundles(spark, sf), 5)
     return out.select("request_id", "product", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -100,13 +103,18 @@ def r05(spark, sf):
 SELECT s.request_id, s.recommender, round(s.confidence, 3) AS confidence, a.rank, a.bundle
 FROM rs s JOIN appl a ON s.request_id = a.request_id WHERE s.confidence >= 0.3"""))
 def r06(spark, sf):
+    return product_recommendations(spark, sf).select(
+        "request_id", "recommender", "confidence", F.col("rank").cast("bigint").alias("rank"), "bundle")
+
+
+def product_recommendations(spark, sf):
+    """R06 with the arrays of items, as R09 takes them."""
     models, _ = engine(spark, sf)
     reqs = product_requests(spark, sf)
     scores = R.model_scores(reqs, models).filter(F.col("confidence") >= 0.3)
     appl = R.applicable_bundles(reqs.join(scores.select("request_id").distinct(), "request_id", "left_semi"),
-                                bundles(spark, sf, BUNDLE_SUPPORT, 3), 5)
-    return scores.join(appl, "request_id").select("request_id", "recommender", F.round("confidence", 3).alias("confidence"),
-                                                 F.col("rank").cast("bigint").alias("rank"), "bundle")
+                                bundles(spark, sf), 5)
+    return scores.join(appl, "request_id").withColumn("confidence", F.round("confidence", 3))
 
 
 @register("R07", S.with_ctes(*MODEL_CTES, PREQ, req_scores_sql("preq"), body="""
@@ -121,7 +129,7 @@ def r07(spark, sf):
 @register("R08", S.with_ctes(*BASE, PREQ, CROSS.replace("REQ", "preq"), body="""
 SELECT request_id, product, round(score, 3) AS affinity, rank FROM xr"""))
 def r08(spark, sf):
-    out = R.cross_sell(product_requests(spark, sf), bundles(spark, sf, BUNDLE_SUPPORT, 3), 5)
+    out = R.cross_sell(product_requests(spark, sf), bundles(spark, sf), 5)
     return out.select("request_id", "product", F.round("score", 3).alias("affinity"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -134,7 +142,6 @@ ag AS (SELECT ex.request_id, ex.product, avg(ex.confidence) AS confidence, count
 SELECT request_id, product, round(confidence, 6) AS confidence, frequency, rank
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC, product) AS rank FROM ag) WHERE rank <= 3"""))
 def r09(spark, sf):
-    recs = r06(spark, sf)
-    out = R.suggestions(recs, product_requests(spark, sf), 3)
+    out = R.suggestions(product_recommendations(spark, sf), product_requests(spark, sf), 3)
     return out.select("request_id", "product", F.round("confidence", 6).alias("confidence"), "frequency",
                       F.col("rank").cast("bigint").alias("rank"))

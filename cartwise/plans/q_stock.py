@@ -6,7 +6,8 @@ from cartwise.operators.anomaly import with_record_key
 from cartwise.functions.text import candidate_hash, normalize_basic
 from cartwise.operators import stock as ST
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import BUNDLE_SUPPORT, baskets, lines, processed, register
+from cartwise.plans.catalog import baskets, lines, processed, register
+from cartwise.plans.q_recommend import APPL, BREQ, MODEL_CTES, basket_recommendations, req_scores_sql
 from cartwise.sources.tables import table
 
 _W = "[\\pL\\pN_]"
@@ -97,9 +98,24 @@ def r04(spark, sf):
     return ST.best_alternatives(inv.filter(~F.col("in_stock")), inv.filter("in_stock"))
 
 
-@register("R03")
+@register("R03", S.with_ctes(*MODEL_CTES, BREQ, req_scores_sql("breq"),
+                             "ens AS (SELECT request_id, avg(confidence) AS confidence FROM rs GROUP BY request_id)",
+                             APPL.replace("REQ", "breq").replace("TOPN", "5"), INV_SQL, f"""
+rec AS (SELECT a.request_id, a.rank, a.bundle, string_split(a.bundle, '|') AS parts FROM appl a
+        JOIN ens e ON a.request_id = e.request_id WHERE e.confidence >= 0.5),
+pos AS (SELECT request_id, rank, bundle, unnest(parts) AS item, generate_subscripts(parts, 1) AS pos FROM rec),
+key AS (SELECT {norm_sql('item')} AS k, bool_and(in_stock) AS in_stock FROM inv GROUP BY 1),
+st AS (SELECT pos.*, coalesce(NOT key.in_stock, false) AS oos FROM pos LEFT JOIN key ON {norm_sql('pos.item')} = key.k),
+tks AS (SELECT DISTINCT request_id, item, oos, list_distinct(list_filter(string_split({norm_sql('item')}, ' '), lambda t: t <> '')) AS t FROM st),
+alt AS (SELECT m.request_id, m.item, c.item AS alternative,
+               len(list_intersect(m.t, c.t)) / (len(m.t) + len(c.t) - len(list_intersect(m.t, c.t))) AS score
+        FROM tks m JOIN tks c ON m.request_id = c.request_id WHERE m.oos AND NOT c.oos),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, item ORDER BY score DESC, alternative) AS r
+                        FROM alt WHERE score > 0) WHERE r = 1 AND score >= 0.3)""", body="""
+SELECT st.request_id, st.rank, st.bundle, string_agg(coalesce(best.alternative, st.item), '|' ORDER BY st.pos) AS resolved_bundle,
+       CAST(count(best.alternative) AS INTEGER) AS n_substitutions
+FROM st LEFT JOIN best ON st.request_id = best.request_id AND st.item = best.item GROUP BY st.request_id, st.rank, st.bundle"""))
 def r03(spark, sf):
-    from cartwise.plans.q_recommend import r02
-    recs = r02(spark, sf)
+    recs = basket_recommendations(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
     out = ST.repair_bundles(recs, inventory(spark, sf), 0.3)
     return out.select("request_id", "rank", "bundle", "resolved_bundle", F.size("substitutions").alias("n_substitutions"))

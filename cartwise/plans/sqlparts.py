@@ -38,18 +38,13 @@ def with_ctes(*parts: str, body: str) -> str:
 
 
 def itemsets_sql(min_support: float, max_size: int) -> str:
-    """Brute-force frequent itemsets of size 2..max_size (max_size <= 3)."""
-    pairs = f"""
-SELECT a.item || '|' || b.item AS bundle, 2 AS size, count(*) AS support_count
-FROM bi a JOIN bi b ON a.InvoiceNo = b.InvoiceNo AND a.item < b.item
-GROUP BY a.item, b.item"""
-    triples = f"""
-SELECT a.item || '|' || b.item || '|' || c.item AS bundle, 3 AS size, count(*) AS support_count
-FROM bi a JOIN bi b ON a.InvoiceNo = b.InvoiceNo AND a.item < b.item
-          JOIN bi c ON a.InvoiceNo = c.InvoiceNo AND b.item < c.item
-GROUP BY a.item, b.item, c.item"""
-    parts = [pairs] + ([triples] if max_size >= 3 else [])
-    return "(" + " UNION ALL ".join(parts) + ")"
+    """Brute-force itemsets of size 2..max_size: every k items of a basket, counted."""
+    def level(k):
+        a = [f"x{i}" for i in range(k)]
+        joins = "".join(f" JOIN bi {t} ON x0.InvoiceNo = {t}.InvoiceNo AND {p}.item < {t}.item" for p, t in zip(a, a[1:]))
+        return (f"SELECT {" || '|' || ".join(f'{t}.item' for t in a)} AS bundle, {k} AS size, count(*) AS support_count "
+                f"FROM bi x0{joins} GROUP BY {', '.join(f'{t}.item' for t in a)}")
+    return "(" + " UNION ALL ".join(level(k) for k in range(2, max_size + 1)) + ")"
 
 
 def bundles_cte(min_support: float, max_size: int) -> str:
