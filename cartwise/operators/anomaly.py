@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.functions.quantiles import iqr_fences
 from cartwise.functions.text import record_key
 
 # The fields a record key is made of, in order.
@@ -12,34 +13,23 @@ RECORD_KEY_FIELDS = ["InvoiceNo", "StockCode", "CustomerID", "InvoiceDate", "Qua
                      "UnitPrice", "TransactionValue"]
 
 
-def _quartiles(c: Column, exact: bool) -> Column:
-    qs = F.array(F.lit(0.25), F.lit(0.75))
-    return F.percentile(c, qs) if exact else F.percentile_approx(c, qs, 100000)
+def iqr_bounds(df: DataFrame, fields, multiplier: float = 1.5) -> DataFrame:
+    """A11 bounds, one row per field.
 
-
-def iqr_bounds(df: DataFrame, fields, multiplier: float = 1.5, exact: bool = True) -> DataFrame:
-    """A11 bounds for every field in one global aggregate (one row per field).
-
-    Quantiles are linear-interpolated (pandas ``quantile``); nulls are ignored and an
-    all-null field gets (-inf, +inf).  ``exact=False`` switches to ``percentile_approx``
-    for columns with very many distinct values.
+    Quantiles are exact and linearly interpolated (pandas ``quantile``); nulls are ignored
+    and an all-null field gets (-inf, +inf).
     """
-    agg = df.agg(*[_quartiles(F.col(f).cast("double"), exact).alias(f) for f in fields])
-    rows = []
-    for i, f in enumerate(fields):
-        q = F.col(f)
-        iqr = q[1] - q[0]
-        rows.append(F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"),
-                             F.coalesce(q[0] - multiplier * iqr, F.lit(float("-inf"))).alias("lower"),
-                             F.coalesce(q[1] + multiplier * iqr, F.lit(float("inf"))).alias("upper")))
-    return agg.select(F.inline(F.array(*rows)))
+    fences = iqr_fences(df, fields, multiplier)
+    rows = [(i, f, float("-inf") if fences[f][0] is None else fences[f][0],
+             float("inf") if fences[f][1] is None else fences[f][1]) for i, f in enumerate(fields)]
+    return df.sparkSession.createDataFrame(rows, "pos int, field string, lower double, upper double")
 
 
 def flag_anomalies(df: DataFrame, params=None, fields=None, multiplier=None) -> DataFrame:
     """A11 + A12: ``check_anomaly``, ``anomaly_type``, ``anomaly_reason``.
 
-    The bounds are scalar subqueries over one aggregate (Catalyst merges them), so the
-    line table is never joined with anything: no broadcast, no cross join.
+    The quartiles are computed at once (``exact_quantiles``) and the bounds enter the plan as
+    literals, so the line table is never joined with anything.
     """
     from cartwise.schema import JobParams
 
@@ -50,14 +40,10 @@ def flag_anomalies(df: DataFrame, params=None, fields=None, multiplier=None) ->
         return (df.withColumn("check_anomaly", F.lit(False))
                   .withColumn("anomaly_type", F.lit(None).cast("string"))
                   .withColumn("anomaly_reason", F.lit(None).cast("string")))
-    agg = df.agg(*[_quartiles(F.col(f).cast("double"), params.exact_percentiles).alias(f) for f in fields])
     parts = []
-    for f in fields:
-        q1 = agg.select(F.col(f)[0]).scalar()
-        q3 = agg.select(F.col(f)[1]).scalar()
+    for f, (low, high) in iqr_fences(df, fields, multiplier).items():
         v = F.col(f).cast("double")
-        out = v.isNotNull() & ((v < q1 - multiplier * (q3 - q1)) | (v > q3 + multiplier * (q3 - q1)))
-        parts.append(F.when(out, F.lit(f"IQR outlier in {f}")))
+        parts.append(F.when((v < F.lit(low)) | (v > F.lit(high)), F.lit(f"IQR outlier in {f}")))
     reasons = F.concat_ws(", ", *parts)  # skips NULLs: the flagged fields in field order
     flagged = df.withColumn("_reasons", reasons)
     return (flagged

@@ -117,19 +117,25 @@ def preprocess(raw: DataFrame, params=None, enrich=None, anomalies=True) -> Data
     return df
 
 
-def rejects(raw: DataFrame) -> DataFrame:
+def rejects(raw: DataFrame, params=None) -> DataFrame:
     """All side outputs of the chain as one frame tagged by ``reason``.
 
     Reasons and their order are the reference's file names (fixed values):
-    Cancellations, no_CustomerID, Duplicate_transactions.
+    Cancellations, no_CustomerID, Duplicate_transactions, suspicious_transactions.  The last
+    holds the lines that ``params`` flags as outliers, with their features and labels
+    (null for the other reasons); none without ``params.outlier_enabled``.
     """
     flagged = flag_cancellations(raw)
-    cancelled = flagged.filter(F.col("IsCancellation")).withColumn("reason", F.lit("Cancellations"))
-    kept = flagged.filter(~F.col("IsCancellation"))
-    no_cust = reject_missing_customers(kept).withColumn("reason", F.lit("no_CustomerID"))
-    valid = keep_positive_amounts(drop_missing_descriptions(remove_missing_customers(kept)))
-    dups = duplicate_lines(valid).withColumn("reason", F.lit("Duplicate_transactions"))
-    return cancelled.unionByName(no_cust).unionByName(dups)
+    reason = (F.when(F.col("IsCancellation"), "Cancellations")
+               .when(F.col("CustomerID").isNull(), "no_CustomerID"))
+    early = flagged.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    valid = raw.transform(handle_cancellations).transform(remove_missing_customers)
+    valid = valid.transform(drop_missing_descriptions).transform(keep_positive_amounts)
+    out = early.unionByName(duplicate_lines(valid).withColumn("reason", F.lit("Duplicate_transactions")))
+    if params is not None and params.outlier_enabled:
+        suspicious = preprocess(raw, params).filter("check_anomaly").withColumn("reason", F.lit("suspicious_transactions"))
+        out = out.unionByName(suspicious, allowMissingColumns=True)
+    return out
 
 
 # P11 ----------------------------------------------------------------------------------

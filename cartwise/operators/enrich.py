@@ -5,16 +5,24 @@ The data work is Spark's: distinct keys, anti-join against the cache, batching
 merging the cache and joining the results back.  The scorer itself is any
 function ``pandas.DataFrame(key, text) -> pandas.DataFrame(key, raw, status)``;
 ``status`` is 'ok', 'error' or 'quota' (E06: failed keys stay out of the cache and
-fall back to the caller's default; a quota error just stops the scoring of that
-batch — the job degrades instead of aborting).
+fall back to the caller's default).  A scorer that raises, or leaves keys out, gives
+'error' rows; after a 'quota' reply a task calls the scorer no more and its other rows
+are 'quota' too: the job degrades instead of aborting.
+
+The replies are written once to the shared checkpoint folder; values, new cache and
+quarantine are all read from there, so no key is scored twice and they agree.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartwise.session import checkpoint_dir
+
 RAW_SCHEMA = "key string, raw string, status string"
 CATEGORY_SCHEMA = T.MapType(T.StringType(), T.StringType())
 CONTEXT_SCHEMA = T.StructType([T.StructField("contexts", T.ArrayType(T.StructType([
@@ -29,16 +37,38 @@ def run_scorer(todo: DataFrame, scorer, batch_rows: int = 10, partitions: int |
     """Apply ``scorer`` to (key, text) rows in Arrow batches of ``batch_rows``."""
     def _apply(it):
         import pandas as pd
+        spent = False
         for pdf in it:
             for i in range(0, len(pdf), batch_rows):
-                out = scorer(pdf.iloc[i:i + batch_rows].reset_index(drop=True))
-                yield pd.DataFrame({"key": out["key"], "raw": out["raw"],
-                                    "status": out.get("status", pd.Series(["ok"] * len(out)))})
+                part = pdf.iloc[i:i + batch_rows].reset_index(drop=True)
+                if spent:
+                    yield part[["key"]].assign(raw=None, status="quota")
+                    continue
+                try:
+                    reply = scorer(part)
+                    if "status" not in reply:
+                        reply = reply.assign(status="ok")
+                    reply = reply[["key", "raw", "status"]].drop_duplicates("key")
+                except Exception as e:  # noqa: BLE001 - whatever a scorer raises is a failed batch
+                    reply = part[["key"]].assign(raw=f"{type(e).__name__}: {e}", status="error")
+                out = part[["key"]].merge(reply, on="key", how="left")
+                out["status"] = out["status"].fillna("error")
+                out = out.astype(object).where(pd.notna(out), None)
+                spent = bool((out["status"] == "quota").any())
+                yield out
     if partitions:
         todo = todo.repartition(partitions, "key")
     return todo.select("key", "text").mapInPandas(_apply, RAW_SCHEMA)
 
 
+def keep_replies(raw: DataFrame) -> DataFrame:
+    """Write the replies once to shared storage and read them back: later uses call no scorer."""
+    spark = raw.sparkSession
+    path = f"{checkpoint_dir(spark)}/scorer-replies/{uuid.uuid4().hex}"
+    raw.write.parquet(path)
+    return spark.read.schema(RAW_SCHEMA).parquet(path)
+
+
 def ingest(raw: DataFrame, schema, check=None):
     """Strip a fenced code block, parse JSON, validate → (valid, quarantine).
 
@@ -82,7 +112,7 @@ def cached_lookup(keys: DataFrame, cache: DataFrame | None, scorer, schema, chec
                                                                     T.StructField("value", schema)]))
         quarantine = todo.select("key", F.lit(None).cast("string").alias("raw"), F.lit("unavailable").alias("status"))
     else:
-        fresh, quarantine = ingest(run_scorer(todo, scorer, batch_rows), schema, check)
+        fresh, quarantine = ingest(keep_replies(run_scorer(todo, scorer, batch_rows)), schema, check)
     values = fresh if hit is None else fresh.unionByName(hit.select("key", "value"))
     return values, merge_cache(cache, fresh), quarantine
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.ordering import global_row_number
+from cartwise.functions.quantiles import exact_quantiles, iqr_fences
 
 # Text-pattern checks of the profiler (Python regex semantics;
 # ``(?U)`` makes Java's classes Unicode-aware like Python's).
@@ -77,18 +78,19 @@ def numeric_profile(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     Spark's ``skewness`` / ``kurtosis`` are population moments g1, g2; pandas reports
     G1 = g1·sqrt(n(n-1))/(n-2) and G2 = ((n+1)·g2 + 6)·(n-1)/((n-2)(n-3)).
     """
-    qs = F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    quantiles = exact_quantiles(df, cols, (0.0, 0.25, 0.5, 0.75, 1.0))
     exprs = []
     for c in cols:
         v = F.col(c).cast("double")
-        exprs += [F.percentile(v, qs).alias(f"{c}__q"), F.avg(v).alias(f"{c}__mean"),
+        exprs += [F.avg(v).alias(f"{c}__mean"),
                   F.stddev_samp(v).alias(f"{c}__std"), F.skewness(v).alias(f"{c}__g1"),
                   F.kurtosis(v).alias(f"{c}__g2"), F.count(v).alias(f"{c}__n")]
     agg = df.agg(*exprs)
 
     def build(c):
         n = F.col(f"{c}__n").cast("double")
-        g1, g2, q = F.col(f"{c}__g1"), F.col(f"{c}__g2"), F.col(f"{c}__q")
+        g1, g2 = F.col(f"{c}__g1"), F.col(f"{c}__g2")
+        q = [F.lit(x).cast("double") for x in quantiles[c]]
         skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
         kurt = F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
         r = lambda e: F.round(e, digits)
@@ -100,58 +102,67 @@ def numeric_profile(df: DataFrame, cols, digits: int = 6) -> DataFrame:
 
 
 # A09 / A10 ----------------------------------------------------------------------------
-def _bounds(df: DataFrame, c: str, multiplier: float):
-    agg = df.agg(F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = agg.select(F.col("q")[0]).scalar(), agg.select(F.col("q")[1]).scalar()
-    return q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
-
-
 def numeric_outliers(df: DataFrame, cols, multiplier: float = 1.5) -> DataFrame:
-    """IQR bounds, outlier count and % of non-null values per column."""
-    parts = []
+    """IQR bounds, outlier count and % of non-null values per column, all columns in one aggregate."""
+    fences = iqr_fences(df, cols, multiplier)
+    exprs = []
     for c in cols:
-        lo, hi = _bounds(df, c, multiplier)
-        v = F.col(c).cast("double")
-        out = v.isNotNull() & ((v < lo) | (v > hi))
-        parts.append(df.agg(F.lit(c).alias("column"), F.round(lo, 6).alias("lower_bound"),
-                            F.round(hi, 6).alias("upper_bound"), F.count_if(out).alias("outlier_count"),
-                            pct(F.count_if(out), F.count(v)).alias("outlier_percentage")))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+        v, (low, high) = F.col(c).cast("double"), fences[c]
+        exprs += [F.count_if((v < F.lit(low)) | (v > F.lit(high))).alias(f"{c}__out"), F.count(v).alias(f"{c}__n")]
+    return _unpivot(df.agg(*exprs), cols, lambda c: F.struct(
+        F.lit(c).alias("column"), F.round(F.lit(fences[c][0]).cast("double"), 6).alias("lower_bound"),
+        F.round(F.lit(fences[c][1]).cast("double"), 6).alias("upper_bound"), F.col(f"{c}__out").alias("outlier_count"),
+        pct(F.col(f"{c}__out"), F.col(f"{c}__n")).alias("outlier_percentage")))
+
+
+def _samples(df: DataFrame, col: str, order: str, k: int, picked: Column) -> DataFrame:
+    v = F.col(col).cast("double")
+    return (df.filter(picked).orderBy(order).limit(k)
+              .select(F.lit(col).alias("column"), F.col(order).alias("position"), v.alias("value")))
 
 
 def outlier_samples(df: DataFrame, col: str, order: str, k: int = 10, multiplier: float = 1.5) -> DataFrame:
     """A09 samples: first k outliers in table order (top-k)."""
-    lo, hi = _bounds(df, col, multiplier)
+    low, high = iqr_fences(df, [col], multiplier)[col]
     v = F.col(col).cast("double")
-    return (df.filter(v.isNotNull() & ((v < lo) | (v > hi))).orderBy(order).limit(k)
-              .select(F.lit(col).alias("column"), F.col(order).alias("position"), v.alias("value")))
+    return _samples(df, col, order, k, (v < F.lit(low)) | (v > F.lit(high)))
 
 
-def numeric_errors(df: DataFrame, cols) -> DataFrame:
-    """A10: negatives, zeros and |z| > 5 (only when std > 0) per column."""
-    parts = []
+def _far(df: DataFrame, col: str, z: float) -> Column:
+    """|z-score| above ``z``; never where the deviation is 0 or null."""
+    v = F.col(col).cast("double")
+    stats = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s"))
+    m, s = stats.select("m").scalar(), stats.select("s").scalar()
+    return F.coalesce(F.when(s > 0, F.abs((v - m) / s) > z), F.lit(False))
+
+
+def numeric_errors(df: DataFrame, cols, z: float = 5.0) -> DataFrame:
+    """A10: negatives, zeros and |z| above ``z`` (only when std > 0) per column, in one aggregate."""
+    exprs = []
     for c in cols:
         v = F.col(c).cast("double")
-        st = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s"))
-        m, s = st.select("m").scalar(), st.select("s").scalar()
-        extreme = F.when(s > 0, F.abs((v - m) / s) > 5).otherwise(F.lit(False))
-        parts.append(df.agg(F.lit(c).alias("column"), F.count_if(v < 0).alias("negative_values"),
-                            F.count_if(v == 0).alias("zero_values"),
-                            F.count_if(v.isNotNull() & extreme).alias("extreme_values")))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+        exprs += [F.count_if(v < 0).alias(f"{c}__neg"), F.count_if(v == 0).alias(f"{c}__zero"),
+                  F.count_if(_far(df, c, z)).alias(f"{c}__far")]
+    return _unpivot(df.agg(*exprs), cols, lambda c: F.struct(
+        F.lit(c).alias("column"), F.col(f"{c}__neg").alias("negative_values"), F.col(f"{c}__zero").alias("zero_values"),
+        F.col(f"{c}__far").alias("extreme_values")))
+
+
+def extreme_samples(df: DataFrame, col: str, order: str, k: int = 5, z: float = 5.0) -> DataFrame:
+    """A10 samples: first k values with |z| above ``z`` in table order."""
+    return _samples(df, col, order, k, _far(df, col, z))
+
+
+def long_samples(df: DataFrame, col: str, order: str, k: int = 3, length: int = 200) -> DataFrame:
+    """A15 samples: first k values longer than ``length`` characters in table order."""
+    return (df.filter(F.char_length(col) > length).orderBy(order).limit(k)
+              .select(F.lit(col).alias("column"), F.col(order).alias("position"), F.char_length(col).alias("length"),
+                      F.col(col).alias("value")))
 
 
 def negative_samples(df: DataFrame, col: str, order: str, k: int = 5) -> DataFrame:
     """A10 samples: first k negative values in table order."""
-    v = F.col(col).cast("double")
-    return (df.filter(v < 0).orderBy(order).limit(k)
-              .select(F.lit(col).alias("column"), F.col(order).alias("position"), v.alias("value")))
+    return _samples(df, col, order, k, F.col(col).cast("double") < 0)
 
 
 # A13–A15 ------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from cartwise.operators import clean as C
 from cartwise.operators.anomaly import flag_anomalies
 from cartwise.operators.baskets import create_baskets
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import (TS_SQL, baskets, lines, out_lines, processed, register,
+from cartwise.plans.catalog import (OUTLIER_MULTIPLIER, TS_SQL, baskets, lines, out_lines, processed, register,
                                     show_ts, sql_lines)
 from cartwise.schema import JobParams
 
@@ -47,14 +47,14 @@ def f06(spark, sf):
     return out_lines(C.clean_lines(lines(spark, sf)))
 
 
-_ANOMALY_CTE = """
+_ANOMALY_CTE = f"""
 q AS (SELECT quantile_cont(Quantity, 0.25) AS q1q, quantile_cont(Quantity, 0.75) AS q3q,
              quantile_cont(UnitPrice, 0.25) AS q1p, quantile_cont(UnitPrice, 0.75) AS q3p,
              quantile_cont(TransactionValue, 0.25) AS q1v, quantile_cont(TransactionValue, 0.75) AS q3v FROM feat),
 r AS (SELECT feat.*, concat_ws(', ',
-        CASE WHEN Quantity < q1q - 1.5 * (q3q - q1q) OR Quantity > q3q + 1.5 * (q3q - q1q) THEN 'IQR outlier in Quantity' END,
-        CASE WHEN UnitPrice < q1p - 1.5 * (q3p - q1p) OR UnitPrice > q3p + 1.5 * (q3p - q1p) THEN 'IQR outlier in UnitPrice' END,
-        CASE WHEN TransactionValue < q1v - 1.5 * (q3v - q1v) OR TransactionValue > q3v + 1.5 * (q3v - q1v)
+        CASE WHEN Quantity < q1q - {OUTLIER_MULTIPLIER} * (q3q - q1q) OR Quantity > q3q + {OUTLIER_MULTIPLIER} * (q3q - q1q) THEN 'IQR outlier in Quantity' END,
+        CASE WHEN UnitPrice < q1p - {OUTLIER_MULTIPLIER} * (q3p - q1p) OR UnitPrice > q3p + {OUTLIER_MULTIPLIER} * (q3p - q1p) THEN 'IQR outlier in UnitPrice' END,
+        CASE WHEN TransactionValue < q1v - {OUTLIER_MULTIPLIER} * (q3v - q1v) OR TransactionValue > q3v + {OUTLIER_MULTIPLIER} * (q3v - q1v)
              THEN 'IQR outlier in TransactionValue' END) AS reasons
       FROM feat, q),
 flagged AS (SELECT *, reasons <> '' AS check_anomaly,
@@ -96,29 +96,31 @@ def p05(spark, sf):
     return processed(spark, sf, outliers=False).select("InvoiceNo", "StockCode", "TransactionValue")
 
 
-@register("S03", S.with_ctes(S.LINES, S.CLEAN, body="""
+@register("S03", S.with_ctes(S.LINES, S.CLEAN, _ANOMALY_CTE, body="""
 SELECT reason, count(*) AS n_rows FROM (
   SELECT 'Cancellations' AS reason FROM lines WHERE coalesce(starts_with(InvoiceNo, 'C'), false)
   UNION ALL SELECT 'no_CustomerID' FROM c1 WHERE CustomerID IS NULL
   UNION ALL SELECT 'Duplicate_transactions' FROM
-     (SELECT count(*) OVER (PARTITION BY InvoiceNo, StockCode) AS k FROM c3) WHERE k > 1)
+     (SELECT count(*) OVER (PARTITION BY InvoiceNo, StockCode) AS k FROM c3) WHERE k > 1
+  UNION ALL SELECT 'suspicious_transactions' FROM flagged WHERE check_anomaly)
 GROUP BY reason"""))
 def s03(spark, sf):
-    return C.rejects(lines(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
+    return C.rejects(lines(spark, sf), JobParams(outlier_enabled=True, iqr_multiplier=OUTLIER_MULTIPLIER)).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("A11", S.with_ctes(S.LINES, S.CLEAN, body="""
-SELECT 0 AS pos, 'Quantity' AS field, quantile_cont(Quantity, 0.25) - 1.5 * (quantile_cont(Quantity, 0.75) - quantile_cont(Quantity, 0.25)) AS lower,
-       quantile_cont(Quantity, 0.75) + 1.5 * (quantile_cont(Quantity, 0.75) - quantile_cont(Quantity, 0.25)) AS upper FROM feat
+@register("A11", S.with_ctes(S.LINES, S.CLEAN, body=f"""
+SELECT 0 AS pos, 'Quantity' AS field, quantile_cont(Quantity, 0.25) - {OUTLIER_MULTIPLIER} * (quantile_cont(Quantity, 0.75) - quantile_cont(Quantity, 0.25)) AS lower,
+       quantile_cont(Quantity, 0.75) + {OUTLIER_MULTIPLIER} * (quantile_cont(Quantity, 0.75) - quantile_cont(Quantity, 0.25)) AS upper FROM feat
 UNION ALL
-SELECT 1, 'UnitPrice', quantile_cont(UnitPrice, 0.25) - 1.5 * (quantile_cont(UnitPrice, 0.75) - quantile_cont(UnitPrice, 0.25)),
-       quantile_cont(UnitPrice, 0.75) + 1.5 * (quantile_cont(UnitPrice, 0.75) - quantile_cont(UnitPrice, 0.25)) FROM feat
+SELECT 1, 'UnitPrice', quantile_cont(UnitPrice, 0.25) - {OUTLIER_MULTIPLIER} * (quantile_cont(UnitPrice, 0.75) - quantile_cont(UnitPrice, 0.25)),
+       quantile_cont(UnitPrice, 0.75) + {OUTLIER_MULTIPLIER} * (quantile_cont(UnitPrice, 0.75) - quantile_cont(UnitPrice, 0.25)) FROM feat
 UNION ALL
-SELECT 2, 'TransactionValue', quantile_cont(TransactionValue, 0.25) - 1.5 * (quantile_cont(TransactionValue, 0.75) - quantile_cont(TransactionValue, 0.25)),
-       quantile_cont(TransactionValue, 0.75) + 1.5 * (quantile_cont(TransactionValue, 0.75) - quantile_cont(TransactionValue, 0.25)) FROM feat"""))
+SELECT 2, 'TransactionValue', quantile_cont(TransactionValue, 0.25) - {OUTLIER_MULTIPLIER} * (quantile_cont(TransactionValue, 0.75) - quantile_cont(TransactionValue, 0.25)),
+       quantile_cont(TransactionValue, 0.75) + {OUTLIER_MULTIPLIER} * (quantile_cont(TransactionValue, 0.75) - quantile_cont(TransactionValue, 0.25)) FROM feat"""))
 def a11(spark, sf):
     from cartwise.operators.anomaly import iqr_bounds
-    return iqr_bounds(processed(spark, sf, outliers=False), ["Quantity", "UnitPrice", "TransactionValue"])
+    return iqr_bounds(processed(spark, sf, outliers=False), ["Quantity", "UnitPrice", "TransactionValue"],
+                      OUTLIER_MULTIPLIER)
 
 
 @register("A12", S.with_ctes(S.LINES, S.CLEAN, _ANOMALY_CTE, body="""

@@ -12,7 +12,7 @@ from cartwise.sources.tables import table
 # ------------------------------------------------------------------ shared Spark inputs
 def labelled(spark, sf):
     from cartwise.plans.catalog import _memo
-    return _memo((id(spark), sf, "labelled"),
+    return _memo(spark, (sf, "labelled"),
                  lambda: X.label_baskets(baskets(spark, sf), bundles(spark, sf)))
 
 
@@ -22,7 +22,7 @@ def split(spark, sf):
 
 def vocab_of(spark, sf):
     from cartwise.plans.catalog import _memo
-    return _memo((id(spark), sf, "vocab"), lambda: X.vocabulary(baskets(spark, sf)))
+    return _memo(spark, (sf, "vocab"), lambda: X.vocabulary(baskets(spark, sf)))
 
 
 def nb_model(spark, sf, kind="multinomial"):

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from cartwise.functions.quantiles import exact_quantiles
 from cartwise.operators import profile as P
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import lines, processed, register
+from cartwise.plans.catalog import OUTLIER_MULTIPLIER, lines, processed, register
 from cartwise.sources.tables import table
 
 RAW8 = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
@@ -45,11 +46,13 @@ def a03(spark, sf):
      f"round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median FROM feat"
      for c in ("TransactionValue", "Quantity")])))
 def a04(spark, sf):
-    d = processed(spark, sf, outliers=False)
-    parts = [d.agg(F.lit(c).alias("field"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-                   F.round(F.avg(c), 6).alias("mean"), F.round(F.percentile(c, 0.5), 6).alias("median"))
-             for c in ("TransactionValue", "Quantity")]
-    return parts[0].unionByName(parts[1])
+    d, cols = processed(spark, sf, outliers=False), ("TransactionValue", "Quantity")
+    medians = exact_quantiles(d, cols, (0.5,))
+    agg = d.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in cols
+                  for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+    return agg.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("field"), F.col(f"{c}_min").alias("min"), F.col(f"{c}_max").alias("max"),
+        F.round(f"{c}_mean", 6).alias("mean"), F.round(F.lit(medians[c][0]).cast("double"), 6).alias("median")) for c in cols])))
 
 
 @register("A06", S.with_ctes(S.LINES, body="""SELECT count(*) AS total_rows, 8 AS total_columns,
@@ -80,8 +83,8 @@ def a08(spark, sf):
 
 
 def _bounds_sql(t, c):
-    return (f"(SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, "
-            f"quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {t})")
+    return (f"(SELECT quantile_cont({c}, 0.25) - {OUTLIER_MULTIPLIER} * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, "
+            f"quantile_cont({c}, 0.75) + {OUTLIER_MULTIPLIER} * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {t})")
 
 
 @register("A09", _union([f"""SELECT '{c}' AS column, round(b.lo, 6) AS lower_bound, round(b.hi, 6) AS upper_bound,
@@ -89,14 +92,14 @@ def _bounds_sql(t, c):
   round(count(*) FILTER (WHERE {c} < b.lo OR {c} > b.hi) * 10000.0 / count({c})) / 100 AS outlier_percentage
 FROM orders, {_bounds_sql('orders', c)} b GROUP BY b.lo, b.hi""" for c in ("o_totalprice",)]))
 def a09(spark, sf):
-    return P.numeric_outliers(table(spark, sf, "orders"), ["o_totalprice"])
+    return P.numeric_outliers(table(spark, sf, "orders"), ["o_totalprice"], OUTLIER_MULTIPLIER)
 
 
 @register("A09S", f"""SELECT 'o_totalprice' AS column, o_orderkey AS position, o_totalprice AS value
 FROM orders, {_bounds_sql('orders', 'o_totalprice')} b WHERE o_totalprice < b.lo OR o_totalprice > b.hi
 ORDER BY o_orderkey LIMIT 10""")
 def a09s(spark, sf):
-    return P.outlier_samples(table(spark, sf, "orders"), "o_totalprice", "o_orderkey")
+    return P.outlier_samples(table(spark, sf, "orders"), "o_totalprice", "o_orderkey", multiplier=OUTLIER_MULTIPLIER)
 
 
 @register("A10", """SELECT 'c_acctbal' AS column, count(*) FILTER (WHERE c_acctbal < 0) AS negative_values,
@@ -113,6 +116,28 @@ def a10s(spark, sf):
     return P.negative_samples(table(spark, sf, "customer"), "c_acctbal", "c_custkey")
 
 
+@register("A10X", """SELECT 'o_totalprice' AS column, o_orderkey AS position, CAST(o_totalprice AS DOUBLE) AS value FROM orders,
+  (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM orders) s
+WHERE s.sd > 0 AND abs((o_totalprice - s.m) / s.sd) > 1.5 ORDER BY o_orderkey LIMIT 5""")
+def a10x(spark, sf):
+    return P.extreme_samples(table(spark, sf, "orders"), "o_totalprice", "o_orderkey", z=1.5)
+
+
+@register("A15L", """SELECT 'text' AS column, doc_id AS position, CAST(length(text) AS INTEGER) AS length, text AS value
+FROM documents WHERE length(text) > 200 ORDER BY doc_id LIMIT 3""")
+def a15l(spark, sf):
+    return P.long_samples(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@register("A01D", S.with_ctes(S.LINES, body=f"""SELECT count(*) AS total_rows,
+  (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM lines GROUP BY {', '.join(RAW8)})) AS duplicate_rows,
+  'InvoiceNo:string, StockCode:string, Description:string, Quantity:int, InvoiceDate:timestamp_ntz, UnitPrice:double, CustomerID:double, Country:string' AS types
+FROM lines"""))
+def a01d(spark, sf):
+    d = raw8(spark, sf)
+    return P.overview(d).select("total_rows", "duplicate_rows", F.lit(", ".join(f"{c}:{t}" for c, t in d.dtypes)).alias("types"))
+
+
 TEXT_COLS = ["text", "lang", "source"]
 
 

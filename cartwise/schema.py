@@ -46,7 +46,6 @@ class JobParams:
     iqr_multiplier: float = 1.5
     outlier_enabled: bool = False
     outlier_fields: tuple = ("Quantity", "UnitPrice", "TransactionValue")
-    exact_percentiles: bool = True
     confidence_threshold: float = 0.5
     max_recommendations: int = 5
     oos_min_score: float = 0.3
