@@ -1,4 +1,5 @@
-"""Bundle classifiers: native Naive Bayes (L06, L07), SVM (L09–L11), prediction.
+"""Bundle classifiers: native Naive Bayes (L06, L07), SVM (L09, L10), cross-validation and
+fitting of all models (L13, L14), prediction (L15).
 
 Naive Bayes is fitted from aggregates into a small parameter table
 (class × item, bounded by the catalogue) and scored with joins, so its
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.operators.features import basket_items, sparse_features
+from cartwise.operators.features import basket_items, random_split, sparse_features
 
 
 @dataclass
@@ -74,7 +75,8 @@ def fit_gaussian_nb(train: DataFrame, vocab: DataFrame, var_smoothing: float = 1
     """Per class/item Bernoulli mean and variance p(1-p) + eps, eps = 1e-9·max feature variance.
 
     log N(x) for binary x: the x = 0 terms summed over the whole vocabulary go into the
-    class constant; each present item adds ll(1) - ll(0).
+    class constant; each present item adds ll(1) - ll(0).  Where no feature varies, the class
+    priors decide.
     """
     counts = _class_counts(train)
     n = sum(counts.values())
@@ -84,6 +86,8 @@ def fit_gaussian_nb(train: DataFrame, vocab: DataFrame, var_smoothing: float = 1
     full = vocab.select("item").join(ci, "item", "left").fillna(0, ["c0", "c1"])
     p_all = (F.col("c0") + F.col("c1")) / F.lit(float(n))
     eps = var_smoothing * (full.agg(F.max(p_all * (1 - p_all))).first()[0] or 0.0)
+    if eps == 0.0:      # every feature is constant: the prior is all there is to know
+        full = full.filter(F.lit(False))
     cols = []
     for c in (0, 1):
         nc = float(counts.get(c, 0))
@@ -93,7 +97,7 @@ def fit_gaussian_nb(train: DataFrame, vocab: DataFrame, var_smoothing: float = 1
         ll1 = -0.5 * F.log(2 * math.pi * var) - 0.5 * ((1 - mu) * (1 - mu)) / var
         cols += [ll0.alias(f"z{c}"), (ll1 - ll0).alias(f"w{c}")]
     table = full.select("item", *cols)
-    z = table.agg(F.sum("z0").alias("z0"), F.sum("z1").alias("z1")).first()
+    z = table.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("z0", "z1")]).first()
     lp = lambda c: math.log(counts[c] / n) if counts.get(c) else float("-inf")
     base = train.sparkSession.createDataFrame([(lp(0) + z["z0"], lp(1) + z["z1"])], "b0 double, b1 double")
     return NBModel("gaussian", table.select("item", "w0", "w1"), base, sorted(counts))
@@ -107,58 +111,119 @@ class SVMModel:
     svc: object
     platt: object
     classes: list
-    kernel_map: object = None
 
-    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+    def margins(self, baskets: DataFrame, items: str = "Items") -> DataFrame:
+        """The machine's own decision and its margin, as a one-element vector for Platt's regression."""
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
         x = self.vectorizer.transform(
             baskets.withColumn("_items", F.array_distinct(F.filter(items, lambda v: v.isNotNull()))))
-        if self.kernel_map is not None:
-            x = self.kernel_map(x)
         m = self.svc.transform(self.scaler.transform(x))
-        m = (m.withColumn("mvec", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
-              .drop("rawPrediction", "prediction"))
-        out = self.platt.transform(m)
+        return (m.withColumn("_margin", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
+                 .withColumn("_decision", F.col("prediction").cast("int"))
+                 .drop("rawPrediction", "prediction", "features", "scaled", "_items"))
+
+    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+        """``prediction`` by the sign of the margin, ``p1`` by Platt's regression on it."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.platt.transform(self.margins(baskets, items))
         return (out.withColumn("p1", vector_to_array("probability")[1])
-                   .withColumn("prediction", F.col("prediction").cast("int"))
-                   .drop("features", "_items", "scaled", "mvec", "rawPrediction", "probability"))
+                   .withColumn("prediction", F.col("_decision"))
+                   .drop("_margin", "_decision", "rawPrediction", "probability"))
 
 
-def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items",
-            kernel: str = "linear", n_components: int = 256, seed: int = 42) -> SVMModel:
-    """L09 + L10 (+ L11): scaled sparse features → LinearSVC(regParam = 1/(C·n)) → Platt
-    scaling (logistic regression on the margin).  Non-linear kernels use random Fourier
-    features (rbf) before the linear machine."""
-    from pyspark.ml.classification import LinearSVC, LogisticRegression
+def _fit_svc(train: DataFrame, C: float, items: str) -> SVMModel:
+    from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    labels = sorted(r[0] for r in train.select("label").distinct().collect())
-    if labels != [0, 1]:
-        raise ValueError("SVM needs both classes in the training data")
     vec_model, x = sparse_features(train, items)
-    kmap = None
-    if kernel != "linear":
-        raise NotImplementedError(f"kernel '{kernel}' is not built yet (only 'linear')")
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True).fit(x)
     xs = scaler.transform(x).withColumn("label", F.col("label").cast("double"))
-    n = xs.count()
-    svc = LinearSVC(featuresCol="scaled", labelCol="label", regParam=1.0 / (C * n), maxIter=100).fit(xs)
-    m = svc.transform(xs).withColumn("mvec", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
-    platt = LogisticRegression(featuresCol="mvec", labelCol="label").fit(m.select("mvec", "label"))
-    return SVMModel(vec_model, scaler, svc.setFeaturesCol("scaled"), platt.setFeaturesCol("mvec"), labels, kmap)
+    svc = LinearSVC(featuresCol="scaled", labelCol="label", regParam=1.0 / (C * xs.count()), maxIter=100).fit(xs)
+    return SVMModel(vec_model, scaler, svc, None, [0, 1])
 
 
-def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: float = 1.0,
-                      key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
-    """L13 in one pass: every row scored by the model trained on the other folds.
+def _has_both(df: DataFrame) -> bool:
+    seen = df.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    return seen["n0"] > 0 and seen["n1"] > 0
 
-    Per-fold counts (fold × item × class) are subtracted from the totals, so the k
-    training sets are never materialised; the parameter grid is k × vocabulary.
-    ``data`` needs ``label`` and ``fold``.  Returns key, fold, label, p1, prediction.
+
+def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items",
+            kernel: str = "linear", calibration: float = 0.2, seed: int = 42) -> SVMModel:
+    """L09 + L10: scaled sparse features → LinearSVC(regParam = 1 / (C·n)) → Platt scaling.
+
+    The machine is fitted on all rows.  Platt's regression sees margins of rows that their
+    machine was not fitted on: a second machine leaves out ``calibration`` of the rows (by
+    key hash) and scores them.  Where one of the two parts lacks a class (tiny data), the
+    margins of the training rows serve.
     """
-    v = vocab.count()
+    from pyspark.ml.classification import LogisticRegression
+
+    if kernel != "linear":
+        raise NotImplementedError(f"kernel '{kernel}' is not built (only 'linear')")
+    if not _has_both(train):
+        raise ValueError("an SVM needs rows of both classes")
+    model = _fit_svc(train, C, items)
+    parts = random_split(train, calibration, seed, key)
+    inner, held_out = parts.filter(~F.col("is_test")), parts.filter("is_test")
+    if _has_both(inner) and _has_both(held_out):
+        scored = _fit_svc(inner, C, items).margins(held_out, items)
+    else:
+        scored = model.margins(train, items)
+    scored = scored.select("_margin", F.col("label").cast("double").alias("label"))
+    model.platt = LogisticRegression(featuresCol="_margin", labelCol="label").fit(scored)
+    return model
+
+
+# L14 ----------------------------------------------------------------------------------
+FITTERS = {
+    "nb": lambda train, vocab: fit_multinomial_nb(train, vocab),
+    "gnb": lambda train, vocab: fit_gaussian_nb(train, vocab),
+    "svm": lambda train, vocab: fit_svm(train),
+}
+
+
+def fit_all(train: DataFrame, vocab: DataFrame, names=("nb", "gnb", "svm")) -> dict:
+    """One fitted model per name.  An SVM is left out where the labels have one class."""
+    both = _has_both(train)
+    return {n: FITTERS[n](train, vocab) for n in names if both or n != "svm"}
+
+
+def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "gnb", "svm")):
+    """Fit on the rows without ``is_test``, score the others: (models, metrics by model)."""
+    from cartwise.operators.metrics import grouped_metrics
+
+    models = fit_all(data.filter(~F.col("is_test")), vocab, names)
+    test, scored = data.filter("is_test"), None
+    for n, m in models.items():
+        rows = m.predict_proba(test).select(F.lit(n).alias("model"), "label", "prediction")
+        scored = rows if scored is None else scored.unionByName(rows)
+    return models, grouped_metrics(scored, ["model"])
+
+
+def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10) -> DataFrame:
+    """Mean and deviation of each metric over the folds, for both Naive Bayes models.
+
+    All folds are one pass per model; ``data`` (with ``label`` and ``fold``) is read more
+    than once and is best persisted by the caller.
+    """
+    from cartwise.operators.metrics import cv_summary, grouped_metrics
+
+    nb = cv_multinomial_nb(data, vocab, n_splits).withColumn("model", F.lit("nb"))
+    gnb = cv_gaussian_nb(data, vocab, n_splits).withColumn("model", F.lit("gnb"))
+    return cv_summary(grouped_metrics(nb.unionByName(gnb), ["model", "fold"]))
+
+
+def fit_all_with_kfold(data: DataFrame, vocab: DataFrame, n_splits: int = 10):
+    """The models of the last fold (fitted on the other folds), which the job keeps, and ``cross_validate``."""
+    return (fit_all(data.filter(F.col("fold") != n_splits - 1), vocab, ("nb", "gnb")),
+            cross_validate(data, vocab, n_splits))
+
+
+# L13 ----------------------------------------------------------------------------------
+def _fold_counts(data: DataFrame, vocab: DataFrame, n_splits: int, key: str, items: str):
+    """(long rows, per fold and item the class counts of the other folds, per fold their class sizes)."""
     long = basket_items(data, key, items).join(data.select(key, "label", "fold"), key)
     fc = long.groupBy("fold", "item").agg(F.count_if(F.col("label") == 0).alias("f0"),
                                           F.count_if(F.col("label") == 1).alias("f1"))
@@ -166,20 +231,66 @@ def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: f
     grid = (vocab.select("item").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
             .join(allc, "item", "left").join(fc, ["fold", "item"], "left").fillna(0, ["a0", "a1", "f0", "f1"])
             .select("fold", "item", (F.col("a0") - F.col("f0")).alias("c0"), (F.col("a1") - F.col("f1")).alias("c1")))
-    tot = grid.groupBy("fold").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
-    params = grid.join(tot, "fold").select(
-        "fold", "item", F.log((F.col("c0") + alpha) / (F.col("t0") + alpha * v)).alias("w0"),
-        F.log((F.col("c1") + alpha) / (F.col("t1") + alpha * v)).alias("w1"))
-    cls = data.groupBy("fold").agg(F.count_if(F.col("label") == 0).alias("n0"),
+    own = data.groupBy("fold").agg(F.count_if(F.col("label") == 0).alias("n0"),
                                    F.count_if(F.col("label") == 1).alias("n1"))
     n0_all = data.agg(F.count_if(F.col("label") == 0)).scalar()   # scalar subqueries
     n1_all = data.agg(F.count_if(F.col("label") == 1)).scalar()
-    rest = n0_all + n1_all - F.col("n0") - F.col("n1")  # rows outside the fold
-    pri = cls.select("fold", F.log((n0_all - F.col("n0")) / rest).alias("b0"),
-                     F.log((n1_all - F.col("n1")) / rest).alias("b1"))
+    rest = own.select("fold", (n0_all - F.col("n0")).alias("r0"), (n1_all - F.col("n1")).alias("r1"))
+    return long, grid, rest
+
+
+def _score_folds(data: DataFrame, long: DataFrame, params: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """key, fold, label, p1, prediction; a training set of one class says that class."""
     sums = (long.join(params, ["fold", "item"]).groupBy(key).agg(F.sum("w0").alias("s0"), F.sum("w1").alias("s1")))
-    scored = data.select(key, "fold", "label").join(sums, key, "left").join(pri, "fold")
+    scored = data.select(key, "fold", "label").join(sums, key, "left").join(base, "fold")
     j0 = F.col("b0") + F.coalesce(F.col("s0"), F.lit(0.0))
     j1 = F.col("b1") + F.coalesce(F.col("s1"), F.lit(0.0))
-    return scored.select(key, "fold", "label", (F.lit(1.0) / (F.lit(1.0) + F.exp(j0 - j1))).alias("p1"),
-                         F.when(j1 > j0, 1).otherwise(0).alias("prediction"))
+    no0, no1 = F.col("r0") == 0, F.col("r1") == 0
+    p1 = F.when(no0, 1.0).when(no1, 0.0).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(j0 - j1)))
+    prediction = F.when(no0, 1).when(no1, 0).when(j1 > j0, 1).otherwise(0)
+    return scored.select(key, "fold", "label", p1.alias("p1"), prediction.alias("prediction"))
+
+
+def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: float = 1.0,
+                      key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+    """L13 in one pass: every row scored by the model trained on the other folds.
+
+    Per-fold counts (fold × item × class) are subtracted from the totals, so the k
+    training sets are never materialised; the parameter grid is k × vocabulary.
+    ``data`` needs ``label`` and ``fold``.  Returns key, fold, label, p1, prediction.
+    """
+    v = vocab.count()
+    long, grid, rest = _fold_counts(data, vocab, n_splits, key, items)
+    tot = grid.groupBy("fold").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
+    params = grid.join(tot, "fold").select(
+        "fold", "item", F.log((F.col("c0") + alpha) / (F.col("t0") + alpha * v)).alias("w0"),
+        F.log((F.col("c1") + alpha) / (F.col("t1") + alpha * v)).alias("w1"))
+    n = F.col("r0") + F.col("r1")
+    base = rest.select("fold", "r0", "r1", F.log(F.col("r0") / n).alias("b0"), F.log(F.col("r1") / n).alias("b1"))
+    return _score_folds(data, long, params, base, key)
+
+
+def cv_gaussian_nb(data: DataFrame, vocab: DataFrame, n_splits: int, var_smoothing: float = 1e-9,
+                   key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+    """L13 for the Gaussian model, from the same per-fold counts; result as ``cv_multinomial_nb``.
+
+    Where no feature of a training set varies, its class priors decide.
+    """
+    long, grid, rest = _fold_counts(data, vocab, n_splits, key, items)
+    counted = grid.join(rest, "fold")
+    p_all = (F.col("c0") + F.col("c1")) / (F.col("r0") + F.col("r1"))
+    eps = counted.groupBy("fold").agg((var_smoothing * F.max(p_all * (1 - p_all))).alias("eps"))
+    counted = counted.join(eps.filter("eps > 0"), "fold")
+    cols = []
+    for c in (0, 1):
+        mu = F.when(F.col(f"r{c}") > 0, F.col(f"c{c}") / F.col(f"r{c}")).otherwise(0.0)
+        var = mu * (1 - mu) + F.col("eps")
+        ll0 = -0.5 * F.log(2 * math.pi * var) - 0.5 * (mu * mu) / var
+        ll1 = -0.5 * F.log(2 * math.pi * var) - 0.5 * ((1 - mu) * (1 - mu)) / var
+        cols += [ll0.alias(f"z{c}"), (ll1 - ll0).alias(f"w{c}")]
+    params = counted.select("fold", "item", *cols)
+    absent = params.groupBy("fold").agg(F.sum("z0").alias("z0"), F.sum("z1").alias("z1"))
+    n = F.col("r0") + F.col("r1")
+    prior = lambda c: F.log(F.col(f"r{c}") / n) + F.coalesce(F.col(f"z{c}"), F.lit(0.0))
+    base = rest.join(absent, "fold", "left").select("fold", "r0", "r1", prior(0).alias("b0"), prior(1).alias("b1"))
+    return _score_folds(data, long, params.select("fold", "item", "w0", "w1"), base, key)

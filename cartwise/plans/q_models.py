@@ -1,4 +1,4 @@
-"""Registered queries: features, labels, splits, Naive Bayes, metrics."""
+"""Registered queries: features, labels, splits, Naive Bayes, metrics."""
 
 from pyspark.sql import functions as F
 
@@ -9,6 +9,8 @@ from cartwise.plans import sqlparts as S
 from cartwise.plans.catalog import BUNDLE_SUPPORT, MAX_BUNDLE_SIZE, baskets, bundles, register
 from cartwise.sources.tables import table
 
+N_SPLITS = 10
+
 # ------------------------------------------------------------------ shared Spark inputs
 def labelled(spark, sf):
     from cartwise.plans.catalog import _memo
@@ -135,7 +137,7 @@ def l12(spark, sf):
 
 
 CV_SQL = """
-fl AS (SELECT *, CAST((row_number() OVER (ORDER BY md5('42|' || InvoiceNo), InvoiceNo) - 1) % 5 AS INTEGER) AS fold FROM lab),
+fl AS (SELECT *, CAST((row_number() OVER (ORDER BY md5('42|' || InvoiceNo), InvoiceNo) - 1) % 10 AS INTEGER) AS fold FROM lab),
 fs AS (SELECT DISTINCT fold AS k FROM fl),
 ftc AS (SELECT fs.k, bi.item, fl.label FROM fs JOIN fl ON fl.fold <> fs.k JOIN bi ON bi.InvoiceNo = fl.InvoiceNo),
 fci AS (SELECT fs.k, vocab.item, count(ftc.label) FILTER (WHERE ftc.label = 0) AS c0, count(ftc.label) FILTER (WHERE ftc.label = 1) AS c1
@@ -149,28 +151,74 @@ fsc AS (SELECT fl.InvoiceNo, fl.fold, fl.label, fpri.b0 + coalesce(sum(fprm.w0),
         FROM fl JOIN fpri ON fpri.k = fl.fold LEFT JOIN bi ON bi.InvoiceNo = fl.InvoiceNo
         LEFT JOIN fprm ON fprm.k = fl.fold AND fprm.item = bi.item
         GROUP BY fl.InvoiceNo, fl.fold, fl.label, fpri.b0, fpri.b1),
-fpred AS (SELECT fold, label, CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS prediction FROM fsc),
-fm AS (SELECT fold, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy,
+fcl AS (SELECT fs.k, count(*) FILTER (WHERE fl.label = 0) AS n0, count(*) FILTER (WHERE fl.label = 1) AS n1
+        FROM fs JOIN fl ON fl.fold <> fs.k GROUP BY fs.k),
+fmu AS (SELECT fci.k, fci.item, c0 / n0 AS m0, c1 / n1 AS m1, (c0 + c1) / (n0 + n1) AS pa FROM fci JOIN fcl ON fci.k = fcl.k),
+fvar AS (SELECT k, item, m0, m1, m0 * (1 - m0) + 1e-9 * max(pa * (1 - pa)) OVER (PARTITION BY k) AS v0,
+                m1 * (1 - m1) + 1e-9 * max(pa * (1 - pa)) OVER (PARTITION BY k) AS v1 FROM fmu),
+fgl AS (SELECT k, item, -0.5 * ln(2 * pi() * v0) - 0.5 * m0 * m0 / v0 AS z0, -0.5 * ln(2 * pi() * v1) - 0.5 * m1 * m1 / v1 AS z1,
+               0.5 * (m0 * m0 - (1 - m0) * (1 - m0)) / v0 AS w0, 0.5 * (m1 * m1 - (1 - m1) * (1 - m1)) / v1 AS w1 FROM fvar),
+fgp AS (SELECT fgl.k, ln(any_value(n0) / (any_value(n0) + any_value(n1))) + sum(z0) AS b0,
+               ln(any_value(n1) / (any_value(n0) + any_value(n1))) + sum(z1) AS b1 FROM fgl JOIN fcl ON fgl.k = fcl.k GROUP BY fgl.k),
+fgs AS (SELECT fl.InvoiceNo, fl.fold, fl.label, fgp.b0 + coalesce(sum(fgl.w0), 0) AS j0, fgp.b1 + coalesce(sum(fgl.w1), 0) AS j1
+        FROM fl JOIN fgp ON fgp.k = fl.fold LEFT JOIN bi ON bi.InvoiceNo = fl.InvoiceNo
+        LEFT JOIN fgl ON fgl.k = fl.fold AND fgl.item = bi.item GROUP BY fl.InvoiceNo, fl.fold, fl.label, fgp.b0, fgp.b1),
+fpred AS (SELECT 'nb' AS model, fold, label, CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS prediction FROM fsc
+          UNION ALL SELECT 'gnb', fold, label, CASE WHEN j1 > j0 THEN 1 ELSE 0 END FROM fgs),
+fm AS (SELECT model, fold, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy,
               CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END AS precision,
               CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS recall,
               CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1
-       FROM (SELECT fold, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+       FROM (SELECT model, fold, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
                     count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn
-             FROM fpred GROUP BY fold))
+             FROM fpred GROUP BY model, fold))
 """
 
 
-@register("L13", S.with_ctes(*BASE, CV_SQL, body="""SELECT 'nb' AS model,
+@register("L13", S.with_ctes(*BASE, CV_SQL, body="""SELECT model,
   round(avg(accuracy), 9) AS accuracy, round(stddev_pop(accuracy), 9) AS std_accuracy,
   round(avg(precision), 9) AS precision, round(stddev_pop(precision), 9) AS std_precision,
   round(avg(recall), 9) AS recall, round(stddev_pop(recall), 9) AS std_recall,
-  round(avg(f1), 9) AS f1, round(stddev_pop(f1), 9) AS std_f1, CAST(count(*) AS INTEGER) AS n_splits FROM fm"""))
+  round(avg(f1), 9) AS f1, round(stddev_pop(f1), 9) AS std_f1, CAST(count(*) AS INTEGER) AS n_splits FROM fm GROUP BY model"""))
 def l13(spark, sf):
-    data = X.kfold(labelled(spark, sf), 5, 42)
-    vocab = X.vocabulary(baskets(spark, sf))
-    pred = MD.cv_multinomial_nb(data, vocab, 5)
-    per_fold = MT.grouped_metrics(pred, ["fold"]).withColumn("model", F.lit("nb"))
-    return MT.cv_summary(per_fold)
+    return MD.cross_validate(folds(spark, sf), vocab_of(spark, sf), N_SPLITS)
+
+
+def folds(spark, sf):
+    from cartwise.plans.catalog import _memo
+    return _memo(spark, (sf, "folds", N_SPLITS), lambda: X.kfold(labelled(spark, sf), N_SPLITS, 42))
+
+
+@register("L13M", S.with_ctes(*BASE, CV_SQL, body="SELECT item, round(w0, 9) AS w0, round(w1, 9) AS w1 FROM fprm WHERE k = 9"))
+def l13m(spark, sf):
+    return MD.fit_all_with_kfold(folds(spark, sf), vocab_of(spark, sf), N_SPLITS)[0]["nb"].params.select("item", F.round("w0", 9).alias("w0"), F.round("w1", 9).alias("w1"))
+
+
+@register("L14", S.with_ctes(*BASE, MNB, GNB, body="SELECT 'nb' AS model, * FROM (" + metrics_sql("pred WHERE is_test")
+                             + ") UNION ALL SELECT 'gnb', * FROM (" + metrics_sql("gpred WHERE is_test") + ")"))
+def l14(spark, sf):
+    return MD.fit_all_with_random_split(split(spark, sf), vocab_of(spark, sf), ("nb", "gnb"))[1]
+
+
+@register("L09")
+def l09(spark, sf):
+    """Margin classes and Platt probabilities of the test baskets (no SQL twin: an iterative fit)."""
+    data = split(spark, sf)
+    svm = MD.fit_svm(data.filter(~F.col("is_test")))
+    return svm.predict_proba(data.filter("is_test")).select("InvoiceNo", "label", F.round("p1", 6).alias("p1"), "prediction")
+
+
+@register("L17", S.with_ctes(*BASE, MNB, GNB, body="""SELECT p.InvoiceNo AS request_id, round(p.p1, 6) AS nb, round(g.p1, 6) AS gnb
+FROM pred p JOIN gpred g ON p.InvoiceNo = g.InvoiceNo WHERE p.is_test"""))
+def l17(spark, sf):
+    data = split(spark, sf)
+    models = MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), ("nb", "gnb"))
+    scores = None
+    for n, m in models.items():
+        rows = m.predict_proba(data.filter("is_test")).select(
+            F.col("InvoiceNo").alias("request_id"), F.lit(n).alias("model"), F.round("p1", 6).alias("confidence"))
+        scores = rows if scores is None else scores.unionByName(rows)
+    return MT.side_by_side(scores, models=list(models))
 
 
 @register("F08", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, body="""SELECT InvoiceNo,
@@ -213,15 +261,14 @@ def f10(spark, sf):
     return out.select("request_id", F.array_join("known_items", "|").alias("known_items"), "n_dropped")
 
 
-@register("L16", S.with_ctes(*BASE, MNB, CV_SQL, body="""
-SELECT 'nb' AS model, r.accuracy AS random_accuracy, k.accuracy AS kfold_accuracy,
-       round(abs(r.accuracy - k.accuracy), 9) AS diff_accuracy,
-       r.f1 AS random_f1, k.f1 AS kfold_f1, round(abs(r.f1 - k.f1), 9) AS diff_f1
-FROM (""" + metrics_sql("pred WHERE is_test") + """) r,
-     (SELECT round(avg(accuracy), 9) AS accuracy, round(avg(f1), 9) AS f1 FROM fm) k"""))
+_L16 = [f"{side}_{m}" for m in ("accuracy", "precision", "recall", "f1") for side in ("random", "kfold", "diff")]
+
+
+@register("L16", S.with_ctes(*BASE, MNB, GNB, CV_SQL, f"""
+rnd AS (SELECT 'nb' AS model, * FROM ({metrics_sql("pred WHERE is_test")}) UNION ALL SELECT 'gnb', * FROM ({metrics_sql("gpred WHERE is_test")})),
+kf AS (SELECT model, round(avg(accuracy), 9) AS accuracy, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall,
+              round(avg(f1), 9) AS f1 FROM fm GROUP BY model)""", body="SELECT r.model, " + ", ".join(
+    f"r.{m} AS random_{m}, k.{m} AS kfold_{m}, round(abs(r.{m} - k.{m}), 9) AS diff_{m}" for m in ("accuracy", "precision", "recall", "f1"))
+    + " FROM rnd r JOIN kf k ON r.model = k.model"))
 def l16(spark, sf):
-    model, data = nb_model(spark, sf)
-    rnd = MT.binary_metrics(model.predict_proba(data.filter("is_test"))).withColumn("model", F.lit("nb"))
-    kf = l13(spark, sf)
-    cmp = MT.compare(rnd, kf)
-    return cmp.select("model", "random_accuracy", "kfold_accuracy", "diff_accuracy", "random_f1", "kfold_f1", "diff_f1")
+    return MT.compare(l14(spark, sf), l13(spark, sf)).select("model", *_L16)
