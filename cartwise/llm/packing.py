@@ -50,6 +50,28 @@ CHUNK_MEMORY = 400_000
 CUTS = re.compile(r"(?<=[^\W_])(?=[^\w\s])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
+class Memory(dict):
+    """Token ids by text, filled on first use; ``older`` is the memory before, which this one takes over from."""
+
+    def __init__(self, make, older: dict[str, bytes]):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+        self[text] = ids
+        return ids
+
+    def renewed(self) -> Memory:
+        """This memory, or a fresh one over it when full: what is still in use comes back."""
+        if len(self) <= CHUNK_MEMORY:
+            return self
+        self.older = {}
+        return Memory(self.make, self)
+
+
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -58,35 +80,27 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def learn(self, new: set[str]) -> None:
-        """Put the ids of chunks into ``seen``, from the older memory, from known parts or by encoding."""
-        known = {c for c in new if c in self.older}
-        self.seen.update((c, self.older[c]) for c in known)
-        parts = {c: CUTS.split(c) for c in new - known}
-        fresh = {p for ps in parts.values() for p in ps}.difference(self.seen)
-        known = {p for p in fresh if p in self.older}
-        self.seen.update((c, self.older[c]) for c in known)
-        fresh = list(fresh - known)
-        self.seen.update(zip(fresh, self.encode(fresh), strict=True))
-        self.seen.update((c, b"".join(map(self.seen.__getitem__, ps))) for c, ps in parts.items() if len(ps) > 1)
+        self.parts = Memory(self.encode, {})
+        self.chunks = Memory(self.chunk, {})    # by the text behind the chunk's space
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        if text.isalnum():                      # nothing to cut at
+            return self.encode(f" {text}")
+        first, *rest = CUTS.split(f" {text}")
+        if not rest:
+            return self.encode(first)
+        return self.chunks[first[1:]] + b"".join(map(self.parts.__getitem__, rest))
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or any(s in text for s in self.specials):
-            return self.encode([text])[0]
+            return self.encode(text)
+        self.parts, self.chunks = self.parts.renewed(), self.chunks.renewed()
         first, *rest = text.split(" ")
-        chunks = [first, *[f" {c}" for c in rest]] if first else [f" {c}" for c in rest]
-        if len(self.seen) > CHUNK_MEMORY:       # what is still in use comes back from the older memory
-            self.seen, self.older = {}, self.seen
-        if new := set(chunks).difference(self.seen):
-            self.learn(new)
-        return b"".join(map(self.seen.__getitem__, chunks))
+        head = b"".join(map(self.parts.__getitem__, CUTS.split(first))) if first else b""
+        return head + b"".join(map(self.chunks.__getitem__, rest))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
