@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -198,16 +199,38 @@ def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_chunk_encoder_equals_whole_encoding():
+def test_token_ids_equal_whole_encoding():
     from tokenizers import Tokenizer
     path = tokenizer_path()
-    whole, parts = Tokenizer.from_file(path), packing.ChunkEncoder(open(path, encoding="utf-8").read())
+    whole, ours = Tokenizer.from_file(path), packing.TextEncoder(open(path, encoding="utf-8").read())
+    assert ours.fast is not None
+    rng = random.Random(7)
+    signs = "ab cdE 's 've 12.\n\t\r \u00e9\u00df\u4e2d\u6587\U0001f642\u200b\u3000\u0301<|endoftext|>"
     texts = ["", " ", "  ", "a  b", "a\n b", "a \nb", "\n\n x  y", "a <|endoftext|> b", "don't we'll 12a345\t x", "é　 ü",
-             "it's a_b, c%%% d.\nThe x.\n\ny ², (abc) z.\r\nq", "x\n", "\nx", "a  b", "é f"]
-    rng = np.random.default_rng(2)
-    texts += ["".join(rng.choice(list("aB1é,.'_% \n\t-"), 60)) for _ in range(400)]
+             "it's a_b, c%%% d.\nThe x.\n\ny ², (abc) z.\r\nq", "x\n", "\nx", "a  b", "é f"]
+    texts += ["  a", "<|endoftext|>", "x <|endoftext|> y", "\x00\x1c\x85\u00a0\u2028", "ab " * 5000, "a" * 60_000,
+             " " * 300_000, "a" + "\t " * 150_000 + "b", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(3000))]
+    texts += ["".join(rng.choices("aB1é,.'_% \n\t-", k=60)) for _ in range(400)]
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts += [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} !{chr(c)}?" for c in points[::7]]
     for t in texts:
-        assert np.frombuffer(parts(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(ours(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_other_tokenizers_are_not_taken_for_ranks():
+    import json
+
+    from tokenizers import Tokenizer
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    assert packing.ranks(json.dumps(spec)) is not None
+    swapped = json.loads(json.dumps(spec))
+    swapped["model"]["merges"][5:7] = swapped["model"]["merges"][6:4:-1]
+    prefixed = json.loads(json.dumps(spec))
+    prefixed["pre_tokenizer"]["add_prefix_space"] = True
+    for other in (swapped, prefixed):
+        assert packing.ranks(json.dumps(other)) is None
+        text = "The lower newest widest words"
+        assert np.frombuffer(packing.TextEncoder(json.dumps(other))(text), "<u4").tolist() == Tokenizer.from_str(json.dumps(other)).encode(text, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark):
