@@ -1,4 +1,4 @@
-"""Cache-first enrichment through a pluggable scorer.
+"""Cache-first enrichment through a pluggable scorer.
 
 The data work is Spark's: distinct keys, anti-join against the cache, batching
 (``mapInPandas`` record batches), parsing and validating the replies (E08),
@@ -20,7 +20,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from cartwise.functions.text import candidate_hash, normalize_basic
+from cartwise.operators.stock import best_alternatives
 from cartwise.session import checkpoint_dir
 
 RAW_SCHEMA = "key string, raw string, status string"
@@ -29,6 +32,9 @@ CONTEXT_SCHEMA = T.StructType([T.StructField("contexts", T.ArrayType(T.StructTyp
     T.StructField("context", T.StringType()), T.StructField("confidence", T.DoubleType())])))])
 ANOMALY_SCHEMA = T.StructType([T.StructField("anomaly_type", T.StringType()),
                                T.StructField("anomaly_reason", T.StringType())])
+ALTERNATIVES_SCHEMA = T.StructType([T.StructField("alternatives", T.ArrayType(T.StructType([
+    T.StructField("item", T.StringType()), T.StructField("score", T.DoubleType()),
+    T.StructField("reason", T.StringType())])))])
 # Anomaly labels a scorer may return.
 ANOMALY_TYPES = ["bot-like", "mispriced", "invalid", "none"]
 
@@ -161,6 +167,39 @@ def label_anomalies(flagged: DataFrame, scorer, cache: DataFrame | None = None,
     return out, new_cache
 
 
+def select_alternatives(missing: DataFrame, candidates: DataFrame, scorer, group: str, max_alternatives: int = 1,
+                        max_candidates: int = 200, cache: DataFrame | None = None, batch_rows: int = 10, force=False):
+    """An in-stock alternative per (``group``, item), chosen by the scorer.
+
+    The scorer gets the text {"missing_item", "candidates"} with the group's first
+    ``max_candidates`` candidates by name (the service's own limit; the window's limit is
+    applied before the shuffle, so a large group is never collected) and replies with
+    {item, score, reason} objects.  Of the first ``max_alternatives`` the best score wins,
+    the earlier one on a tie.  Replies are cached by normalized item and candidate hash.
+    Items without a valid reply get the token-overlap choice (R04) among all candidates.
+
+    Returns (``group``, item, alternative, score, reason) and the new cache; items with no
+    choice at all have no row, as have null or empty items.
+    """
+    named = lambda d: d.select(group, "item").filter("item <> ''").distinct()
+    missing, candidates = named(missing), named(candidates)
+    first = candidates.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("item")))
+    lists = first.filter(F.col("_n") <= max_candidates).groupBy(group).agg(F.sort_array(F.collect_list("item")).alias("_c"))
+    asked = missing.join(lists, group).select(
+        group, "item", F.concat(normalize_basic("item"), F.lit("|"), candidate_hash("_c")).alias("key"),
+        F.to_json(F.struct(F.col("item").alias("missing_item"), F.col("_c").alias("candidates"))).alias("text"))
+    check = lambda v: F.forall(v["alternatives"], lambda a: (F.length(a["item"]) > 0) & a["score"].between(0.0, 1.0))
+    values, new_cache, _ = cached_lookup(asked.groupBy("key").agg(F.min("text").alias("text")), cache, scorer,
+                                         ALTERNATIVES_SCHEMA, check, batch_rows, force)
+    offers = F.slice(F.col("value")["alternatives"], 1, max_alternatives)
+    best = F.filter(offers, lambda a: a["score"] == F.array_max(F.transform(offers, lambda o: o["score"])))
+    chosen = asked.join(values.select("key", F.get(best, F.lit(0)).alias("_a")), "key").filter(F.col("_a").isNotNull()).select(
+        group, "item", F.col("_a")["item"].alias("alternative"), F.col("_a")["score"].alias("score"),
+        F.coalesce(F.col("_a")["reason"], F.lit("")).alias("reason"))
+    others = best_alternatives(missing.join(chosen.select(group, "item"), [group, "item"], "left_anti"), candidates, group)
+    return chosen.unionByName(others), new_cache
+
+
 def normalize_with_scorer(df: DataFrame, scorer, col: str = "Description", cache: DataFrame | None = None):
     """Scorer-normalized text; failure → the original text."""
     schema = T.StructType([T.StructField("normalized", T.StringType())])

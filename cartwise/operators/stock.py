@@ -55,13 +55,15 @@ def best_alternatives(missing: DataFrame, candidates: DataFrame, group: str | No
     return best.select(*g, "item", "alternative", "score", F.lit("token-overlap").alias("reason"))
 
 
-def repair_bundles(recs: DataFrame, inventory: DataFrame, min_score: float = 0.3, req: str = "request_id") -> DataFrame:
+def repair_bundles(recs: DataFrame, inventory: DataFrame, min_score: float = 0.3, req: str = "request_id",
+                   select=best_alternatives) -> DataFrame:
     """Replace out-of-stock items of each request's recommended bundles.
 
     ``recs``: (request_id, rank, bundle) and ``bundle_items``, the array of items; only a
     frame without that column has its printed names split at '|'.  An item is out of
     stock iff the inventory holds its normalized name as false (absent → in stock);
-    candidates are the in-stock items of the same request's bundles.  Returns one
+    candidates are the in-stock items of the same request's bundles and ``select(missing,
+    candidates, req)`` chooses among them (R04, or E04 with a scorer).  Returns one
     row per (request, rank): original and resolved bundle and the substitutions.
     """
     inv = inventory.select(normalize_basic("item").alias("_key"), "in_stock").groupBy("_key").agg(
@@ -72,7 +74,7 @@ def repair_bundles(recs: DataFrame, inventory: DataFrame, min_score: float = 0.3
         "oos", F.coalesce(F.col("_in") == 0, F.lit(False))).drop("_key", "_in")
     cands = items.filter(~F.col("oos")).select(req, "item").distinct()
     missing = items.filter(F.col("oos")).select(req, "item").distinct()
-    best = best_alternatives(missing, cands, req).filter(F.col("score") >= min_score)
+    best = select(missing, cands, req).filter(F.col("score") >= min_score)
     joined = items.join(best, [req, "item"], "left")
     resolved = F.coalesce(F.col("alternative"), F.col("item"))
     sub = F.when(F.col("alternative").isNotNull(), F.struct(F.col("item").alias("missing_item"),

@@ -104,5 +104,5 @@ def bundles(spark, sf, min_support=BUNDLE_SUPPORT, max_size=MAX_BUNDLE_SIZE):
 # Import the query modules so that they register themselves.
 def load_all():
     from cartwise.plans import (  # noqa: F401
-        q_clean, q_enrich, q_mining, q_models, q_profile, q_query, q_recommend, q_stock)
+        q_clean, q_enrich, q_io, q_mining, q_models, q_profile, q_query, q_recommend, q_stock)
     return QUERIES, ORACLES

@@ -14,18 +14,22 @@ from cartwise.schema import RAW_LINES, ROW_ORDER
 
 def load_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV, ISO-8859-1, explicit schema (keys stay text), splittable
-    (no multiLine).  ``row_order`` = (file, block start, id): file order even when
+    (no multiLine); a doubled quote inside quotes is a quote.  ``row_order`` = (file, block start, id): file order even when
     splits are packed across files."""
-    df = (spark.read.schema(RAW_LINES).option("header", True).option("encoding", "ISO-8859-1")
+    df = (spark.read.schema(RAW_LINES).option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
           .option("mode", "PERMISSIVE").csv(path))
     return df.withColumn(ROW_ORDER, F.struct(F.col("_metadata.file_path").alias("f"),
                                              F.col("_metadata.file_block_start").alias("b"),
                                              F.monotonically_increasing_id().alias("i")))
 
 
+# Text goes into files as it is: blanks at its ends stay, a quote is doubled.
+PLAIN = {"sep": "\t", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def csv_to_tsv(df: DataFrame, out: str) -> None:
     """Re-encode as UTF-8 TSV with header (a directory of part files)."""
-    df.drop(ROW_ORDER).write.mode("overwrite").option("sep", "\t").option("header", True).csv(out)
+    df.drop(ROW_ORDER).write.mode("overwrite").options(**PLAIN).csv(out)
 
 
 def default_tsv_path(csv_path: str) -> str:
@@ -34,18 +38,33 @@ def default_tsv_path(csv_path: str) -> str:
 
 def write_rejects(rejects: DataFrame, out: str) -> None:
     """One pass, one directory per reason (only non-empty reasons appear)."""
-    rejects.drop(ROW_ORDER).write.mode("overwrite").partitionBy("reason").option("sep", "\t") \
-        .option("header", True).csv(out)
+    rejects.drop(ROW_ORDER).write.mode("overwrite").partitionBy("reason").options(**PLAIN).csv(out)
+
+
+def _stamp() -> str:
+    return dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
 
 
-def save_snapshot(out: str, lines: DataFrame, baskets: DataFrame, bundles: DataFrame) -> None:
-    """Parquet per table + a one-row manifest with the timestamp."""
-    spark = lines.sparkSession
-    lines.drop(ROW_ORDER).write.mode("overwrite").parquet(f"{out}/lines")
-    baskets.write.mode("overwrite").parquet(f"{out}/baskets")
-    bundles.write.mode("overwrite").parquet(f"{out}/bundles")
-    spark.createDataFrame([(dt.datetime.now(dt.timezone.utc).isoformat(),)], "timestamp string") \
-        .write.mode("overwrite").json(f"{out}/_manifest")
+MANIFEST = "timestamp string, lines string, baskets string, bundles string"
+
+
+def save_snapshot(out: str, lines: DataFrame | None, baskets: DataFrame, bundles: DataFrame, keep_lines: str | None = None) -> str:
+    """Parquet per table and a TSV copy of the lines in a new version, then a manifest row that names them.
+
+    Nothing is overwritten, so a snapshot may be derived from the one before and its readers
+    are unaffected.  ``keep_lines`` names lines already saved (bundles-only runs).  Returns
+    the timestamp.
+    """
+    stamp = _stamp()
+    version = f"version-{stamp}"
+    if keep_lines is None:
+        lines.write.parquet(f"{out}/{version}/lines")
+        csv_to_tsv(lines.sparkSession.read.parquet(f"{out}/{version}/lines"), f"{out}/{version}/lines_tsv")
+    baskets.write.parquet(f"{out}/{version}/baskets")
+    bundles.write.parquet(f"{out}/{version}/bundles")
+    row = (stamp, keep_lines or f"{version}/lines", f"{version}/baskets", f"{version}/bundles")
+    baskets.sparkSession.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{out}/_manifest")
+    return stamp
 
 
 def _missing(error: AnalysisException) -> bool:
@@ -54,15 +73,15 @@ def _missing(error: AnalysisException) -> bool:
 
 
 def load_snapshot(spark: SparkSession, path: str) -> dict:
-    """The saved tables; a missing snapshot raises FileNotFoundError."""
+    """The tables of the latest snapshot; a missing one raises FileNotFoundError."""
     try:
-        man = spark.read.json(f"{path}/_manifest").first()
+        man = spark.read.schema(MANIFEST).json(f"{path}/_manifest").orderBy(F.desc("timestamp")).first()
     except AnalysisException as e:
         if _missing(e):
             raise FileNotFoundError(f"no snapshot at {path}") from e
         raise
-    return {"lines": spark.read.parquet(f"{path}/lines"), "baskets": spark.read.parquet(f"{path}/baskets"),
-            "bundles": spark.read.parquet(f"{path}/bundles"), "timestamp": man["timestamp"]}
+    return {**{t: spark.read.parquet(f"{path}/{man[t]}") for t in ("lines", "baskets", "bundles")},
+            "timestamp": man["timestamp"], "lines_at": man["lines"]}
 
 
 def load_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +113,7 @@ def load_kv_cache(spark: SparkSession, path: str, schema: str) -> DataFrame | No
 
 def save_kv_cache(cache: DataFrame, path: str) -> str:
     """Write a new version, then point to it (readers of the old one are unaffected)."""
-    saved = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
+    saved = _stamp()
     version = f"version-{saved}"
     cache.write.mode("errorifexists").parquet(f"{path}/{version}")
     cache.sparkSession.createDataFrame([(saved, version)], "saved string, version string").coalesce(1) \
@@ -131,3 +150,21 @@ def load_nb_model(spark: SparkSession, path: str):
     base = spark.read.parquet(f"{path}/base")
     row = base.first()
     return NBModel(row["kind"], spark.read.parquet(f"{path}/params"), base.select("b0", "b1"), list(row["classes"]))
+
+
+SVM_PARTS = ("vectorizer", "scaler", "svc", "platt")
+
+
+def save_svm_model(model, out: str) -> None:
+    """The fitted stages of a linear SVM, one folder each."""
+    for part in SVM_PARTS:
+        getattr(model, part).write().overwrite().save(f"{out}/{part}")
+
+
+def load_svm_model(spark: SparkSession, path: str):
+    from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
+    from pyspark.ml.feature import CountVectorizerModel, StandardScalerModel
+
+    from cartwise.operators.models import SVMModel
+    kinds = (CountVectorizerModel, StandardScalerModel, LinearSVCModel, LogisticRegressionModel)
+    return SVMModel(*[kind.load(f"{path}/{part}") for kind, part in zip(kinds, SVM_PARTS, strict=True)], [0, 1])
