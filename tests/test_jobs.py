@@ -5,6 +5,7 @@ import json
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from cartwise import jobs
@@ -78,6 +79,22 @@ def test_alternatives_come_from_the_scorer_then_the_cache_then_the_words(spark):
     assert {r["alternative"] for r in out.filter("item = 'red mug'").collect()} == {"blue mug", "pan"}
 
 
+def test_streaming_clean_equals_batch(spark, tmp_path):
+    from cartwise.operators.clean import (clean_lines, normalize_descriptions)
+    from cartwise.streaming.baskets import clean_stream
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    cols = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
+    lines = retail_lines(spark, SF).withColumn("InvoiceDate", F.col("InvoiceDate").cast("timestamp"))
+    lines.select(*cols).repartition(3).write.parquet(src)
+    stream = clean_stream(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), watermark="20000 days")
+    done = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ckpt")).option("path", out) \
+        .trigger(availableNow=True).start()
+    done.awaitTermination()
+    batch = normalize_descriptions(clean_lines(retail_lines(spark, SF)))
+    keys = lambda d: sorted(map(tuple, d.select("InvoiceNo", "StockCode", "Description").collect()))
+    assert keys(spark.read.parquet(out)) == keys(batch)
+
+
 @pytest.mark.parametrize("name", ["S01", "S02", "S07", "S08", "P02T", "F02T", "F08T", "E04"])
 def test_oracles(spark, name):
     import os
