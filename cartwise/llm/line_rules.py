@@ -5,8 +5,8 @@ documents that hold a line are counted; lines above both limits are removed, and
 document that loses more than ``max_lost_percent`` of its words is depleted.
 
 A copied document must not make its own lines look like boilerplate, so documents are
-told apart by their longest normalised line: exact copies, and near copies that share
-that line, count once.
+told apart by the hash of all their normalised lines in order: exact copies count once,
+documents that differ in any line count each.
 
 Defined results: a null or empty text has no words (base rule fails); a null host is a
 host of its own; repeated rows get the same verdict each; an empty table gives an empty
@@ -82,10 +82,8 @@ def base_metrics(text: Column) -> Column:
 def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
                    max_share_percent: float = MAX_SHARE_PERCENT) -> DataFrame:
     """(host, line hash, n_docs) of the lines above both limits."""
-    # The longest line is the maximum of (length, line).
-    found = let(normal_lines(text_of(text_col)), lambda x: F.struct(
-        F.xxhash64(F.array_max(F.transform(x, lambda y: F.struct(F.char_length(y), y)))).alias("doc"),
-        F.array_distinct(F.transform(x, lambda y: F.xxhash64(y))).alias("lines")))
+    found = let(F.transform(normal_lines(text_of(text_col)), lambda y: F.xxhash64(y)), lambda h: F.struct(
+        F.xxhash64(h).alias("doc"), F.array_distinct(h).alias("lines")))
     docs = df.select(F.col(f"`{host_col}`").alias("host"), found.alias("found")).select("host", "found.*")
     docs = docs.where(F.size("lines") > 0)
     sizes = docs.groupBy("host", "doc").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))

@@ -84,6 +84,18 @@ def test_copies_do_not_make_their_lines_frequent(spark):
     assert line_rules.with_verdict(df).where("kept").count() == 300
 
 
+def test_documents_that_share_their_longest_line_count_each(spark):
+    """30 documents of a notice and a short line of their own, three copies of each: all are depleted."""
+    notice = " ".join(f"n{k}" for k in range(120))
+    rows = [(3 * i + c, f"{notice}\npage {i} of it", "h") for i in range(30) for c in range(3)]
+    rows += [(1000 + i, " ".join(f"w{i}x{k}" for k in range(60)), "h") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r["n_docs"] for r in line_rules.frequent_lines(df).collect()] == [30]
+    got = {r["doc_id"]: r for r in line_rules.with_verdict(df).collect()}
+    assert all(got[i]["lost_words"] == 120 and not got[i]["kept"] for i in range(90))
+    assert all(got[1000 + i]["kept"] for i in range(30))
+
+
 # ------------------------------------------------------------------ exact dedup
 def test_exact_dedup_odd_rows(spark):
     got = dedup.exact_dedup(odd_docs(spark)).collect()
