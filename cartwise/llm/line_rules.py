@@ -134,10 +134,22 @@ def with_verdict(df: DataFrame, host_col: str = "source", text_col: str = "text"
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def drop_rejected(df: DataFrame, **parameters) -> DataFrame:
-    """The rows that stay, whole and with their own columns alone."""
+def drop_rejected(df: DataFrame, chars_col: str = "n_chars", **parameters) -> DataFrame:
+    """The rows that stay, with their own columns alone and their text without the removed lines.
+
+    Where a row loses a line, ``chars_col`` (if the table has it) becomes the length of the text left.
+    """
+    text_col = parameters.get("text_col", "text")
     verdict = with_verdict(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                                      F.col(f"`{parameters.get('host_col', 'source')}`").alias("host"),
-                                     F.col(f"`{parameters.get('text_col', 'text')}`").alias("text")),
+                                     F.col(f"`{text_col}`").alias("text")),
                            **{**parameters, "host_col": "host", "text_col": "text"})
-    return verdict.where("kept").select("row.*")
+    left = {text_col: F.col("clean_text"), chars_col: F.char_length("clean_text")}
+
+    def value(field):
+        own = F.col("row").getField(field.name)
+        if field.name not in left:
+            return own.alias(field.name)
+        return F.when(F.col("lost_words") > 0, left[field.name].cast(field.dataType)).otherwise(own).alias(field.name)
+
+    return verdict.where("kept").select(*[value(f) for f in df.schema.fields])

@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each calling one operator of ``cartwise.llm``.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
-returns a DataFrame; all but the last return the columns of ``documents``.  Between
+returns a DataFrame; all but the last return the columns of ``documents``.  The first
+stage takes lines out of the texts, so the later ones see the cleaned text.  Between
 stages the rows are written as Parquet and read again, so that a lost executor never
 costs more than the running stage.
 """
@@ -17,7 +18,7 @@ from cartwise.session import checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of their own lines."""
+    """Documents that pass the base rules and are not depleted, without the lines above the limits."""
     return line_rules.drop_rejected(docs)
 
 

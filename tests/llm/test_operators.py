@@ -96,6 +96,22 @@ def test_documents_that_share_their_longest_line_count_each(spark):
     assert all(got[1000 + i]["kept"] for i in range(30))
 
 
+def test_kept_rows_lose_the_removed_lines(spark):
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    rows = [(i, f"Share this PAGE \n{own[i]}\n\nlast {i}", "h", 500, i) for i in range(25)]
+    rows += [(i, own[i], "h", 7, i) for i in range(25, 30)] + [(99, None, "h", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, lost_words int")
+    out = line_rules.drop_rejected(df)
+    assert out.dtypes == df.dtypes
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert sorted(got) == list(range(30))
+    assert all(got[i]["text"] == f"{own[i]}\n\nlast {i}" and got[i]["n_chars"] == len(got[i]["text"]) for i in range(25))
+    assert all((got[i]["text"], got[i]["n_chars"]) == (own[i], 7) for i in range(25, 30))
+    assert all(got[i]["lost_words"] == i for i in range(30))
+    bare = line_rules.drop_rejected(df.select("source", "doc_id", F.col("text").alias("body")), text_col="body").collect()
+    assert {r["doc_id"]: r["body"] for r in bare} == {i: r["text"] for i, r in got.items()}
+
+
 # ------------------------------------------------------------------ exact dedup
 def test_exact_dedup_odd_rows(spark):
     got = dedup.exact_dedup(odd_docs(spark)).collect()
