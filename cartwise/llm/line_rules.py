@@ -1,8 +1,8 @@
 """Quality rules (native): base rules, then the cross-document line frequency.
 
 Lines are normalised (lower case, blanks cut at both ends) and hashed; per host the distinct
-documents that hold a line are counted; lines above both limits are removed, and a
-document that loses more than ``max_lost_percent`` of its words is depleted.
+documents that hold a line are counted; lines in at least ``min_docs`` of them and either in
+over ``max_share_percent`` of the host's or in ``max_docs`` are removed, and a document that loses more than ``max_lost_percent`` of its words is depleted.
 
 A copied document must not make its own lines look like boilerplate, so documents are
 told apart by the hash of all their normalised lines in order: exact copies count once,
@@ -25,7 +25,8 @@ from cartwise.session import cut_lineage
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20            # a line in fewer distinct documents of its host is never removed
-MAX_SHARE_PERCENT = 2    # nor one in at most this share of the host's distinct documents
+MAX_SHARE_PERCENT = 2    # nor, below MAX_DOCS, one in at most this share of the host's distinct documents
+MAX_DOCS = 1000          # a line in so many distinct documents of its host is removed whatever its share
 MAX_LOST_PERCENT = 50
 MAX_BROADCAST_LINES = 200_000
 SALTS = 64
@@ -80,8 +81,8 @@ def base_metrics(text: Column) -> Column:
 
 
 def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
-                   max_share_percent: float = MAX_SHARE_PERCENT) -> DataFrame:
-    """(host, line hash, n_docs) of the lines above both limits."""
+                   max_share_percent: float = MAX_SHARE_PERCENT, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line hash, n_docs) of the lines above the limits."""
     found = let(F.transform(normal_lines(text_of(text_col)), lambda y: F.xxhash64(y)), lambda h: F.struct(
         F.xxhash64(h).alias("doc"), F.array_distinct(h).alias("lines")))
     docs = df.select(F.col(f"`{host_col}`").alias("host"), found.alias("found")).select("host", "found.*")
@@ -90,21 +91,21 @@ def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "tex
     counts = (docs.select("host", "doc", F.explode("lines").alias("line")).groupBy("host", "doc", "line").agg(F.lit(1))
               .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs))
     hosts = sizes.select(F.col("host").alias("of_host"), "host_docs")
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(
-        F.col("n_docs") * 100 > F.col("host_docs") * max_share_percent).select("host", "line", "n_docs")
+    above = (F.col("n_docs") * 100 > F.col("host_docs") * max_share_percent) | (F.col("n_docs") >= max_docs)
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(above).select("host", "line", "n_docs")
 
 
 def with_verdict(df: DataFrame, host_col: str = "source", text_col: str = "text", min_words: int = MIN_WORDS,
                  max_repeat_percent: int = MAX_REPEAT_PERCENT, min_docs: int = MIN_DOCS,
                  max_share_percent: float = MAX_SHARE_PERCENT, max_lost_percent: float = MAX_LOST_PERCENT,
-                 max_broadcast_lines: int = MAX_BROADCAST_LINES, salts: int = SALTS) -> DataFrame:
+                 max_broadcast_lines: int = MAX_BROADCAST_LINES, salts: int = SALTS, max_docs: int = MAX_DOCS) -> DataFrame:
     """Each row of ``df`` with the base counts, ``base_failed``, ``lost_words``, ``clean_text`` and ``kept``.
 
-    The removed lines are few: each is in over ``max_share_percent`` of its host.  Their
+    The removed lines are few: each is in over ``max_share_percent`` of its host or in ``max_docs``.  Their
     table is written once and counted; up to ``max_broadcast_lines`` it is broadcast as one
     set per host, so no document moves; beyond, documents and sets meet by (host, salt).
     """
-    frequent = cut_lineage(frequent_lines(df, host_col, text_col, min_docs, max_share_percent))
+    frequent = cut_lineage(frequent_lines(df, host_col, text_col, min_docs, max_share_percent, max_docs))
     sets = frequent.groupBy(F.coalesce("host", F.lit("")).alias("host_key"), F.col("host").isNull().alias("host_null")).agg(
         F.collect_list("line").alias("removed"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_of(text_col).alias("text"),

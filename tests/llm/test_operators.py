@@ -96,6 +96,18 @@ def test_documents_that_share_their_longest_line_count_each(spark):
     assert all(got[1000 + i]["kept"] for i in range(30))
 
 
+def test_a_line_of_many_documents_is_removed_on_a_large_host(spark):
+    """60,000 documents of one host: 1,000 with a line (1.7 %) lose it, 999 with another keep it."""
+    i = F.col("id")
+    line = F.when(i < 1000, F.lit("many share this\n")).when(i < 1999, F.lit("fewer share that\n")).otherwise(F.lit(""))
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: F.concat_ws("x", F.lit("w"), i, k)), " ")
+    df = spark.range(60000).select(i.alias("doc_id"), F.concat(line, own).alias("text"), F.lit("h").alias("source"))
+    assert [r["n_docs"] for r in line_rules.frequent_lines(df).collect()] == [1000]
+    got = {(r["doc_id"] < 1000, r["lost_words"], r["kept"]): r["count"]
+           for r in line_rules.with_verdict(df).groupBy("doc_id", "lost_words", "kept").count().collect()}
+    assert set(got) == {(True, 3, True), (False, 0, True)}
+
+
 def test_kept_rows_lose_the_removed_lines(spark):
     own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
     rows = [(i, f"Share this PAGE \n{own[i]}\n\nlast {i}", "h", 500, i) for i in range(25)]
