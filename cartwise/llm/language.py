@@ -11,9 +11,10 @@ are written in.  Each part is estimated by grouped aggregation over all pages:
   P(language | suffix), that towards the corpus, with ``KAPPA`` pseudo pages at each level.
   A page's own posterior is taken out of every level first.
 
-The posterior is the normalised product.  The trigram models are fitted on a bounded
-sample: at most ``max_rows`` documents with a known language, those with the smallest
-hash of their id, keeping the ``MAX_TRIGRAMS`` commonest trigrams of each language.
+The posterior is the normalised product.  The languages are all those of any document.  The
+trigram models are fitted on a bounded sample: at most ``max_rows`` documents of each
+language, those with the smallest hash of their id, keeping the ``MAX_TRIGRAMS`` commonest
+trigrams of each language.  Trigrams are counted in the tasks, so no text reaches the driver.
 
 Defined results: a null page has no text, no declaration and is judged by its host; a null
 address has the empty host, domain and suffix; repeated rows count and are judged
@@ -81,6 +82,11 @@ def fit_texts(rows: list[tuple[str, str]]) -> Model:
     counts: dict[str, Counter] = {}
     for lang, text in rows:
         counts.setdefault(lang, Counter()).update(trigrams(text))
+    return fit_counts(counts)
+
+
+def fit_counts(counts: dict[str, Counter]) -> Model:
+    """Fit on the trigram counts of each language."""
     languages = sorted(counts)
     kept = sorted({g for c in counts.values() for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:MAX_TRIGRAMS]})
     totals = np.array([sum(counts[x].values()) for x in languages], float)
@@ -89,16 +95,38 @@ def fit_texts(rows: list[tuple[str, str]]) -> Model:
     return Model(languages, scores, np.log(ALPHA / size))
 
 
+def count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over (lang, text): (lang, gram, n) of each task, a null gram for the language itself."""
+    counts: dict[str, Counter] = {}
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            counts.setdefault(lang, Counter()).update(trigrams(text))
+    for lang, c in counts.items():
+        yield pd.DataFrame({"lang": lang, "gram": [None, *c], "n": [0, *c.values()]})
+
+
 def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
-    known = df.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
+    known = df.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
+    known = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     # Ids first: only the chosen texts move.
-    ids = known.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(max_rows)
-    texts = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.*").collect()
-    if not rows:
+    ids = cut_lineage(known.select("id", "lang").distinct())
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
         raise ValueError("no document with a known language")
-    return fit_texts([(r["lang"], r["text"]) for r in rows])
+    place = F.xxhash64(F.lit("sample"), "id")
+    chosen = None
+    for r in sorted(sizes, key=lambda r: r["lang"]):
+        of = ids.where(F.col("lang") == r["lang"]).orderBy(place, "id").limit(max_rows)
+        chosen = of if chosen is None else chosen.union(of)
+    texts = known.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    found = texts.select("lang", "text").mapInPandas(count_trigrams, "lang string, gram string, n long").groupBy("lang", "gram").agg(
+        F.sum("n").alias("n"))
+    counts: dict[str, Counter] = {}
+    for r in found.collect():
+        c = counts.setdefault(r["lang"], Counter())
+        if r["gram"] is not None:
+            c[r["gram"]] = r["n"]
+    return fit_counts(counts)
 
 
 def host_of(url: Column) -> Column:

@@ -410,6 +410,21 @@ def test_classifiers_on_odd_rows(spark, name):
     assert {r["score"] for r in op.score(odd_docs(spark), bare).collect()} == {0.5}
 
 
+def test_rare_languages_have_models(spark):
+    """One document in 400 is Welsh and the sample holds 20 documents of each language."""
+    texts = {"en": "the house and the garden with a tree ", "cy": "y ty a'r ardd gyda choeden "}
+    rows = [(i, "cy" if i in (7, 1207) else "en", texts["cy" if i in (7, 1207) else "en"] * (1 + i % 3)) for i in range(1600)]
+    rows += [(None, "xx", "no id"), (5000, None, "no language"), (5001, "de", None), (7, "cy", texts["cy"])]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5), max_rows=20)
+    assert model.languages == ["cy", "en"]
+    assert (model.log_likelihoods([texts["cy"], texts["en"]]).argmax(1) == [0, 1]).all()
+    few = [r for r in rows[:1600] if r[0] < 12 or r[0] == 1207]
+    all_of = language.fit(spark.createDataFrame(few, "doc_id long, lang string, text string"), max_rows=20)
+    plain = language.fit_texts([r[1:] for r in few])
+    assert all_of.languages == plain.languages and all_of.scores.keys() == plain.scores.keys()
+    assert all(np.allclose(all_of.scores[g], plain.scores[g]) for g in plain.scores) and np.allclose(all_of.unseen, plain.unseen)
+
+
 def test_language_evidence(spark):
     en, de = "the house and the garden with a tree ", "das haus und der garten mit einem baum "
     model = language.fit_texts([("en", en * 5), ("de", de * 5)])
