@@ -54,7 +54,15 @@ def compare(random_metrics: DataFrame, kfold_metrics: DataFrame, key: str = "mod
 
 
 def side_by_side(scores: DataFrame, request: str = "request_id", model: str = "model", value: str = "confidence",
-                 models=None) -> DataFrame:
-    """One row per request, one confidence column per model (pivot with a fixed model list)."""
+                 models=None, ensemble=()) -> DataFrame:
+    """One row per request, one confidence column per model (pivot with a fixed model list).
+
+    With ``ensemble``, a column of that name has the mean over those of its models that answered.
+    """
     g = scores.groupBy(request)
-    return (g.pivot(model, list(models)) if models else g.pivot(model)).agg(F.first(value))
+    out = (g.pivot(model, list(models)) if models else g.pivot(model)).agg(F.first(value))
+    if not ensemble:
+        return out
+    answered = F.array_compact(F.array(*[F.col(m) for m in ensemble]))
+    mean = F.aggregate(answered, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(answered), F.lit(0))
+    return out.withColumn("ensemble", F.round(mean, 6))

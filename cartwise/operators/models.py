@@ -202,23 +202,25 @@ def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "g
     return models, grouped_metrics(scored, ["model"])
 
 
-def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10) -> DataFrame:
-    """Mean and deviation of each metric over the folds, for both Naive Bayes models.
+def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb")) -> DataFrame:
+    """Mean and deviation of each metric over the folds, for the models in ``names``.
 
-    All folds are one pass per model; ``data`` (with ``label`` and ``fold``) is read more
-    than once and is best persisted by the caller.
+    All folds are one pass per Naive Bayes model and one fit each for the SVM; ``data`` (with
+    ``label`` and ``fold``) is read more than once and is best persisted by the caller.
     """
     from cartwise.operators.metrics import cv_summary, grouped_metrics
 
-    nb = cv_multinomial_nb(data, vocab, n_splits).withColumn("model", F.lit("nb"))
-    gnb = cv_gaussian_nb(data, vocab, n_splits).withColumn("model", F.lit("gnb"))
-    return cv_summary(grouped_metrics(nb.unionByName(gnb), ["model", "fold"]))
+    scored = None
+    for n in names:
+        rows = CROSS_VALIDATORS[n](data, vocab, n_splits).select(F.lit(n).alias("model"), "fold", "label", "prediction")
+        scored = rows if scored is None else scored.unionByName(rows)
+    return cv_summary(grouped_metrics(scored, ["model", "fold"]))
 
 
-def fit_all_with_kfold(data: DataFrame, vocab: DataFrame, n_splits: int = 10):
+def fit_all_with_kfold(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb")):
     """The models of the last fold (fitted on the other folds), which the job keeps, and ``cross_validate``."""
-    return (fit_all(data.filter(F.col("fold") != n_splits - 1), vocab, ("nb", "gnb")),
-            cross_validate(data, vocab, n_splits))
+    return (fit_all(data.filter(F.col("fold") != n_splits - 1), vocab, names),
+            cross_validate(data, vocab, n_splits, names))
 
 
 # L13 ----------------------------------------------------------------------------------
@@ -294,3 +296,36 @@ def cv_gaussian_nb(data: DataFrame, vocab: DataFrame, n_splits: int, var_smoothi
     prior = lambda c: F.log(F.col(f"r{c}") / n) + F.coalesce(F.col(f"z{c}"), F.lit(0.0))
     base = rest.join(absent, "fold", "left").select("fold", "r0", "r1", prior(0).alias("b0"), prior(1).alias("b1"))
     return _score_folds(data, long, params.select("fold", "item", "w0", "w1"), base, key)
+
+
+def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+    """L13 for the SVM: a machine per fold, fitted on all rows of the other folds; key, fold, label, prediction.
+
+    The class is the sign of the margin, so no Platt scaling is fitted.  A training set of one
+    class says that class.
+    """
+    own = {r["fold"]: r for r in data.groupBy("fold").agg(F.count_if(F.col("label") == 0).alias("n0"),
+                                                          F.count_if(F.col("label") == 1).alias("n1")).collect()}
+    out = None
+    for k in range(n_splits):
+        rest = [r for f, r in own.items() if f != k]
+        n0, n1 = sum(r["n0"] for r in rest), sum(r["n1"] for r in rest)
+        if k not in own or not n0 + n1:
+            continue
+        test = data.filter(F.col("fold") == k)
+        if n0 and n1:
+            rows = _fit_svc(data.filter(F.col("fold") != k), C, items).margins(test, items).withColumnRenamed("_decision", "prediction")
+        else:
+            rows = test.withColumn("prediction", F.lit(int(n1 > 0)))
+        rows = rows.select(key, "fold", "label", "prediction")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no fold has rows to fit on and rows to score")
+    return out
+
+
+CROSS_VALIDATORS = {
+    "nb": lambda data, vocab, n_splits: cv_multinomial_nb(data, vocab, n_splits),
+    "gnb": lambda data, vocab, n_splits: cv_gaussian_nb(data, vocab, n_splits),
+    "svm": lambda data, vocab, n_splits: cv_svm(data, n_splits),
+}

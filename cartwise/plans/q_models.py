@@ -211,14 +211,43 @@ def l09(spark, sf):
 @register("L17", S.with_ctes(*BASE, MNB, GNB, body="""SELECT p.InvoiceNo AS request_id, round(p.p1, 6) AS nb, round(g.p1, 6) AS gnb
 FROM pred p JOIN gpred g ON p.InvoiceNo = g.InvoiceNo WHERE p.is_test"""))
 def l17(spark, sf):
+    return compared_scores(spark, sf, ("nb", "gnb"))
+
+
+def compared_scores(spark, sf, names, ensemble=()):
     data = split(spark, sf)
-    models = MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), ("nb", "gnb"))
+    models = MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), names)
     scores = None
     for n, m in models.items():
         rows = m.predict_proba(data.filter("is_test")).select(
             F.col("InvoiceNo").alias("request_id"), F.lit(n).alias("model"), F.round("p1", 6).alias("confidence"))
         scores = rows if scores is None else scores.unionByName(rows)
-    return MT.side_by_side(scores, models=list(models))
+    return MT.side_by_side(scores, models=list(names), ensemble=ensemble)
+
+
+# The same with the SVM, which has no SQL twin (an iterative fit): L13S, L14S, L16S, L17S.
+ALL_MODELS = ("nb", "gnb", "svm")
+
+
+@register("L13S")
+def l13s(spark, sf):
+    return MD.cross_validate(folds(spark, sf), vocab_of(spark, sf), N_SPLITS, ALL_MODELS)
+
+
+@register("L14S")
+def l14s(spark, sf):
+    return MD.fit_all_with_random_split(split(spark, sf), vocab_of(spark, sf), ALL_MODELS)[1]
+
+
+@register("L16S")
+def l16s(spark, sf):
+    return MT.compare(l14s(spark, sf), l13s(spark, sf)).select("model", *_L16)
+
+
+@register("L17S")
+def l17s(spark, sf):
+    """NB, Gaussian NB and SVM side by side; the ensemble is the mean of NB and SVM."""
+    return compared_scores(spark, sf, ALL_MODELS, ensemble=("nb", "svm"))
 
 
 @register("F08", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, body="""SELECT InvoiceNo,

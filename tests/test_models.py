@@ -82,3 +82,21 @@ def test_svm_separable(spark):
     pred = model.predict_proba(df)
     acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc == 1.0
+
+
+def test_svm_is_cross_validated_by_fold(spark):
+    """Baskets with "a" are labelled: each fold's machine, fitted on the other fold, finds them."""
+    rows = [(str(i), (["a"] if i % 2 else ["b"]) + [f"x{i % 7}"], i % 2, (i // 2) % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "InvoiceNo string, Items array<string>, label int, fold int").coalesce(1).cache()
+    vocab = X.vocabulary(df)
+    got = {r["model"]: r for r in MD.cross_validate(df, vocab, 2, ("nb", "gnb", "svm")).collect()}
+    assert got["svm"]["accuracy"] == 1.0 and got["svm"]["n_splits"] == 2
+    assert {m: r for m, r in got.items() if m != "svm"} == {r["model"]: r for r in MD.cross_validate(df, vocab, 2).collect()}
+    assert {r["prediction"] for r in MD.cv_svm(df.withColumn("label", F.lit(1)), 2).collect()} == {1}
+
+
+def test_ensemble_is_the_mean_of_the_models_that_answered(spark):
+    df = spark.createDataFrame([("r", "nb", 0.2), ("r", "svm", 0.6), ("r", "gnb", 1.0), ("s", "nb", 0.3)],
+                               "request_id string, model string, confidence double")
+    got = {r["request_id"]: r for r in MT.side_by_side(df, models=["nb", "gnb", "svm"], ensemble=("nb", "svm")).collect()}
+    assert got["r"]["ensemble"] == 0.4 and got["s"]["ensemble"] == 0.3 and got["s"]["svm"] is None
