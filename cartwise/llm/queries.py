@@ -170,3 +170,108 @@ def op2(spark, sf):
     from cartwise.llm.language import fit, identify
     found = identify(table(spark, sf, "pages"), fit(table(spark, sf, "documents")))
     return found.select("page_id", "host", "declared", "text_lang", "lang", "confidence")
+
+
+_ORDERS = """
+WITH RECURSIVE o(filter_order, n) AS (
+  SELECT '', 0 UNION ALL SELECT filter_order || c, n + 1 FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS l(c)
+  WHERE n < 5 AND NOT contains(filter_order, c)),"""
+
+
+@register("op11_filter_audit", _ORDERS + r"""
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+m AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed FROM d),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[:step - 1] AS earlier FROM o, range(1, 6) AS r(step) WHERE n = 5),
+x AS (SELECT *, contains(failed, f) AS fails, length(translate(earlier, failed, '')) < length(earlier) AS was_out FROM c, s)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(sum(n) FILTER (NOT fails AND NOT was_out), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (fails AND NOT was_out), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND was_out), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (failed = f), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT was_out), 0)::BIGINT AS good_lost,
+       coalesce(sum(bad) FILTER (fails AND NOT was_out), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(length(failed), 1)) FILTER (fails), 0)::BIGINT AS shapley
+FROM x GROUP BY part, filter_order, step
+""")
+def op11(spark, sf):
+    from cartwise.llm.filter_audit import audit, standard_filters
+    return audit(table(spark, sf, "documents"), standard_filters(), "E", table(spark, sf, "labels"),
+                 {"good_lost": F.col("quality") == 1, "toxic_lost": F.col("toxic") == 1})
+
+
+def _secret_sql() -> str:
+    """Matches by kind, their places by running sums of matches and gaps, and hot windows counted anew for each window."""
+    from cartwise.llm.secret_scan import ACCESS, ALLOW, ASSIGN, CLASSES, HEX, LEAST
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    patterns = [(ASSIGN, 2), (ACCESS, 0), (HEX, 0), *[(c.pattern, 0) for c in CLASSES]]
+    found = " UNION ALL ".join(
+        f"SELECT r, {i} AS rank, unnest(range(len(regexp_split_to_array(text, {q(p)})))) AS i, unnest(regexp_extract_all(text, {q(p)})) AS m, "
+        f"unnest(regexp_extract_all(text, {q(p)}, {g})) AS g, unnest(regexp_split_to_array(text, {q(p)})) AS gap FROM t"
+        for i, (p, g) in enumerate(patterns))
+    windows = " UNION ALL ".join(
+        f"SELECT r, rank, s, unnest(range(length(m) - {c.window - 1})) AS x, {c.window} AS w, {c.limit} AS most, {c.table}::BIGINT[] AS f, m "
+        f"FROM placed WHERE rank = {3 + i} AND NOT regexp_full_match(m, {q('|'.join(ALLOW))})" for i, c in enumerate(CLASSES))
+    kinds = [*LEAST, *[c.kind for c in CLASSES]]
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+placed AS (SELECT r, rank, m, g, (sum(length(gap)) OVER up + coalesce(sum(length(m)) OVER (PARTITION BY r, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s
+           FROM found WHERE m IS NOT NULL AND m <> '' WINDOW up AS (PARTITION BY r, rank ORDER BY i)),
+windows AS ({windows}),
+hot AS (SELECT r, rank, s, s + x AS a, w FROM windows
+        WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substring(m, x + 1, w), ''), 'histogram')), lambda n: f[(n + 1)::BIGINT])) <= most),
+marked AS (SELECT *, a - lag(a) OVER (PARTITION BY r, rank, s ORDER BY a) <= w AS goes_on FROM hot),
+islands AS (SELECT *, count(*) FILTER (goes_on IS DISTINCT FROM true) OVER (PARTITION BY r, rank, s ORDER BY a) AS island FROM marked),
+spans AS (
+  SELECT r, rank, s, s + length(m) AS e FROM placed WHERE rank < 3 AND length(g) >= ({list(LEAST.values())})[rank + 1]
+  UNION ALL SELECT r, rank, min(a) AS s, max(a) + any_value(w) AS e FROM islands GROUP BY r, rank, s, island)
+SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(({kinds})[rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(({kinds})[rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '') AS spans
+FROM t LEFT JOIN spans USING (r) GROUP BY r, doc_id
+"""
+
+
+@register("op12_secret_scan", _secret_sql())
+def op12(spark, sf):
+    from cartwise.llm.secret_scan import LEAST, scan, shown
+    found = scan(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*LEAST))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in LEAST], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) % 10 = 0 the words from a place on repeat with a period, both drawn from that number."""
+    from cartwise.llm.common import let, text_of, words
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    text = text_of("text")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.size(words(text)) > 0), let(words(text), repeated)).otherwise(text).alias("text"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf):
+    from cartwise.llm.periodic_runs import find_runs
+    found = find_runs(_with_planted_runs(table(spark, sf, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
