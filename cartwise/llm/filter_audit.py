@@ -113,7 +113,12 @@ def _flagged(trie: RadixTrie, duplicate: int, last: bool) -> Iterator[tuple]:
     for text, least, members in trie.traverse():
         for (doc_id, (part, mask)), copies in members.items():
             above = doc_id > least
-            yield doc_id, part, copies, mask | duplicate if above else mask, None if above or last else text
+            yield doc_id, part, copies, mask | duplicate if above else mask, None if above or last else text, whole_level(len(text))
+
+
+def whole_level(length: int) -> int:
+    """Level of the shortest prefix length (8, 16, 32 ...) that covers a text."""
+    return max(0, -(-length // FIRST) - 1).bit_length()
 
 
 FIELDS = [("doc_id", pa.int64()), ("part", pa.string()), ("copies", pa.int64()), ("mask", pa.int32()), ("text", pa.string())]
@@ -121,7 +126,7 @@ FIELDS = [("doc_id", pa.int64()), ("part", pa.string()), ("copies", pa.int64()),
 
 def trie_pass(rows: DataFrame, duplicate: int, last: bool, flush: int | None = None) -> DataFrame:
     """Insert each partition's undecided rows (with id and text) in tries; flags go to the mask, decided rows lose their text."""
-    fields = [*FIELDS, ("task", pa.int32())]
+    fields = [*FIELDS, ("whole", pa.int32()), ("task", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, trie, out = TaskContext.get().partitionId(), RadixTrie(), []
@@ -141,7 +146,7 @@ def trie_pass(rows: DataFrame, duplicate: int, last: bool, flush: int | None = N
         for batch in batches:
             for doc_id, part, copies, mask, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if doc_id is None or text is None:
-                    out.append((doc_id, part, copies, mask, None, task))
+                    out.append((doc_id, part, copies, mask, None, None, task))
                 else:
                     trie.insert(text, doc_id, (part, mask), copies)
             yield from packed(OUT_ROWS)
@@ -151,7 +156,7 @@ def trie_pass(rows: DataFrame, duplicate: int, last: bool, flush: int | None = N
         yield from emptied(trie)
         yield from packed(1)
 
-    return rows.select(*[n for n, _ in FIELDS]).mapInArrow(run, "doc_id bigint, part string, copies bigint, mask int, text string, task int")
+    return rows.select(*[n for n, _ in FIELDS]).mapInArrow(run, "doc_id bigint, part string, copies bigint, mask int, text string, whole int, task int")
 
 
 def _length(level: Column | int) -> Column:
@@ -162,22 +167,17 @@ def _prefix_hash(level: Column | int) -> Column:
     return F.xxhash64(F.substring("text", F.lit(1), _length(level)))
 
 
-def _whole() -> Column:
-    """Level of the whole text: of the shortest prefix length that covers it."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(27)), lambda k: _length(k) < F.char_length("text")))
-
-
 def heavy_prefixes(undecided: DataFrame, limit: int) -> DataFrame:
     """Hashes of the prefixes whose texts weigh more than ``limit``: level, hash, whole (some text ends there)."""
-    ladder = undecided.select("text", _whole().alias("whole"), (F.char_length("text") + 1).alias("weight")).select(
-        "weight", "whole", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("level"), "text")
-    return ladder.select("level", _prefix_hash(F.col("level")).alias("hash"), "weight", (F.col("level") == F.col("whole")).alias("whole")).groupBy(
-        "level", "hash").agg(F.sum("weight").alias("weight"), F.max("whole").alias("whole")).where(F.col("weight") > limit)
+    hashes = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda k: F.xxhash64(F.substring("text", F.lit(1), _length(k))))
+    ladder = undecided.select("whole", (F.char_length("text") + 1).alias("weight"), F.posexplode(hashes).alias("level", "hash"))
+    return ladder.groupBy("level", "hash").agg(F.sum("weight").alias("weight"), F.max(F.col("level") == F.col("whole")).alias("whole")).where(
+        F.col("weight") > limit)
 
 
 def with_prefix(undecided: DataFrame, heavy: DataFrame, top: int) -> DataFrame:
     """Adds prefix_start, prefix_hash and hot (the whole text is heavy).  ``top``: the highest heavy level, -1 for none."""
-    out = undecided.withColumn("whole", _whole()).withColumn("depth", F.lit(0))
+    out = undecided.withColumn("depth", F.lit(0))
     for k in range(top + 1):
         at = F.broadcast(heavy.where(F.col("level") == k).select(F.col("hash").alias("at")))     # at most 4 * MAX_RANGES rows
         out = out.join(at, (_prefix_hash(k) == F.col("at")) & (F.col("whole") >= k), "left").withColumn(

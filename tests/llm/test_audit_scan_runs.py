@@ -72,8 +72,10 @@ def test_copy_flags_with_hot_copies_and_shared_beginnings(spark, flush, monkeypa
 
 
 def test_adaptive_prefixes(spark):
+    assert [filter_audit.whole_level(n) for n in (0, 1, 8, 9, 16, 17, 32, 33, 64, 65)] == [0, 0, 0, 1, 1, 2, 2, 3, 3, 4]
     shared = "x" * 100
     df = spark.createDataFrame([(shared + str(i),) for i in range(64)] + [(f"{i} alone",) for i in range(64)] + [("whole",)] * 200, "text string")
+    df = df.withColumn("whole", F.udf(lambda t: filter_audit.whole_level(len(t)), "int")("text"))
     heavy = filter_audit.heavy_prefixes(df, 500)
     levels = {r["level"]: r["whole"] for r in heavy.collect()}
     assert set(levels) == {0, 1, 2, 3}                          # 8, 16, 32 and 64 characters; 128 hold the whole texts
