@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import UPPER, text_of, words
+from cartwise.llm.common import text_of, words
 from cartwise.session import checkpoint_dir
 
 FLUSH = 1 << 25             # characters a map-side trie takes before it is emptied
@@ -272,10 +272,9 @@ def audit(docs: DataFrame, filters: dict[str, Column], duplicate: str, labels: D
 def standard_filters() -> dict[str, Column]:
     """Failure conditions A to D: few words, few distinct words, many capitals, control signs."""
     text, w = F.col("text"), F.col("words")
-    capitals = F.char_length(text) - F.char_length(F.translate(text, UPPER, ""))
     return {
         "A": F.size(w) < 200,
         "B": F.size(F.array_distinct(w)) * 100 < F.size(w) * 50,
-        "C": capitals * 100 > F.char_length(text) * 3,
+        "C": F.regexp_count(text, F.lit("[A-Z]")) * 100 > F.char_length(text) * 3,
         "D": text.rlike("[#$%&*|]"),
     }
