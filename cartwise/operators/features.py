@@ -44,22 +44,6 @@ def encode(baskets: DataFrame, vocab: DataFrame, key: str = "InvoiceNo", items:
     return basket_items(baskets, key, items).join(vocab, "item")
 
 
-def sparse_features(baskets: DataFrame, items: str = "Items", vocab_size: int | None = None):
-    """Multi-hot sparse vectors for Spark ML (JVM-side ``CountVectorizer``, binary).
-
-    The vocabulary size is set to the number of distinct items, so nothing is cut.
-    Returns the fitted model and a frame with ``features``.
-    """
-    from pyspark.ml.feature import CountVectorizer
-
-    if vocab_size is None:
-        vocab_size = basket_items(baskets, baskets.columns[0], items).select("item").distinct().count()
-    tx = baskets.withColumn("_items", F.array_distinct(F.filter(items, lambda x: x.isNotNull())))
-    model = CountVectorizer(inputCol="_items", outputCol="features", binary=True,
-                            vocabSize=max(int(vocab_size), 1), minDF=1.0).fit(tx)
-    return model, model.transform(tx).drop("_items")
-
-
 # L02 ----------------------------------------------------------------------------------
 def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
     """Label 1 when some bundle is contained in the basket.

@@ -1,4 +1,4 @@
-"""Bundle classifiers: native Naive Bayes (L06, L07), SVM (L09, L10), cross-validation and
+"""Bundle classifiers: native Naive Bayes (L06, L07), SVM (L09–L11), cross-validation and
 fitting of all models (L13, L14), prediction (L15).
 
 Naive Bayes is fitted from aggregates into a small parameter table
@@ -12,10 +12,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from cartwise.operators.features import basket_items, random_split, sparse_features
+from cartwise.operators.features import basket_items, random_split
+from cartwise.operators.machines import FourierMap, ItemStats, KernelMap, LandmarkMap, Positions, calibrate, item_stats
+from cartwise.operators.machines import train as train_machines
+from cartwise.operators.mining import hash_sample
 
 
 @dataclass
@@ -104,76 +110,139 @@ def fit_gaussian_nb(train: DataFrame, vocab: DataFrame, var_smoothing: float = 1
 
 
 # SVM ----------------------------------------------------------------------------------
+def _platt(margin, a: float, b: float):
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * a + b)))
+
+
+class _Margins:
+    """What the linear and the kernel machine share: ``prediction`` by the margin's sign, ``p1`` by Platt scaling of it."""
+
+    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+        scored = self.margins(baskets, key, items)
+        return (scored.withColumn("p1", _platt(F.col("_margin"), self.a, self.b))
+                .withColumn("prediction", F.when(F.col("_margin") > 0, 1).otherwise(0)).drop("_margin"))
+
+
 @dataclass
-class SVMModel:
-    vectorizer: object
-    scaler: object
-    svc: object
-    platt: object
+class SVMModel(_Margins):
+    """L09 + L10: ``weights`` (item, w) of the unscaled 0/1 items."""
+    weights: DataFrame
+    intercept: float
+    a: float
+    b: float
     classes: list
+    passes: int = 0
 
-    def margins(self, baskets: DataFrame, items: str = "Items") -> DataFrame:
-        """The machine's own decision and its margin, as a one-element vector for Platt's regression."""
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+    def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+        """``_margin`` beside the columns of ``baskets``; unknown items weigh nothing."""
+        sums = basket_items(baskets, key, items).join(self.weights, "item").groupBy(key).agg(F.sum("w").alias("_margin"))
+        return baskets.join(sums, key, "left").withColumn("_margin", F.coalesce("_margin", F.lit(0.0)) + F.lit(self.intercept))
 
-        x = self.vectorizer.transform(
-            baskets.withColumn("_items", F.array_distinct(F.filter(items, lambda v: v.isNotNull()))))
-        m = self.svc.transform(self.scaler.transform(x))
-        return (m.withColumn("_margin", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
-                 .withColumn("_decision", F.col("prediction").cast("int"))
-                 .drop("rawPrediction", "prediction", "features", "scaled", "_items"))
 
-    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
-        """``prediction`` by the sign of the margin, ``p1`` by Platt's regression on it."""
-        from pyspark.ml.functions import vector_to_array
+@dataclass
+class KernelSVMModel(_Margins):
+    """A linear machine on approximate kernel features; scored in Arrow batches."""
+    features: KernelMap
+    weights: object             # numpy, one per feature
+    intercept: float
+    a: float
+    b: float
+    classes: list
+    passes: int = 0
 
-        out = self.platt.transform(self.margins(baskets, items))
-        return (out.withColumn("p1", vector_to_array("probability")[1])
-                   .withColumn("prediction", F.col("_decision"))
-                   .drop("_margin", "_decision", "rawPrediction", "probability"))
+    def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+        features, weights, intercept = self.features, self.weights, self.intercept
 
+        @F.pandas_udf("double")
+        def margin(held: pd.Series) -> pd.Series:
+            return pd.Series(features.features(held.tolist()) @ weights + intercept)
 
-def _fit_svc(train: DataFrame, C: float, items: str) -> SVMModel:
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import StandardScaler
+        return baskets.withColumn("_margin", margin(items))
 
-    vec_model, x = sparse_features(train, items)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True).fit(x)
-    xs = scaler.transform(x).withColumn("label", F.col("label").cast("double"))
-    svc = LinearSVC(featuresCol="scaled", labelCol="label", regParam=1.0 / (C * xs.count()), maxIter=100).fit(xs)
-    return SVMModel(vec_model, scaler, svc, None, [0, 1])
 
+KERNELS = ("linear", "rbf", "poly", "sigmoid")
 
-def _has_both(df: DataFrame) -> bool:
-    seen = df.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
-    return seen["n0"] > 0 and seen["n1"] > 0
 
+def kernel_gamma(stats: ItemStats, gamma: float | str = "scale") -> float:
+    """'scale': 1 / (items x variance of all entries of the scaled matrix); 'auto': 1 / items; or the number given."""
+    if not isinstance(gamma, str):
+        return float(gamma)
+    v = max(len(stats.items), 1)
+    if gamma == "auto":
+        return 1.0 / v
+    if gamma != "scale":
+        raise ValueError(f"gamma is 'scale', 'auto' or a number, not {gamma!r}")
+    p, sd = stats.held[:, 0] / max(stats.n[0], 1), stats.deviation()[:, 0]
+    scale = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 0)
+    variance = (p * scale ** 2).sum() / v - ((p * scale).sum() / v) ** 2
+    return float(1.0 / (v * variance)) if variance > 0 else 1.0
 
-def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items",
-            kernel: str = "linear", calibration: float = 0.2, seed: int = 42) -> SVMModel:
-    """L09 + L10: scaled sparse features → LinearSVC(regParam = 1 / (C·n)) → Platt scaling.
 
-    The machine is fitted on all rows.  Platt's regression sees margins of rows that their
-    machine was not fitted on: a second machine leaves out ``calibration`` of the rows (by
-    key hash) and scores them.  Where one of the two parts lacks a class (tiny data), the
-    margins of the training rows serve.
-    """
-    from pyspark.ml.classification import LogisticRegression
+def kernel_map(train: DataFrame, stats: ItemStats, kernel: str, gamma: float | str = "scale", degree: int = 3, coef0: float = 0.0,
+               n_components: int = 512, seed: int = 42, key: str = "InvoiceNo", items: str = "Items") -> KernelMap:
+    """The feature map of a kernel; poly and sigmoid take the ``n_components`` baskets first in hash order as landmarks."""
+    sd = stats.deviation()[:, 0]
+    scale = {item: float(1.0 / s) for item, s in zip(stats.items, sd, strict=True) if s > 0}
+    gamma = kernel_gamma(stats, gamma)
+    if kernel == "rbf":
+        return FourierMap(scale, gamma, n_components, seed)
+    # Equal baskets would give equal landmarks: one of each set of items.
+    distinct = train.select(F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("_items")).distinct()
+    distinct = distinct.withColumn("_key", F.to_json("_items"))
+    chosen = hash_sample(distinct, "_key", n_components, seed).collect()      # at most n_components baskets
+    return LandmarkMap(scale, gamma, 0, kernel, degree, coef0, sorted(list(r["_items"]) for r in chosen))
 
-    if kernel != "linear":
-        raise NotImplementedError(f"kernel '{kernel}' is not built (only 'linear')")
-    if not _has_both(train):
-        raise ValueError("an SVM needs rows of both classes")
-    model = _fit_svc(train, C, items)
+
+def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items",
+            kernel: str = "linear", calibration: float = 0.2, seed: int = 42, gamma: float | str = "scale", degree: int = 3,
+            coef0: float = 0.0, n_components: int = 512, max_iter: int = 100) -> SVMModel | KernelSVMModel:
+    """Items scaled to unit deviation, a soft-margin machine (hinge with a rounded corner), Platt scaling.
+
+    The machine is fitted on all rows.  Platt scaling sees margins of rows that their
+    machine was not fitted on: a second machine, trained in the same passes, leaves out
+    ``calibration`` of the rows (by key hash) and scores them.  Where one of the two parts
+    lacks a class (tiny data), the margins of the training rows serve.  ``kernel`` other
+    than linear goes through ``n_components`` approximate kernel features (see machines).
+    """
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel is one of {', '.join(KERNELS)}, not {kernel!r}")
     parts = random_split(train, calibration, seed, key)
-    inner, held_out = parts.filter(~F.col("is_test")), parts.filter("is_test")
-    if _has_both(inner) and _has_both(held_out):
-        scored = _fit_svc(inner, C, items).margins(held_out, items)
-    else:
-        scored = model.margins(train, items)
-    scored = scored.select("_margin", F.col("label").cast("double").alias("label"))
-    model.platt = LogisticRegression(featuresCol="_margin", labelCol="label").fit(scored)
-    return model
+    rows = parts.withColumn("left_out", F.when(F.col("is_test"), 1).otherwise(-1)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stats = item_stats(rows, items, 2)
+        if not stats.rows[:, 0].all():
+            raise ValueError("an SVM needs rows of both classes")
+        calibrates = bool(stats.rows[:, 1].all() and (stats.rows[:, 0] > stats.rows[:, 1]).all())
+        if kernel == "linear":
+            fitted = train_machines(rows, items, Positions({i: k for k, i in enumerate(stats.items)}), stats, C, stats.deviation(), max_iter)
+        else:
+            features = kernel_map(train, stats, kernel, gamma, degree, coef0, n_components, seed, key, items)
+            fitted = train_machines(rows, items, features, stats, C, None, max_iter)
+
+        def model(j: int, a: float = 1.0, b: float = 0.0):
+            if kernel == "linear":
+                return SVMModel(weight_table(train.sparkSession, stats.items, fitted.weights[:, j]), float(fitted.bias[j]), a, b, [0, 1], fitted.passes)
+            return KernelSVMModel(features, fitted.weights[:, j], float(fitted.bias[j]), a, b, [0, 1], fitted.passes)
+
+        seen = model(1).margins(rows.filter("is_test"), key, items) if calibrates else model(0).margins(rows, key, items)
+        seen = seen.select("_margin", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return model(0, *calibrate(seen))
+        finally:
+            seen.unpersist()
+    finally:
+        rows.unpersist()
+
+
+def weight_table(spark, names: list, weights) -> DataFrame:
+    """(item, w) as a table; ``w`` an array where there are several machines."""
+    kind = "double" if weights.ndim == 1 else "array<double>"
+    return spark.createDataFrame(list(zip(names, weights.tolist(), strict=True)), f"item string, w {kind}")
+
+
+def _has_both(df: DataFrame) -> bool:
+    seen = df.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    return seen["n0"] > 0 and seen["n1"] > 0
 
 
 # L14 ----------------------------------------------------------------------------------
@@ -205,7 +274,7 @@ def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "g
 def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb")) -> DataFrame:
     """Mean and deviation of each metric over the folds, for the models in ``names``.
 
-    All folds are one pass per Naive Bayes model and one fit each for the SVM; ``data`` (with
+    All folds are one pass per Naive Bayes model and one fit for the SVM; ``data`` (with
     ``label`` and ``fold``) is read more than once and is best persisted by the caller.
     """
     from cartwise.operators.metrics import cv_summary, grouped_metrics
@@ -298,30 +367,30 @@ def cv_gaussian_nb(data: DataFrame, vocab: DataFrame, n_splits: int, var_smoothi
     return _score_folds(data, long, params.select("fold", "item", "w0", "w1"), base, key)
 
 
-def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
-    """L13 for the SVM: a machine per fold, fitted on all rows of the other folds; key, fold, label, prediction.
+def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items", max_iter: int = 100) -> DataFrame:
+    """L13 for the SVM: all folds' machines in the same passes; key, fold, label, prediction.
 
-    The class is the sign of the margin, so no Platt scaling is fitted.  A training set of one
-    class says that class.
+    Machine k is fitted on all rows of the other folds.  The margins of all machines are
+    columns of one sum per basket, of which the basket's own fold takes its own.  The class
+    is the sign of the margin, so no Platt scaling is fitted.  A training set of one class
+    says that class.
     """
-    own = {r["fold"]: r for r in data.groupBy("fold").agg(F.count_if(F.col("label") == 0).alias("n0"),
-                                                          F.count_if(F.col("label") == 1).alias("n1")).collect()}
-    out = None
-    for k in range(n_splits):
-        rest = [r for f, r in own.items() if f != k]
-        n0, n1 = sum(r["n0"] for r in rest), sum(r["n1"] for r in rest)
-        if k not in own or not n0 + n1:
-            continue
-        test = data.filter(F.col("fold") == k)
-        if n0 and n1:
-            rows = _fit_svc(data.filter(F.col("fold") != k), C, items).margins(test, items).withColumnRenamed("_decision", "prediction")
-        else:
-            rows = test.withColumn("prediction", F.lit(int(n1 > 0)))
-        rows = rows.select(key, "fold", "label", "prediction")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    stats = item_stats(data.withColumn("left_out", F.col("fold")), items, n_splits)
+    if not stats.n.any():
         raise ValueError("no fold has rows to fit on and rows to score")
-    return out
+    fitted = train_machines(data.withColumn("left_out", F.col("fold")), items, Positions({i: k for k, i in enumerate(stats.items)}),
+                            stats, C, stats.deviation(), max_iter)
+    spark = data.sparkSession
+    long = basket_items(data.filter(F.col("fold").between(0, n_splits - 1)), key, items).join(data.select(key, "fold"), key)
+    sums = (long.join(weight_table(spark, stats.items, fitted.weights), "item").groupBy(key)
+            .agg(F.sum(F.get("w", F.col("fold"))).alias("_margin")))
+    known = [(k, float(fitted.bias[k]), bool(stats.rows[:, k].all()), int(stats.rows[1, k] > 0))
+             for k in range(n_splits) if stats.n[k]]
+    folds = spark.createDataFrame(known, "fold int, _bias double, _both boolean, _only int")
+    margin = F.coalesce("_margin", F.lit(0.0)) + F.col("_bias")
+    prediction = F.when(~F.col("_both"), F.col("_only")).otherwise(F.when(margin > 0, 1).otherwise(0))
+    return (data.select(key, "fold", "label").join(folds, "fold").join(sums, key, "left")
+            .select(key, "fold", "label", prediction.alias("prediction")))
 
 
 CROSS_VALIDATORS = {

@@ -208,6 +208,28 @@ def l09(spark, sf):
     return svm.predict_proba(data.filter("is_test")).select("InvoiceNo", "label", F.round("p1", 6).alias("p1"), "prediction")
 
 
+def _kernel_scores(spark, sf, kernel):
+    """Classes and Platt probabilities of the test baskets by a kernel machine (no SQL twin: an approximate, iterative fit)."""
+    data = split(spark, sf)
+    svm = MD.fit_svm(data.filter(~F.col("is_test")), kernel=kernel)
+    return svm.predict_proba(data.filter("is_test")).select("InvoiceNo", "label", F.round("p1", 6).alias("p1"), "prediction")
+
+
+@register("L11")
+def l11(spark, sf):
+    return _kernel_scores(spark, sf, "rbf")
+
+
+@register("L11P")
+def l11p(spark, sf):
+    return _kernel_scores(spark, sf, "poly")
+
+
+@register("L11S")
+def l11s(spark, sf):
+    return _kernel_scores(spark, sf, "sigmoid")
+
+
 @register("L17", S.with_ctes(*BASE, MNB, GNB, body="""SELECT p.InvoiceNo AS request_id, round(p.p1, 6) AS nb, round(g.p1, 6) AS gnb
 FROM pred p JOIN gpred g ON p.InvoiceNo = g.InvoiceNo WHERE p.is_test"""))
 def l17(spark, sf):

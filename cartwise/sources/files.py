@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -152,19 +153,52 @@ def load_nb_model(spark: SparkSession, path: str):
     return NBModel(row["kind"], spark.read.parquet(f"{path}/params"), base.select("b0", "b1"), list(row["classes"]))
 
 
-SVM_PARTS = ("vectorizer", "scaler", "svc", "platt")
-
-
 def save_svm_model(model, out: str) -> None:
-    """The fitted stages of a linear SVM, one folder each."""
-    for part in SVM_PARTS:
-        getattr(model, part).write().overwrite().save(f"{out}/{part}")
+    """An SVM, linear or kernel: item table (weights, or the map's scales) and one row of parameters."""
+    from cartwise.operators.models import SVMModel
+    numbers = {"intercept": model.intercept, "a": model.a, "b": model.b}
+    if isinstance(model, SVMModel):
+        spark, kind, table, rest = model.weights.sparkSession, "linear", model.weights, {}
+    else:
+        m, spark = model.features, SparkSession.getActiveSession()
+        kind = getattr(m, "kind", "rbf")
+        table = spark.createDataFrame(list(m.scale.items()), "item string, w double")
+        rest = {"gamma": m.gamma, "size": m.size, "weights": model.weights.tolist()}
+        rest |= {"seed": m.seed} if kind == "rbf" else {"degree": m.degree, "coef0": m.coef0, "landmarks": m.landmarks, "root": m.root.tolist()}
+    table.write.mode("overwrite").parquet(f"{out}/items")
+    said = json.dumps({"kind": kind, **numbers, **rest})
+    spark.createDataFrame([(said,)], "model string").write.mode("overwrite").parquet(f"{out}/machine")
 
 
 def load_svm_model(spark: SparkSession, path: str):
-    from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
-    from pyspark.ml.feature import CountVectorizerModel, StandardScalerModel
-
-    from cartwise.operators.models import SVMModel
-    kinds = (CountVectorizerModel, StandardScalerModel, LinearSVCModel, LogisticRegressionModel)
-    return SVMModel(*[kind.load(f"{path}/{part}") for kind, part in zip(kinds, SVM_PARTS, strict=True)], [0, 1])
+    import numpy as np
+
+    from cartwise.operators.machines import FourierMap, LandmarkMap
+    from cartwise.operators.models import KernelSVMModel, SVMModel
+    m, table = json.loads(spark.read.parquet(f"{path}/machine").first()["model"]), spark.read.parquet(f"{path}/items")
+    if m["kind"] == "linear":
+        return SVMModel(table, m["intercept"], m["a"], m["b"], [0, 1])
+    scale = {r["item"]: r["w"] for r in table.collect()}        # one row per item of the catalogue
+    if m["kind"] == "rbf":
+        features = FourierMap(scale, m["gamma"], m["size"], m["seed"])
+    else:
+        features = LandmarkMap(scale, m["gamma"], m["size"], m["kind"], m["degree"], m["coef0"], m["landmarks"], np.array(m["root"]))
+    return KernelSVMModel(features, np.array(m["weights"]), m["intercept"], m["a"], m["b"], [0, 1])
+
+
+def save_engine(models: dict, bundles: DataFrame, out: str, saved_at: str) -> None:
+    """The fitted models by name, the bundles they were labelled by and the time of saving, in one folder."""
+    from cartwise.operators.models import NBModel
+    for name, model in models.items():
+        (save_nb_model if isinstance(model, NBModel) else save_svm_model)(model, f"{out}/models/{name}")
+    bundles.write.mode("overwrite").parquet(f"{out}/bundles")
+    # Written last: a folder without it holds no whole engine.
+    kinds = [(name, "nb" if isinstance(m, NBModel) else "svm", saved_at) for name, m in models.items()]
+    bundles.sparkSession.createDataFrame(kinds, "name string, kind string, saved_at string").write.mode("overwrite").parquet(f"{out}/engine")
+
+
+def load_engine(spark: SparkSession, path: str) -> tuple[dict, DataFrame, str]:
+    """(models by name, bundles, time of saving)."""
+    named = spark.read.parquet(f"{path}/engine").orderBy("name").collect()       # one row per model
+    load = {"nb": load_nb_model, "svm": load_svm_model}
+    return {r["name"]: load[r["kind"]](spark, f"{path}/models/{r['name']}") for r in named}, spark.read.parquet(f"{path}/bundles"), named[0]["saved_at"]
