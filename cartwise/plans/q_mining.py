@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from cartwise.operators import mining as M
 from cartwise.operators.baskets import bundle_size_distribution, bundle_statistics, top_bundles
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import (BUNDLE_SUPPORT, MAX_BUNDLE_SIZE, RULE_CONFIDENCE, TRIPLE_SUPPORT, baskets, bundles,
-                                    register)
+from cartwise.plans.catalog import (BUNDLE_SUPPORT, MAX_BUNDLE_SIZE, RULE_CONFIDENCE, TRIPLE_SUPPORT, _memo, baskets,
+                                    bundles, register)
 
 _BUNDLE_COLS = "bundle, size, support_count, support"
 
@@ -31,13 +31,24 @@ def m02t(spark, sf):
     return bundles(spark, sf, TRIPLE_SUPPORT, MAX_BUNDLE_SIZE).select("bundle", "size", "support_count", "support")
 
 
+def levelwise(spark, sf):
+    return _memo(spark, (sf, "levelwise", TRIPLE_SUPPORT, MAX_BUNDLE_SIZE),
+                 lambda: M.mine_bundles_levelwise(baskets(spark, sf), TRIPLE_SUPPORT, MAX_BUNDLE_SIZE))
+
+
 @register("M03", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE),
-                             f"lv AS (SELECT CAST(unnest(range(2, {MAX_BUNDLE_SIZE + 1})) AS INTEGER) AS size)", body="""
+                             body=f"SELECT {_BUNDLE_COLS} FROM bundles"))
+def m03(spark, sf):
+    return levelwise(spark, sf).select("bundle", "size", "support_count", "support")
+
+
+@register("M03L", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(TRIPLE_SUPPORT, MAX_BUNDLE_SIZE),
+                              f"lv AS (SELECT CAST(unnest(range(2, {MAX_BUNDLE_SIZE + 1})) AS INTEGER) AS size)", body="""
 SELECT l.size, CAST(coalesce(c.n, 0) AS BIGINT) AS n_itemsets FROM lv l
 LEFT JOIN (SELECT size, count(*) AS n FROM bundles GROUP BY size) c ON l.size = c.size
 WHERE l.size <= coalesce((SELECT min(size) FROM lv WHERE size NOT IN (SELECT size FROM bundles)), (SELECT max(size) FROM lv))"""))
-def m03(spark, sf):
-    return M.mine_bundles_levelwise(baskets(spark, sf), TRIPLE_SUPPORT, MAX_BUNDLE_SIZE)
+def m03l(spark, sf):
+    return M.level_counts(levelwise(spark, sf), MAX_BUNDLE_SIZE)
 
 
 @register("M04", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, S.bundles_cte(BUNDLE_SUPPORT, MAX_BUNDLE_SIZE), f"""

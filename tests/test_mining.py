@@ -69,3 +69,47 @@ def test_hash_sample_exact_and_deterministic(spark):
     b = sorted(r[0] for r in M.hash_sample(df.repartition(13), "InvoiceNo", 137).collect())
     assert len(a) == 137 and a == b
     assert M.quick_sample_size(1000) == 25 and M.quick_sample_size(100000) == 500
+
+
+def _random_baskets(spark, n, seed=3):
+    import random
+    rng = random.Random(seed)
+    tx = [[x for x in "abcdefgh" if rng.random() < (0.75 if x < "e" else 0.3)] for _ in range(n)]
+    tx = [t + t[:1] for t in tx] + [[], ["a"]]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(tx)] + [("n", None), ("m", ["a", None, "b"])],
+                               "InvoiceNo string, Items array<string>")
+    return tx + [[], ["a", "b"]], df
+
+
+def test_levelwise_search_equals_brute_force_up_to_five(spark):
+    tx, df = _random_baskets(spark, 300)
+    df = df.repartition(3)
+    for support, size in ((0.05, 5), (0.1, 3), (0.3, 5)):
+        for block in (64, M.BLOCK_BASKETS):
+            got = {r["bundle"]: r["support_count"] for r in M.mine_bundles_levelwise(df, support, size, block_baskets=block).collect()}
+            assert got == _brute(tx, support, size)
+    assert max(len(b.split("|")) for b in _brute(tx, 0.05, 5)) == 5
+
+
+def test_levelwise_search_forms_no_set_above_its_size_and_prunes(spark, monkeypatch):
+    tx, df = _random_baskets(spark, 200)
+    formed = []
+    monkeypatch.setattr(M, "candidates", lambda level, k, f=M.candidates: (lambda made: formed.append((k, {tuple(r["items"]) for r in made.collect()})) or made)(f(level, k)))
+    plans = M.mine_bundles_levelwise(df, 0.05, 3)
+    assert [k for k, _ in formed] == [2, 3] and all(len(s) == k for k, sets in formed for s in sets)
+    pairs = {tuple(b.split("|")) for b in _brute(tx, 0.05, 2)}
+    assert all(p in pairs for s in formed[1][1] for p in combinations(s, 2))       # every subset is frequent
+    assert "FPGrowth" not in plans._jdf.queryExecution().toString()
+    formed.clear()
+    assert M.mine_bundles_levelwise(df, 0.99, 5).count() == 0 and [k for k, _ in formed] == [2]      # stops at the empty level
+    empty = spark.createDataFrame([], "InvoiceNo string, Items array<string>")
+    assert M.mine_bundles_levelwise(empty, 0.1, 3).count() == 0
+    counts = {r["size"]: r["n_itemsets"] for r in M.level_counts(M.mine_bundles_levelwise(df, 0.05, 3), 5).collect()}
+    assert counts[2] == len(pairs) and counts[4] == 0 and 5 not in counts
+
+
+def test_mining_releases_the_baskets_it_keeps(spark):
+    _, df = _random_baskets(spark, 50)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    M.mine_bundles(df.filter(F.col("Items").isNotNull()).withColumn("Items", F.filter("Items", lambda x: x.isNotNull())), 0.1, 3).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
