@@ -87,6 +87,17 @@ def s06(spark, sf):
     return inventory(spark, sf)
 
 
+# Stock given as text of many kinds: numbers other than 1 are not in stock, blanks and case do not count.
+_STOCK_TEXT = "CASE p_size % 7 WHEN 0 THEN '2' WHEN 1 THEN ' YES ' WHEN 2 THEN '1' WHEN 3 THEN '1.0' WHEN 4 THEN 'available' WHEN 5 THEN NULL ELSE '-1' END"
+
+
+@register("S06T", f"""SELECT item, last(coalesce(shown IN ('true', 'yes', 'y', 'in_stock', 'available') OR try_cast(shown AS DOUBLE) = 1, false) ORDER BY p_partkey) AS in_stock
+FROM (SELECT lower(trim(p_name)) AS item, lower(trim({_STOCK_TEXT})) AS shown, p_partkey FROM part) GROUP BY item""")
+def s06t(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("ITEM"), F.expr(_STOCK_TEXT).alias("Stock"), "p_partkey")
+    return ST.inventory_from_frame(p, order="p_partkey")
+
+
 @register("R04", S.with_ctes(INV_SQL, f"""
 tk AS (SELECT item, in_stock, list_distinct(list_filter(string_split({norm_sql('item')}, ' '), lambda t: t <> '')) AS t FROM inv),
 pr AS (SELECT m.item, c.item AS alternative, len(list_intersect(m.t, c.t)) / (len(m.t) + len(c.t) - len(list_intersect(m.t, c.t))) AS score

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +126,8 @@ def save_kv_cache(cache: DataFrame, path: str) -> str:
 def load_alias_map(spark: SparkSession, path: str) -> DataFrame:
     """JSON object alias → canonical, both sides normalized.
 
-    Aliases that become equal by normalization: the last entry of the last file wins.
+    Aliases that become equal by normalization: the last entry of the last file wins.  A
+    file that is not a JSON object gives no aliases, and its name is logged as a warning.
     """
     try:
         raw = spark.read.option("wholetext", True).text(path)
@@ -133,8 +135,10 @@ def load_alias_map(spark: SparkSession, path: str) -> DataFrame:
         if _missing(e):
             return spark.createDataFrame([], "alias string, canonical string")
         raise
-    pairs = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(
-        F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("pos", "k", "v"))
+    read = raw.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("map"))
+    for r in read.filter(F.col("map").isNull()).select("file").take(20):
+        logging.getLogger(__name__).warning("not a JSON object, no aliases taken from it: %s", r["file"])
+    pairs = read.select("file", F.posexplode("map").alias("pos", "k", "v"))
     return pairs.groupBy(normalize_basic("k").alias("alias")).agg(
         F.max_by(normalize_basic("v"), F.struct("file", "pos")).alias("canonical"))
 
