@@ -9,7 +9,8 @@ fall back to the caller's default).  A scorer that raises, or leaves keys out, g
 'error' rows; after a 'quota' reply a task calls the scorer no more and its other rows
 are 'quota' too: the job degrades instead of aborting.
 
-The replies are written once to the shared checkpoint folder; values, new cache and
+Keys are dealt to a set number of tasks and scored in waves (``score_in_waves``): a quota
+reply ends the whole job's calls with its wave.  The replies are written once to the shared checkpoint folder; values, new cache and
 quarantine are all read from there, so no key is scored twice and they agree.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 from cartwise.functions.text import candidate_hash, normalize_basic
 from cartwise.operators.stock import best_alternatives
-from cartwise.session import checkpoint_dir
+from cartwise.session import checkpoint_dir, cut_lineage
 
 RAW_SCHEMA = "key string, raw string, status string"
 CATEGORY_SCHEMA = T.MapType(T.StringType(), T.StringType())
@@ -67,6 +68,38 @@ def run_scorer(todo: DataFrame, scorer, batch_rows: int = 10, partitions: int |
     return todo.select("key", "text").mapInPandas(_apply, RAW_SCHEMA)
 
 
+WAVE_BATCHES = 100      # scorer calls of a task within a wave, unless ``wave_keys`` says otherwise
+
+
+def score_in_waves(todo: DataFrame, scorer, batch_rows: int = 10, tasks: int | None = None, wave_keys: int | None = None) -> DataFrame:
+    """Replies of ``scorer`` for all of ``todo`` (key, text; keys distinct), in waves; written once, then read.
+
+    The keys of a wave are dealt to ``tasks`` tasks (default: the cluster's cores), a given
+    number that adaptive execution does not lower, so few bytes of keys still occupy all
+    tasks.  A wave has about ``wave_keys`` keys (by hash) and its replies are written before the next
+    one starts: once a reply says 'quota', the scorer is called no more, by any task, and
+    the keys of the later waves are 'quota' too.  So calls beyond the quota are at most the
+    rest of one wave.
+    """
+    spark = todo.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    wave_keys = wave_keys or tasks * batch_rows * WAVE_BATCHES
+    path = f"{checkpoint_dir(spark)}/scorer-replies/{uuid.uuid4().hex}"
+    todo = cut_lineage(todo.select("key", "text"))
+    waves = max(1, -(-todo.count() // wave_keys))
+    dealt = todo.withColumn("_wave", F.pmod(F.xxhash64(F.lit("wave"), "key"), F.lit(waves)))
+    paths = []
+    for w in range(waves):
+        paths.append(f"{path}/wave-{w}")
+        run_scorer(dealt.filter(F.col("_wave") == w), scorer, batch_rows, tasks).write.parquet(paths[-1])
+        replies = spark.read.schema(RAW_SCHEMA).parquet(paths[-1])
+        if w + 1 < waves and not replies.filter(F.col("status") == "quota").isEmpty():
+            paths.append(f"{path}/not-asked")
+            dealt.filter(F.col("_wave") > w).select("key", F.lit(None).cast("string").alias("raw"), F.lit("quota").alias("status")).write.parquet(paths[-1])
+            break
+    return spark.read.schema(RAW_SCHEMA).parquet(*paths)
+
+
 def keep_replies(raw: DataFrame) -> DataFrame:
     """Write the replies once to shared storage and read them back: later uses call no scorer."""
     spark = raw.sparkSession
@@ -105,7 +138,7 @@ def merge_cache(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def cached_lookup(keys: DataFrame, cache: DataFrame | None, scorer, schema, check=None,
-                  batch_rows: int = 10, force: bool = False):
+                  batch_rows: int = 10, force: bool = False, tasks: int | None = None, wave_keys: int | None = None):
     """Distinct keys → cached values + newly scored values; returns (values, new_cache, quarantine)."""
     keys = keys.select("key", "text").filter(F.col("key").isNotNull()).dropDuplicates(["key"])
     if cache is not None and not force:
@@ -118,7 +151,7 @@ def cached_lookup(keys: DataFrame, cache: DataFrame | None, scorer, schema, chec
                                                                     T.StructField("value", schema)]))
         quarantine = todo.select("key", F.lit(None).cast("string").alias("raw"), F.lit("unavailable").alias("status"))
     else:
-        fresh, quarantine = ingest(keep_replies(run_scorer(todo, scorer, batch_rows)), schema, check)
+        fresh, quarantine = ingest(score_in_waves(todo, scorer, batch_rows, tasks, wave_keys), schema, check)
     values = fresh if hit is None else fresh.unionByName(hit.select("key", "value"))
     return values, merge_cache(cache, fresh), quarantine
 

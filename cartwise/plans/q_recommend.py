@@ -18,6 +18,12 @@ def engine(spark, sf):
     return {"nb": MD.fit_multinomial_nb(train, vocab), "gnb": MD.fit_gaussian_nb(train, vocab)}, data
 
 
+def svm_engine(spark, sf):
+    """The ensemble of Naive Bayes and the SVM (R01S, R06S, R07S; no SQL twin: an iterative fit)."""
+    data = split(spark, sf)
+    return MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), ("nb", "svm")), data
+
+
 def basket_requests(data):
     return data.filter("is_test").select(F.col("InvoiceNo").alias("request_id"), F.col("Items").alias("items"))
 
@@ -62,6 +68,14 @@ def r01(spark, sf):
     return c.select("request_id", F.round("confidence", 6).alias("confidence"), "recommender")
 
 
+@register("R01S")
+def r01s(spark, sf):
+    """R01 with the mean of Naive Bayes and SVM."""
+    models, data = svm_engine(spark, sf)
+    c = R.confidence(basket_requests(data), models)
+    return c.select("request_id", F.round("confidence", 6).alias("confidence"), "recommender")
+
+
 @register("R02", S.with_ctes(*MODEL_CTES, BREQ, req_scores_sql("breq"),
                              "ens AS (SELECT request_id, avg(confidence) AS confidence FROM rs GROUP BY request_id)",
                              APPL.replace("REQ", "breq").replace("TOPN", "5"), body="""
@@ -107,7 +121,20 @@ def r06(spark, sf):
         "request_id", "recommender", "confidence", F.col("rank").cast("bigint").alias("rank"), "bundle")
 
 
-def product_recommendations(spark, sf):
+@register("R06S")
+def r06s(spark, sf):
+    """R06 with the scores of Naive Bayes and SVM."""
+    return product_recommendations(spark, sf, svm_engine).select(
+        "request_id", "recommender", "confidence", F.col("rank").cast("bigint").alias("rank"), "bundle")
+
+
+@register("R07S")
+def r07s(spark, sf):
+    """R07 with the mean of Naive Bayes and SVM."""
+    return ensemble_scores(spark, sf, svm_engine)
+
+
+def product_recommendations(spark, sf, engine=engine):
     """R06 with the arrays of items, as R09 takes them."""
     models, _ = engine(spark, sf)
     reqs = product_requests(spark, sf)
@@ -120,6 +147,10 @@ def product_recommendations(spark, sf):
 @register("R07", S.with_ctes(*MODEL_CTES, PREQ, req_scores_sql("preq"), body="""
 SELECT request_id, round(coalesce(avg(confidence), 0), 3) AS ensemble_confidence, count(*) AS total_models FROM rs GROUP BY request_id"""))
 def r07(spark, sf):
+    return ensemble_scores(spark, sf)
+
+
+def ensemble_scores(spark, sf, engine=engine):
     models, _ = engine(spark, sf)
     s = R.model_scores(product_requests(spark, sf), models)
     return s.groupBy("request_id").agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("ensemble_confidence"),

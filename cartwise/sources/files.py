@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.text import normalize_basic
 from cartwise.schema import RAW_LINES, ROW_ORDER
+from cartwise.session import cut_lineage
 
 
 def load_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -123,6 +124,62 @@ def save_kv_cache(cache: DataFrame, path: str) -> str:
     return f"{path}/{version}"
 
 
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.lit("bucket"), key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _manifest(spark: SparkSession, path: str) -> list | None:
+    """Current manifest rows (bucket, buckets, folder) of a bucketed cache: those saved last; none yet → None."""
+    try:
+        rows = spark.read.schema("saved string, bucket int, buckets int, folder string").json(f"{path}/_manifests")
+        last = rows.agg(F.max("saved")).first()[0]
+    except AnalysisException as e:
+        if _missing(e):
+            return None
+        raise
+    return None if last is None else rows.filter(F.col("saved") == last).collect()       # one row per bucket
+
+
+def load_bucket_cache(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The current rows of a bucketed (key, value) cache; none saved yet → None."""
+    rows = _manifest(spark, path)
+    folders = [f"{path}/{r['folder']}" for r in rows or () if r["folder"]]
+    if rows is None:
+        return None
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def merge_bucket_cache(new: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:
+    """Merge ``new`` (key, value; new entries win) by rewriting only the buckets that received keys.
+
+    Keys fall into ``buckets`` buckets by hash (the number is fixed by the first save).  A
+    manifest names each bucket's folder; a merge writes new folders for the changed buckets
+    and then a new manifest, so readers of the old one are unaffected and the other buckets'
+    files stay.  Returns the buckets written.
+    """
+    spark, saved = new.sparkSession, _stamp()
+    rows = _manifest(spark, path)
+    current = {r["bucket"]: r["folder"] for r in rows or ()}
+    buckets = rows[0]["buckets"] if rows else buckets
+    new = cut_lineage(new.filter(F.col("key").isNotNull()).select("*", _bucket("key", buckets)))
+    changed = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())       # at most ``buckets`` numbers
+    held = [current[b] for b in changed if current.get(b)]
+    merged = new
+    if held:
+        old = spark.read.schema(new.drop("bucket").schema).parquet(*[f"{path}/{f}" for f in held])
+        old = old.join(new.select("key"), "key", "left_anti").select(*new.columns[:-1], _bucket("key", buckets))
+        merged = new.unionByName(old)
+    if changed:
+        merged.repartition(len(changed), "bucket").write.partitionBy("bucket").parquet(f"{path}/version-{saved}")
+    table = {b: current.get(b) for b in range(buckets)} | {b: f"version-{saved}/bucket={b}" for b in changed}
+    spark.createDataFrame([(saved, b, buckets, f) for b, f in table.items()], "saved string, bucket int, buckets int, folder string") \
+        .coalesce(1).write.mode("append").json(f"{path}/_manifests")
+    return changed
+
+
 def load_alias_map(spark: SparkSession, path: str) -> DataFrame:
     """JSON object alias → canonical, both sides normalized.
 

@@ -32,8 +32,7 @@ def test_aliases_that_differ_in_case(spark, tmp_path):
     f.write_text('{"Mug": "Cup", "mug": "beaker", "Pan": "pot"}')
     assert sorted(tuple(r) for r in FS.load_alias_map(spark, str(f)).collect()) == [("mug", "beaker"), ("pan", "pot")]
     f.write_text("{broken")
-    with pytest.raises(Exception):
-        FS.load_alias_map(spark, str(f)).collect()
+    assert FS.load_alias_map(spark, str(f)).count() == 0        # no map in it: no aliases, as where the file is missing
     assert FS.load_alias_map(spark, str(tmp_path / "none.json")).count() == 0
 
 
