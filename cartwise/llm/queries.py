@@ -40,13 +40,12 @@ cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i,
 norm AS (
   SELECT doc_id, source, list_filter(list_transform(string_split(lower(text), chr(10)),
          lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines FROM base),
-lines AS (SELECT doc_id, source, unnest(lines) AS line FROM norm),
-longest AS (SELECT doc_id, line AS ident FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, line DESC) = 1),
-hosts AS (SELECT source, count(DISTINCT ident) AS host_docs FROM norm JOIN longest USING (doc_id) GROUP BY source),
+lines AS (SELECT doc_id, source, array_to_string(lines, chr(10)) AS ident, unnest(lines) AS line FROM norm),
+hosts AS (SELECT source, count(DISTINCT ident) AS host_docs FROM lines GROUP BY source),
 freq AS (
-  SELECT lines.source, line FROM lines JOIN longest USING (doc_id) JOIN hosts ON lines.source IS NOT DISTINCT FROM hosts.source
+  SELECT lines.source, line FROM lines JOIN hosts ON lines.source IS NOT DISTINCT FROM hosts.source
   GROUP BY lines.source, line, host_docs
-  HAVING count(DISTINCT ident) >= 20 AND count(DISTINCT ident) * 100 > host_docs * 2),
+  HAVING count(DISTINCT ident) >= 20 AND (count(DISTINCT ident) * 100 > host_docs * 2 OR count(DISTINCT ident) >= 1000)),
 lost AS (
   SELECT doc_id, sum(len(regexp_split_to_array(lines.line, '[\x20\x09-\x0D]+'))) AS n FROM lines JOIN freq ON lines.line = freq.line AND lines.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
 m AS (

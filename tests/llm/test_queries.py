@@ -38,6 +38,24 @@ def test_oracle(spark, name):
     assert digest(df.columns, [tuple(r) for r in df.collect()])[0] == digest(rel.columns, rel.fetchall())[0]
 
 
+def test_line_rules_twin_where_documents_share_their_longest_line_or_a_host_is_large(spark, tmp_path):
+    """Documents whose longest line is shared count each; a line of 1,000 documents goes whatever its share."""
+    from oracle_check import digest
+    notice = " ".join(f"n{k}" for k in range(120))
+    rows = [(i, f"{notice}\nown {i}", "a") for i in range(30)] + [(100 + i, f"{notice}\nown {i}", "b") for i in range(10)]
+    rows += [(1000 + i, "shared words here\n" + " ".join(f"t{i}x{k}" for k in range(55)), "big") for i in range(1000)]
+    rows += [(10_000 + i, " ".join(f"u{i}x{k}" for k in range(2)), "big") for i in range(52_000)]
+    rows += [(90_000, f"{notice}\nown 1", "a"), (90_001, None, "a"), (90_002, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df, con = Q.QUERIES["op3_line_rules"](spark, str(tmp_path)), duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel, got = con.sql(Q.ORACLES["op3_line_rules"]), df.collect()
+    assert digest(df.columns, [tuple(r) for r in got])[0] == digest(rel.columns, rel.fetchall())[0]
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[5]["lost_words"] == 120 and not by_id[5]["kept"] and by_id[105]["lost_words"] == 0
+    assert by_id[1005]["lost_words"] == 3 and by_id[1005]["kept"]
+
+
 def test_simhash_query(spark):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     fps = [plain_fingerprint(t) for _, t in docs]
