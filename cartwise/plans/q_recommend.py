@@ -1,12 +1,16 @@
 """Registered queries: recommendation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cartwise.operators import models as MD
 from cartwise.operators import recommend as R
+from cartwise.operators.lookup import Lookup, save_lookup
 from cartwise.plans import sqlparts as S
 from cartwise.plans.catalog import bundles, register
 from cartwise.plans.q_models import BASE, GNB, MNB, split, vocab_of
+from cartwise.session import checkpoint_dir
 from cartwise.sources.tables import table
 
 
@@ -113,9 +117,25 @@ def r05(spark, sf):
     return out.select("request_id", "product", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("R06", S.with_ctes(*MODEL_CTES, PREQ, req_scores_sql("preq"), APPL.replace("REQ", "preq").replace("TOPN", "5"), body="""
+R06_SQL = S.with_ctes(*MODEL_CTES, PREQ, req_scores_sql("preq"), APPL.replace("REQ", "preq").replace("TOPN", "5"), body="""
 SELECT s.request_id, s.recommender, round(s.confidence, 3) AS confidence, a.rank, a.bundle
-FROM rs s JOIN appl a ON s.request_id = a.request_id WHERE s.confidence >= 0.3"""))
+FROM rs s JOIN appl a ON s.request_id = a.request_id WHERE s.confidence >= 0.3""")
+
+
+def lookup_engine(spark, sf):
+    """The engine saved as item-bucketed tables and opened again."""
+    at = f"{checkpoint_dir(spark)}/lookup-{uuid.uuid4().hex}"
+    save_lookup(engine(spark, sf)[0], bundles(spark, sf), at)
+    return Lookup.open(spark, at)
+
+
+@register("R06L", R06_SQL)
+def r06l(spark, sf):
+    """R06 answered from the saved engine."""
+    return lookup_engine(spark, sf).batch(product_requests(spark, sf))
+
+
+@register("R06", R06_SQL)
 def r06(spark, sf):
     return product_recommendations(spark, sf).select(
         "request_id", "recommender", "confidence", F.col("rank").cast("bigint").alias("rank"), "bundle")
