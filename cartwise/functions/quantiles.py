@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartwise.functions.sketches import quantile_sketches, sketched_quantiles
 from cartwise.session import cut_lineage
 
 
@@ -67,8 +68,15 @@ def exact_quantiles(df: DataFrame, cols, probs) -> dict[str, list[float | None]]
     return {c: [at(i, p) for p in probs] for i, c in enumerate(cols)}
 
 
-def iqr_fences(df: DataFrame, cols, multiplier: float) -> dict[str, tuple[float | None, float | None]]:
+def quantiles(df: DataFrame, cols, probs, approximate: bool = False) -> dict[str, list[float | None]]:
+    """``exact_quantiles``, or with ``approximate`` sketched ones: one scan, no range partitioning."""
+    if approximate:
+        return sketched_quantiles(quantile_sketches(df, cols), cols, probs) if cols else {}
+    return exact_quantiles(df, cols, probs)
+
+
+def iqr_fences(df: DataFrame, cols, multiplier: float, approximate: bool = False) -> dict[str, tuple[float | None, float | None]]:
     """(lower, upper) per column: quartiles minus and plus ``multiplier`` times their distance."""
-    quartiles = exact_quantiles(df, cols, (0.25, 0.75))
+    quartiles = quantiles(df, cols, (0.25, 0.75), approximate)
     return {c: (None, None) if q1 is None else (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
             for c, (q1, q3) in quartiles.items()}

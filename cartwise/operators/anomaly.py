@@ -13,22 +13,22 @@ RECORD_KEY_FIELDS = ["InvoiceNo", "StockCode", "CustomerID", "InvoiceDate", "Qua
                      "UnitPrice", "TransactionValue"]
 
 
-def iqr_bounds(df: DataFrame, fields, multiplier: float = 1.5) -> DataFrame:
+def iqr_bounds(df: DataFrame, fields, multiplier: float = 1.5, approximate: bool = False) -> DataFrame:
     """A11 bounds, one row per field.
 
     Quantiles are exact and linearly interpolated (pandas ``quantile``); nulls are ignored
-    and an all-null field gets (-inf, +inf).
+    and an all-null field gets (-inf, +inf).  ``approximate`` takes them from sketches.
     """
-    fences = iqr_fences(df, fields, multiplier)
+    fences = iqr_fences(df, fields, multiplier, approximate)
     rows = [(i, f, float("-inf") if fences[f][0] is None else fences[f][0],
              float("inf") if fences[f][1] is None else fences[f][1]) for i, f in enumerate(fields)]
     return df.sparkSession.createDataFrame(rows, "pos int, field string, lower double, upper double")
 
 
-def flag_anomalies(df: DataFrame, params=None, fields=None, multiplier=None) -> DataFrame:
+def flag_anomalies(df: DataFrame, params=None, fields=None, multiplier=None, approximate: bool = False) -> DataFrame:
     """A11 + A12: ``check_anomaly``, ``anomaly_type``, ``anomaly_reason``.
 
-    The quartiles are computed at once (``exact_quantiles``) and the bounds enter the plan as
+    The quartiles are computed at once (exactly, or from sketches) and the bounds enter the plan as
     literals, so the line table is never joined with anything.
     """
     from cartwise.schema import JobParams
@@ -41,7 +41,7 @@ def flag_anomalies(df: DataFrame, params=None, fields=None, multiplier=None) ->
                   .withColumn("anomaly_type", F.lit(None).cast("string"))
                   .withColumn("anomaly_reason", F.lit(None).cast("string")))
     parts = []
-    for f, (low, high) in iqr_fences(df, fields, multiplier).items():
+    for f, (low, high) in iqr_fences(df, fields, multiplier, approximate).items():
         v = F.col(f).cast("double")
         parts.append(F.when((v < F.lit(low)) | (v > F.lit(high)), F.lit(f"IQR outlier in {f}")))
     reasons = F.concat_ws(", ", *parts)  # skips NULLs: the flagged fields in field order

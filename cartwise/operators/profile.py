@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.ordering import global_row_number
-from cartwise.functions.quantiles import exact_quantiles, iqr_fences
+from cartwise.functions.quantiles import iqr_fences, quantiles
+from cartwise.functions.sketches import approximate_distinct, exact_distinct
 
 # Text-pattern checks of the profiler (Python regex semantics;
 # ``(?U)`` makes Java's classes Unicode-aware like Python's).
@@ -25,8 +26,8 @@ LONG_TEXT = 200
 
 def pct(num, den) -> Column:
     """Percentage with 2 decimals: round(num·10000/den)/100 (one IEEE division, so every
-    engine rounds the same double)."""
-    return F.round(num * 10000.0 / den, 0) / 100
+    engine rounds the same double); null where there is nothing to divide by."""
+    return F.round(F.try_divide(num * 10000.0, den), 0) / 100
 
 
 def _unpivot(one_row: DataFrame, cols, build) -> DataFrame:
@@ -57,28 +58,45 @@ def overview(df: DataFrame) -> DataFrame:
         nulls.agg(F.count_if("fully_null")).scalar().alias("fully_null_columns"))
 
 
-def column_stats(df: DataFrame, cols=None) -> DataFrame:
-    """Non-null, null, null % (2 dp), distinct (nulls excluded) per column."""
+def column_stats(df: DataFrame, cols=None, approximate: bool = False) -> DataFrame:
+    """Non-null, null, null % (2 dp), distinct (nulls excluded) per column.
+
+    Exact: rows become (column, 128-bit digest) pairs that tasks count before one shuffle;
+    counts and distinct counts come from the same pairs, so the table is read once and no row
+    is copied per column.  ``approximate``: sketches in one aggregate.
+    """
     cols = cols or df.columns
-    exprs = [F.count(F.lit(1)).alias("_n")]
-    for c in cols:
-        exprs += [F.count(c).alias(f"{c}__nn"), F.countDistinct(c).alias(f"{c}__d")]
-    agg = df.agg(*exprs)
-    return _unpivot(agg, cols, lambda c: F.struct(
-        F.lit(c).alias("column"), F.col(f"{c}__nn").alias("non_null_count"),
-        (F.col("_n") - F.col(f"{c}__nn")).alias("null_count"),
-        pct(F.col("_n") - F.col(f"{c}__nn"), F.col("_n")).alias("null_percentage"),
-        F.col(f"{c}__d").alias("unique_count")))
+    if approximate:
+        agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"{c}__nn") for c in cols],
+                     *[approximate_distinct(F.col(f"`{c}`")).alias(f"{c}__d") for c in cols])
+        found = _unpivot(agg, cols, lambda c: F.struct(F.lit(c).alias("column"), F.col(f"{c}__nn").alias("_nn"), F.col("_n"), F.col(f"{c}__d").alias("_d")))
+    else:
+        pairs = [F.struct(F.lit(i).alias("_i"), F.xxhash64(v).alias("_a"), F.xxhash64(F.lit(1), v).alias("_b"), v.isNotNull().alias("_held"))
+                 for i, v in enumerate(_canonical(df, c) for c in cols)]
+        counts = df.select(F.inline(F.array(*pairs))).groupBy("_i", "_a", "_b", "_held").agg(F.count(F.lit(1)).alias("n"))
+        per = counts.groupBy("_i").agg(F.sum(F.when(F.col("_held"), F.col("n")).otherwise(0)).alias("_nn"), F.sum("n").alias("_n"),
+                                       F.count_if("_held").alias("_d"))
+        names = df.sparkSession.createDataFrame(list(enumerate(cols)), "_i int, column string")
+        found = names.join(per, "_i", "left").fillna(0, ["_nn", "_n", "_d"])
+    return found.select("column", F.col("_nn").alias("non_null_count"), (F.col("_n") - F.col("_nn")).alias("null_count"),
+                        pct(F.col("_n") - F.col("_nn"), F.col("_n")).alias("null_percentage"), F.col("_d").cast("bigint").alias("unique_count"))
+
+
+def _canonical(df: DataFrame, c: str) -> Column:
+    """A column whose equal values print alike: minus zero is zero."""
+    kind = df.schema[c].dataType.simpleString()
+    return F.col(f"`{c}`") + F.lit(0.0).cast(kind) if kind in ("double", "float") else F.col(f"`{c}`")
 
 
 # A08 ----------------------------------------------------------------------------------
-def numeric_profile(df: DataFrame, cols, digits: int = 6) -> DataFrame:
+def numeric_profile(df: DataFrame, cols, digits: int = 6, approximate: bool = False) -> DataFrame:
     """Five-number summary, mean, sample std, bias-corrected skewness / excess kurtosis.
 
     Spark's ``skewness`` / ``kurtosis`` are population moments g1, g2; pandas reports
     G1 = g1·sqrt(n(n-1))/(n-2) and G2 = ((n+1)·g2 + 6)·(n-1)/((n-2)(n-3)).
+    ``approximate`` takes the quartiles from sketches.
     """
-    quantiles = exact_quantiles(df, cols, (0.0, 0.25, 0.5, 0.75, 1.0))
+    five = quantiles(df, cols, (0.0, 0.25, 0.5, 0.75, 1.0), approximate)
     exprs = []
     for c in cols:
         v = F.col(c).cast("double")
@@ -90,7 +108,7 @@ def numeric_profile(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     def build(c):
         n = F.col(f"{c}__n").cast("double")
         g1, g2 = F.col(f"{c}__g1"), F.col(f"{c}__g2")
-        q = [F.lit(x).cast("double") for x in quantiles[c]]
+        q = [F.lit(x).cast("double") for x in five[c]]
         skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
         kurt = F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
         r = lambda e: F.round(e, digits)
@@ -102,9 +120,9 @@ def numeric_profile(df: DataFrame, cols, digits: int = 6) -> DataFrame:
 
 
 # A09 / A10 ----------------------------------------------------------------------------
-def numeric_outliers(df: DataFrame, cols, multiplier: float = 1.5) -> DataFrame:
+def numeric_outliers(df: DataFrame, cols, multiplier: float = 1.5, approximate: bool = False) -> DataFrame:
     """IQR bounds, outlier count and % of non-null values per column, all columns in one aggregate."""
-    fences = iqr_fences(df, cols, multiplier)
+    fences = iqr_fences(df, cols, multiplier, approximate)
     exprs = []
     for c in cols:
         v, (low, high) = F.col(c).cast("double"), fences[c]
@@ -177,23 +195,27 @@ def text_profile(df: DataFrame, cols) -> DataFrame:
                   F.avg(ln).alias(f"{c}__mean"), F.count_if(ln == 0).alias(f"{c}__empty"),
                   F.count(t).alias(f"{c}__n"),
                   F.count_if(F.lower(t) != cleaned).alias(f"{c}__changed"),
-                  F.countDistinct(t).alias(f"{c}__u"), F.countDistinct(cleaned).alias(f"{c}__uc"),
                   F.count_if(ln > LONG_TEXT).alias(f"{c}__long"),
                   F.count_if(t.rlike(URL_PATTERN)).alias(f"{c}__url"),
                   F.count_if(t.rlike(EMAIL_PATTERN)).alias(f"{c}__email"),
                   F.count_if(t.rlike(DIGIT_PATTERN)).alias(f"{c}__digit"),
                   F.count_if(F.regexp_replace(t, r"(?U)^\s+|\s+$", "") == "").alias(f"{c}__blank")]
     agg = df.agg(*exprs)
-    return _unpivot(agg, cols, lambda c: F.struct(
+    out = _unpivot(agg, cols, lambda c: F.struct(
         F.lit(c).alias("column"), F.col(f"{c}__min").alias("min_length"), F.col(f"{c}__max").alias("max_length"),
         F.round(F.col(f"{c}__mean"), 6).alias("mean_length"), F.col(f"{c}__empty").alias("empty_strings"),
         F.col(f"{c}__changed").alias("rows_with_non_alphanumeric"),
         pct(F.col(f"{c}__changed"), F.col(f"{c}__n")).alias("non_alphanumeric_percentage"),
-        F.col(f"{c}__u").alias("case_sensitive_unique"), F.col(f"{c}__uc").alias("case_insensitive_unique"),
-        (F.col(f"{c}__u") - F.col(f"{c}__uc")).alias("unique_count_reduction"),
         F.col(f"{c}__long").alias("very_long_values"), F.col(f"{c}__url").alias("contains_urls"),
         F.col(f"{c}__email").alias("contains_emails"), F.col(f"{c}__digit").alias("contains_numbers"),
         F.col(f"{c}__blank").alias("all_whitespace")))
+    distinct = exact_distinct(df, {f"{s}|{c}": v for c in cols for s, v in (
+        ("as is", F.col(c)), ("cleaned", F.regexp_replace(F.lower(F.col(c)), NON_ALPHA_PATTERN, "")))})
+    unique = distinct.groupBy(F.substring_index("name", "|", -1).alias("of")).agg(
+        *[F.max(F.when(F.startswith("name", F.lit(f"{s}|")), F.col("distinct"))).alias(n) for s, n in (("as is", "_u"), ("cleaned", "_uc"))])
+    u, uc = (F.coalesce(n, F.lit(0)).cast("bigint") for n in ("_u", "_uc"))
+    return out.join(unique, F.col("column") == F.col("of"), "left").select(
+        *out.columns, u.alias("case_sensitive_unique"), uc.alias("case_insensitive_unique"), (u - uc).alias("unique_count_reduction"))
 
 
 def first_distinct_values(df: DataFrame, col: str, order: str, k: int = 20) -> DataFrame:

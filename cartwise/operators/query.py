@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.functions.sketches import approximate_distinct
 from cartwise.schema import LINE_COLUMNS, ROW_ORDER
 
 
@@ -58,13 +59,17 @@ def by_date(df: DataFrame, day: str) -> DataFrame:
     return df.filter(F.to_date(F.col("InvoiceDate")) == F.to_date(F.lit(day)))
 
 
-def stats(df: DataFrame) -> DataFrame:
-    """Q11: rows and distinct customers, products, countries, invoices (nulls excluded)."""
+def stats(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Q11: rows and distinct customers, products, countries, invoices (nulls excluded).
+
+    ``approximate`` counts by sketches in one pass, without copying rows per column.
+    """
+    count = (lambda c: approximate_distinct(F.col(c))) if approximate else F.countDistinct
     return df.agg(F.count(F.lit(1)).alias("total_records"),
-                  F.countDistinct("CustomerID").alias("unique_customers"),
-                  F.countDistinct("StockCode").alias("unique_products"),
-                  F.countDistinct("Country").alias("unique_countries"),
-                  F.countDistinct("InvoiceNo").alias("unique_invoices"))
+                  count("CustomerID").alias("unique_customers"),
+                  count("StockCode").alias("unique_products"),
+                  count("Country").alias("unique_countries"),
+                  count("InvoiceNo").alias("unique_invoices"))
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:
