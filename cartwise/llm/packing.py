@@ -9,8 +9,10 @@ In a shard, best fit decreasing sets the start.  The local search then visits th
 that are not full, fullest first, and lets each gain from a bin that is not fuller: a
 move (a piece comes over), one for one (a larger piece for a smaller), one for two
 (one piece for two smaller ones) or two for one (two pieces of one bin for one
-smaller piece).  Each accepted step raises the sum of squared fills, so the search ends;
-bins that run empty are gone.
+smaller piece).  The step that fills the bin most is taken, from the emptiest bin that
+allows it, so the emptiest run empty and are gone.  All sizes and pair sums of unfull bins
+are indexed and kept up as bins change; nothing is left out.  Each accepted step raises
+the sum of squared fills, and the search goes on until no bin can gain.
 
 Tokenizing: the ids are those of the tokenizers library for the given JSON file.  Where that
 file is a plain byte-level BPE whose ids follow the merge order, tiktoken computes the same
@@ -26,6 +28,7 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import zlib
@@ -38,10 +41,14 @@ from pyspark.sql import functions as F
 
 from cartwise.session import cut_lineage
 
+try:
+    import tiktoken
+except ModuleNotFoundError:      # tokenizers alone does the same, slower
+    tiktoken = None
+
 CAPACITY = 2048
 END_ID = 0
 SHARD_ITEMS = 20_000
-ROUNDS = 6
 BLANK_BLOCK = 50_000
 
 # Fixed value: the word pattern of the byte-level pre-tokenizer.
@@ -81,12 +88,11 @@ class TextEncoder:
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark deals out the cores
-        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         by_bytes = ranks(tokenizer_json)
-        self.fast = by_bytes and tiktoken.Encoding("by_bytes", pat_str=WORDS, mergeable_ranks=by_bytes, special_tokens={})
+        self.fast = by_bytes and tiktoken and tiktoken.Encoding("by_bytes", pat_str=WORDS, mergeable_ranks=by_bytes, special_tokens={})
 
     def plain(self, text: str) -> bool:
         """No special token's text and no run of 2 * BLANK_BLOCK blanks (one would fill a block)."""
@@ -151,17 +157,46 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return rows.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+class Givers:
+    """Unfull bins by a size they can give, the emptiest first.
+
+    A bin is listed again whenever it changes; entries of its earlier states are dropped when met.
+    """
+
+    def __init__(self, capacity: int, version: list[int]):
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.version = version
+        self.mask = 0                    # bit s is set while some bin is listed under size s
+
+    def add(self, size: int, fill: int, b: int) -> None:
+        heapq.heappush(self.heaps[size], (fill, b, self.version[b]))
+        self.mask |= 1 << size
+
+    def emptiest(self, size: int, target: int) -> int | None:
+        """The emptiest bin other than ``target`` that can give ``size``."""
+        heap, own = self.heaps[size], None
+        while heap and (self.version[heap[0][1]] != heap[0][2] or heap[0][1] == target):
+            entry = heapq.heappop(heap)
+            if self.version[entry[1]] == entry[2]:
+                own = entry
+        found = heap[0][1] if heap else None
+        if own:
+            heapq.heappush(heap, own)
+        if not heap:
+            self.mask &= ~(1 << size)
+        return found
+
+
 class Shard:
-    """Bins of one shard: pieces by number, the fill of each bin, and unfull bins' pieces by size."""
+    """Bins of one shard: pieces by number, the fill of each bin, and what unfull bins can give."""
 
     def __init__(self, sizes: list[int], capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
-        self.home = [0] * len(sizes)
-        self.by_size: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.mask = 0                    # bit s is set while some piece of size s is listed
         self.best_fit()
+        self.version = [0] * len(self.bins)
+        self.singles, self.pairs = Givers(capacity, self.version), Givers(capacity, self.version)
 
     def best_fit(self) -> None:
         rooms: list[list[int]] = [[] for _ in range(self.capacity + 1)]    # bins by room left
@@ -180,94 +215,87 @@ class Shard:
                 self.fill.append(0)
             self.bins[b].append(i)
             self.fill[b] += size
-            self.home[i] = b
             rooms[room - size].append(b)
             open_rooms |= 1 << (room - size)
 
-    def listed(self, low: int, high: int, target: int) -> int | None:
-        """The largest listed piece with low < size <= high in a bin that is not fuller than ``target``."""
-        window = self.mask & ((1 << (high + 1)) - 1)
+    def given(self, b: int) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+        """One piece of each size in the bin, and one pair of each sum (at most 2,016 at 2,048 tokens)."""
+        of_size: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            of_size.setdefault(self.sizes[i], []).append(i)
+        order = sorted(of_size)
+        pairs = {}
+        for k, x in enumerate(order):
+            if len(of_size[x]) > 1:
+                pairs.setdefault(2 * x, (of_size[x][0], of_size[x][1]))
+            for y in order[k + 1:]:
+                pairs.setdefault(x + y, (of_size[x][0], of_size[y][0]))
+        return {x: (of_size[x][0],) for x in order}, pairs
+
+    def enlist(self, b: int) -> None:
+        self.version[b] += 1
+        if 0 < self.fill[b] < self.capacity:
+            singles, pairs = self.given(b)
+            for size in singles:
+                self.singles.add(size, self.fill[b], b)
+            for size in pairs:
+                self.pairs.add(size, self.fill[b], b)
+
+    def giver(self, of: Givers, low: int, high: int, target: int) -> tuple[int, int] | None:
+        """The largest size with low < size <= high, and the emptiest bin that gives it, if not fuller than ``target``."""
+        window = of.mask & ((1 << (min(high, self.capacity) + 1)) - 1)
         while window:
             size = window.bit_length() - 1
             if size <= low:
                 return None
-            gone = []
-            for k, i in enumerate(reversed(self.by_size[size])):
-                b = self.home[i]
-                if self.fill[b] >= self.capacity or b < 0:
-                    gone.append(i)
-                elif b != target and self.fill[b] <= self.fill[target]:
-                    return i
-                if k >= 16:
-                    break
-            for i in gone:                              # in bins that have become full
-                self.by_size[size].remove(i)
-            if not self.by_size[size]:
-                self.mask &= ~(1 << size)
-            window &= (1 << size) - 1
+            b = of.emptiest(size, target)
+            if b is not None and self.fill[b] <= self.fill[target]:
+                return size, b
+            window ^= 1 << size
         return None
 
-    def place(self, moved: list[int], to: int) -> None:
-        for i in moved:
-            was = self.home[i]
-            self.bins[was].remove(i)
-            self.fill[was] -= self.sizes[i]
-            self.bins[to].append(i)
-            self.fill[to] += self.sizes[i]
-            self.home[i] = to
-
-    def improve(self, target: int, donors: list[int]) -> bool:
+    def improve(self, target: int) -> bool:
         """Make the step that raises ``target``'s fill most; False if there is none."""
-        sizes, room, own = self.sizes, self.capacity - self.fill[target], self.bins[target]
-        best, take, give = 0, [], []
-        i = self.listed(0, room, target)
-        if i is not None:
-            best, take, give = sizes[i], [i], []
-        for k, a in enumerate(own):
-            if best == room:
-                break
-            i = self.listed(sizes[a] + best, sizes[a] + room, target)
-            if i is not None:
-                best, take, give = sizes[i] - sizes[a], [i], [a]
-            for b in own[k + 1:]:
-                pair = sizes[a] + sizes[b]
-                if best < room and pair + best < self.capacity and (i := self.listed(pair + best, min(self.capacity, pair + room), target)) is not None:
-                    best, take, give = sizes[i] - pair, [i], [a, b]
-        if best < room:
-            for d in donors:
-                if d == target or self.fill[d] > self.fill[target] or len(self.bins[d]) < 2 or best == room:
-                    continue
-                for k, x in enumerate(self.bins[d][:32]):
-                    for y in self.bins[d][k + 1:32]:
-                        for a in own[:32]:
-                            gain = sizes[x] + sizes[y] - sizes[a]
-                            if best < gain <= room:
-                                best, take, give = gain, [x, y], [a]
-        if not best:
+        room = self.capacity - self.fill[target]
+        singles, pairs = self.given(target)
+        best, step = 0, None
+        for give, back, of in [(0, (), self.singles), *((x, i, self.singles) for x, i in singles.items()),
+                               *((x, i, self.singles) for x, i in pairs.items()),
+                               *((x, i, self.pairs) for x, i in singles.items())]:
+            hit = self.giver(of, give + best, give + room, target)
+            if hit:
+                best, step = hit[0] - give, (of, *hit, back)
+                if best == room:
+                    break
+        if step is None:
             return False
-        other = self.home[take[0]]
-        self.place(take, target)
-        self.place(give, other)
+        of, size, other, back = step
+        take = self.given(other)[of is self.pairs][size]
+        for moved, was, to in ((take, other, target), (back, target, other)):
+            for i in moved:
+                self.bins[was].remove(i)
+                self.bins[to].append(i)
+        self.fill[target] += best
+        self.fill[other] -= best
+        self.enlist(target)
+        self.enlist(other)
         return True
 
-    def search(self, rounds: int) -> None:
-        for _ in range(rounds):
-            unfull = [b for b in range(len(self.bins)) if 0 < self.fill[b] < self.capacity]
-            self.by_size, self.mask = [[] for _ in range(self.capacity + 1)], 0
-            for b in unfull:
-                for i in self.bins[b]:
-                    self.by_size[self.sizes[i]].append(i)
-                    self.mask |= 1 << self.sizes[i]
-            unfull.sort(key=lambda b: -self.fill[b])
-            steps = 0
+    def search(self, rounds: int | None = None) -> None:
+        """Visit the unfull bins, fullest first, in ``rounds`` rounds; None: until no bin can gain."""
+        unfull = [b for b in range(len(self.bins)) if self.fill[b] < self.capacity]
+        for b in unfull if rounds != 0 else []:
+            self.enlist(b)
+        steps, done = True, 0
+        while steps and done != rounds:
+            steps, done = False, done + 1
+            unfull = sorted((b for b in unfull if 0 < self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
             for b in unfull:
-                while 0 < self.fill[b] < self.capacity and self.improve(b, unfull[-8:]):
-                    steps += 1
-            if not steps:
-                break
+                while 0 < self.fill[b] < self.capacity and self.improve(b):
+                    steps = True
 
 
-def pack_sizes(sizes: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[int], list[int]]:
+def pack_sizes(sizes: list[int], capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[int], list[int]]:
     """Sequence number and offset of each piece."""
     shard = Shard(sizes, capacity)
     shard.search(rounds)
@@ -281,7 +309,7 @@ def pack_sizes(sizes: list[int], capacity: int = CAPACITY, rounds: int = ROUNDS)
     return number, offset
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, rounds: int | None = None) -> DataFrame:
     """``cut`` (any columns with ``length`` up to ``capacity``) with sequence_id and offset."""
     cut = cut_lineage(cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")))
     full = cut.where(F.col("length") >= capacity).withColumn(
