@@ -11,9 +11,9 @@ Only distinct fingerprints are compared, so copies cost nothing.
 
 Comparison: a task takes whole cells of fingerprints that share a key, about ``TILE``
 rows at a time.  The tile is stored vertically, one bit vector per bit plane.  A group
-of queries is xored with the planes one after another; two carry-save bit counters
-and a sticky overflow hold all distances of the tile at once, and the group's block is
-abandoned when every distance has passed the radius.  Within a tile links become a
+of queries is xored with the planes of its own and the later lanes one after another; two
+carry-save bit counters and a sticky overflow hold all distances at once, and a block (the
+group against 64 lanes) is abandoned when every distance has passed the radius.  Within a tile links become a
 spanning forest, so no more rows leave a task than enter it.
 
 A key shared by more than ``CHUNK`` fingerprints is cut into chunks by hash, and each pair
@@ -47,7 +47,7 @@ MAX_BITS = 3
 SEED = 42
 CHUNK = 1024
 TILE = 1024
-QUERIES_AT_ONCE = 256
+QUERIES_AT_ONCE = 256     # a multiple of 64
 SALTS = 64
 
 
@@ -95,10 +95,17 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(queries: np.ndarray, planes: np.ndarray, max_bits: int) -> np.ndarray:
-    """Bit matrix (query, word of lanes): 1 where the distance is at most ``max_bits`` (which is below 4)."""
-    shape = (len(queries), planes.shape[1])
-    ones, twos, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+def within(queries: np.ndarray, planes: np.ndarray, max_bits: int, skip: np.ndarray | None = None,
+           work: list[int] | None = None) -> np.ndarray:
+    """Bit matrix (query, word of lanes): 1 where the distance is at most ``max_bits`` (which is below 4).
+
+    Lanes set in ``skip`` (of the result's shape) are not asked for.  A block is the queries
+    against one word of 64 lanes; it is abandoned once each lane asked for is beyond the radius.
+    ``work`` gets the number of blocks still compared at each plane.
+    """
+    near = np.zeros((len(queries), planes.shape[1]), np.uint64)
+    over = np.zeros_like(near) if skip is None else skip.copy()
+    ones, twos, blocks = np.zeros_like(near), np.zeros_like(near), np.arange(planes.shape[1])
     for k in range(64):
         flip = -((queries >> np.uint64(k)) & np.uint64(1)).astype(np.int64)     # all ones where the query's bit is set
         x = planes[k][None, :] ^ flip.view(np.uint64)[:, None]
@@ -106,16 +113,36 @@ def within(queries: np.ndarray, planes: np.ndarray, max_bits: int) -> np.ndarray
         ones ^= x
         over |= twos & carry
         twos ^= carry
-        if k % 8 == 7 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
-            return np.zeros(shape, np.uint64)      # every lane is beyond the radius
-    near = ~over
+        if work is not None:
+            work.append(len(blocks))
+        if k % 8 == 7:
+            open_blocks = (over != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=0)
+            if not open_blocks.all():
+                planes, blocks = planes[:, open_blocks], blocks[open_blocks]
+                ones, twos, over = ones[:, open_blocks], twos[:, open_blocks], over[:, open_blocks]
+                if not len(blocks):
+                    return near
+    found = ~over
     for d in range(max_bits + 1, 4):               # counts that fit two bits but not the radius
-        near &= ~((ones if d & 1 else ~ones) & (twos if d & 2 else ~twos))
+        found &= ~((ones if d & 1 else ~ones) & (twos if d & 2 else ~twos))
+    if skip is not None:
+        found &= ~skip[:, blocks]
+    near[:, blocks] = found
     return near
 
 
-def forest(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
-    """Edges that join the fingerprints of a tile as its links do, at most one per fingerprint."""
+def earlier_lanes(queries: int, at: int, n: int) -> np.ndarray:
+    """Bit matrix of the lanes from ``at`` on that query at + i need not meet: itself, those before it, those past ``n``."""
+    lanes = np.arange(-(-(n - at) // 64) * 64)
+    skip = (lanes[None, :] <= np.arange(queries)[:, None]) | (lanes >= n - at)[None, :]
+    return np.packbits(skip, axis=1, bitorder="little").view(np.uint64)
+
+
+def forest(fps: np.ndarray, max_bits: int, work: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Edges that join the fingerprints of a tile as its links do, at most one per fingerprint.
+
+    Each group of queries meets itself and the later fingerprints alone.
+    """
     n, planes, root = len(fps), planes_of(fps), np.arange(len(fps))
 
     def find(i):
@@ -125,14 +152,14 @@ def forest(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
         return i
 
     for at in range(0, n, QUERIES_AT_ONCE):
-        near = within(fps[at:at + QUERIES_AT_ONCE], planes, max_bits)
+        queries = fps[at:at + QUERIES_AT_ONCE]
+        near = within(queries, planes[:, at // 64:], max_bits, earlier_lanes(len(queries), at, n), work)
         for i in np.flatnonzero(near.any(axis=1)):
-            for j in np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little")[:n]):
-                if j > at + i:
-                    a, b = find(at + i), find(j)
-                    if a != b:
-                        root[b] = a
-                        yield at + i, j
+            for j in np.flatnonzero(np.unpackbits(near[i].view(np.uint8), bitorder="little")[:n - at]):
+                a, b = find(at + i), find(at + j)
+                if a != b:
+                    root[b] = a
+                    yield at + i, at + j
 
 
 def cell_edges(max_bits: int):
