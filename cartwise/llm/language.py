@@ -18,8 +18,9 @@ trigrams of each language.  Trigrams are counted in the tasks, so no text reache
 
 Defined results: a null page has no text, no declaration and is judged by its host; a null
 address has the empty host, domain and suffix; repeated rows count and are judged
-each; an empty table gives an empty result; other columns are not read.  Ties go to the
-first language by code.
+each; an empty table gives an empty result; without any document of a known language there
+are no languages, and each page gets a null one and an empty posterior; other columns are
+not read.  Ties go to the first language by code.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cartwise.llm.common import fan_out, salt_of
 from cartwise.session import cut_lineage
@@ -43,15 +45,38 @@ MAX_TRIGRAMS = 5000
 MAX_EVIDENCE = 40.0
 KAPPA = 5.0
 ALPHA = 0.5
+MAX_BROADCAST_IDS = 200_000
 SALTS = 64
 
-HIDDEN = re.compile(r"(?is)<(script|style|nav|head|footer)\b.*?</\1\s*>|<!--.*?-->")
+HIDDEN = re.compile(r"(?i)<!--|<(?:(script)|(style)|(nav)|(head)|(footer))\b")
+CLOSERS = [re.compile("-->"), *(re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "nav", "head", "footer"))]
 TAG = re.compile(r"(?s)<[^>]*>")
 BLANKS = re.compile(r"\s+")
 
 
+def shown(page: str) -> str:
+    """``page`` with a blank for each comment and hidden element.
+
+    One way forward: a kind of element that has no end behind one place has none behind
+    later places, so each kind's end is sought in vain once at most.
+    """
+    parts, at, start, unclosed = [], 0, 0, set()
+    while opener := HIDDEN.search(page, start):
+        kind = opener.lastindex or 0
+        closer = None if kind in unclosed else CLOSERS[kind].search(page, opener.end())
+        if closer:
+            parts += [page[at:opener.start()], " "]
+            at = start = closer.end()
+        else:
+            unclosed.add(kind)
+            start = opener.start() + 1
+    return "".join([*parts, page[at:]])
+
+
 def visible_text(page: str | None) -> str:
-    return BLANKS.sub(" ", html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or "")))).strip()
+    text = shown(page or "")
+    end = text.rfind(">") + 1       # no tag ends behind it
+    return BLANKS.sub(" ", html.unescape(TAG.sub(" ", text[:end]) + text[end:])).strip()
 
 
 def trigrams(text: str) -> list[str]:
@@ -82,14 +107,14 @@ def fit_texts(rows: list[tuple[str, str]]) -> Model:
     counts: dict[str, Counter] = {}
     for lang, text in rows:
         counts.setdefault(lang, Counter()).update(trigrams(text))
-    return fit_counts(counts)
+    return fit_counts(counts, {lang: sum(c.values()) for lang, c in counts.items()})
 
 
-def fit_counts(counts: dict[str, Counter]) -> Model:
-    """Fit on the trigram counts of each language."""
+def fit_counts(counts: dict[str, Counter], of_language: dict[str, int]) -> Model:
+    """Fit on the counts of each language's commonest trigrams and on its number of all trigrams."""
     languages = sorted(counts)
     kept = sorted({g for c in counts.values() for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:MAX_TRIGRAMS]})
-    totals = np.array([sum(counts[x].values()) for x in languages], float)
+    totals = np.array([of_language[x] for x in languages], float)
     size = totals + ALPHA * (len(kept) + 1)
     scores = {g: np.log((np.array([counts[x][g] for x in languages]) + ALPHA) / size) for g in kept}
     return Model(languages, scores, np.log(ALPHA / size))
@@ -109,24 +134,21 @@ def fit(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col:
     known = df.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     known = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     # Ids first: only the chosen texts move.
-    ids = cut_lineage(known.select("id", "lang").distinct())
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not sizes:
-        raise ValueError("no document with a known language")
-    place = F.xxhash64(F.lit("sample"), "id")
-    chosen = None
-    for r in sorted(sizes, key=lambda r: r["lang"]):
-        of = ids.where(F.col("lang") == r["lang"]).orderBy(place, "id").limit(max_rows)
-        chosen = of if chosen is None else chosen.union(of)
-    texts = known.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
-    found = texts.select("lang", "text").mapInPandas(count_trigrams, "lang string, gram string, n long").groupBy("lang", "gram").agg(
-        F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {}
-    for r in found.collect():
-        c = counts.setdefault(r["lang"], Counter())
-        if r["gram"] is not None:
-            c[r["gram"]] = r["n"]
-    return fit_counts(counts)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "id"), "id")     # each task keeps ``max_rows`` a language
+    chosen = cut_lineage(known.select("id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(
+        F.col("place") <= max_rows).select("id", "lang"))
+    few = chosen.count() <= MAX_BROADCAST_IDS
+    texts = known.join(F.broadcast(chosen) if few else chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    found = cut_lineage(texts.select("lang", "text").mapInPandas(count_trigrams, "lang string, gram string, n long").groupBy("lang", "gram").agg(
+        F.sum("n").alias("n")))
+    of_language = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # Only what the model keeps comes to the driver: ``MAX_TRIGRAMS`` trigrams a language and their counts in all.
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    kept = found.where("gram IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_TRIGRAMS)
+    counts: dict[str, Counter] = {lang: Counter() for lang in of_language}
+    for r in found.join(kept.select("gram").distinct(), "gram").collect():
+        counts[r["lang"]][r["gram"]] = r["n"]
+    return fit_counts(counts, of_language)
 
 
 def host_of(url: Column) -> Column:
@@ -134,13 +156,18 @@ def host_of(url: Column) -> Column:
 
 
 def declared_of(page: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"(?i)<html\b(?:(?!<html\b)[^>])*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, host, declared, text_lang, lang, confidence, posterior (array by language)."""
     langs = model.languages
     n = len(langs)
+    if not n:
+        return df.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"),
+                         declared_of(F.col(f"`{html_col}`")).alias("declared"), F.lit(None).cast("string").alias("text_lang"),
+                         F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"),
+                         F.array().cast("array<double>").alias("posterior"))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
