@@ -11,7 +11,7 @@ documents that differ in any line count each.
 Defined results: a null or empty text has no words (base rule fails); a null host is a
 host of its own; repeated rows get the same verdict each; an empty table gives an empty
 result; other columns of any name pass through ``with_verdict`` unless they are named
-like one of its own result columns, which then replace them.
+like one of its own result columns (in any case), which then replace them.
 """
 
 from __future__ import annotations
@@ -95,6 +95,17 @@ def frequent_lines(df: DataFrame, host_col: str = "source", text_col: str = "tex
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(above).select("host", "line", "n_docs")
 
 
+def removed_sets(frequent: DataFrame, slot: int = 8) -> DataFrame:
+    """One hash table per host: an array of arrays, a line in that at hash mod size, about ``slot`` lines to each."""
+    host = ["host_key", "host_null"]
+    lines = frequent.select(F.coalesce(F.col("host").cast("string"), F.lit("")).alias("host_key"), F.col("host").isNull().alias("host_null"), "line")
+    sizes = lines.groupBy(*host).agg(F.ceil(F.count(F.lit(1)) / slot).cast("int").alias("n"))
+    slots = lines.join(sizes, host).select(*host, F.pmod("line", "n").cast("int").alias("slot"), "line").union(
+        sizes.select(*host, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"), F.lit(None).cast("long")))
+    slots = slots.groupBy(*host, "slot").agg(F.collect_list("line").alias("lines"))
+    return slots.groupBy(*host).agg(F.sort_array(F.collect_list(F.struct("slot", "lines")))["lines"].alias("removed"))
+
+
 def with_verdict(df: DataFrame, host_col: str = "source", text_col: str = "text", min_words: int = MIN_WORDS,
                  max_repeat_percent: int = MAX_REPEAT_PERCENT, min_docs: int = MIN_DOCS,
                  max_share_percent: float = MAX_SHARE_PERCENT, max_lost_percent: float = MAX_LOST_PERCENT,
@@ -106,8 +117,7 @@ def with_verdict(df: DataFrame, host_col: str = "source", text_col: str = "text"
     set per host, so no document moves; beyond, documents and sets meet by (host, salt).
     """
     frequent = cut_lineage(frequent_lines(df, host_col, text_col, min_docs, max_share_percent, max_docs))
-    sets = frequent.groupBy(F.coalesce("host", F.lit("")).alias("host_key"), F.col("host").isNull().alias("host_null")).agg(
-        F.collect_list("line").alias("removed"))
+    sets = removed_sets(frequent)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_of(text_col).alias("text"),
                      F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host_key"),
                      F.col(f"`{host_col}`").isNull().alias("host_null"))
@@ -119,20 +129,24 @@ def with_verdict(df: DataFrame, host_col: str = "source", text_col: str = "text"
             salted, ["host_key", "host_null", "salt"], "left")
 
     def gone(line):
-        return F.array_contains("removed", F.xxhash64(trimmed(F.lower(line))))
-
-    rows = rows.select("row", "text", "removed", base_metrics(F.col("text")).alias("m"))
-    all_lines = F.split("text", "\n")
-    lost = F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.aggregate(
-        F.filter(all_lines, gone), F.lit(0), lambda n, x: n + F.size(words(x))))
-    clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(all_lines, lambda x: ~gone(x)), "\n"))
+        h = F.xxhash64(trimmed(F.lower(line)))
+        return F.array_contains(F.get("removed", F.pmod(h, F.size("removed")).cast("int")), h)
+
+    def cut(marked):
+        return F.struct(
+            F.aggregate(marked, F.lit(0), lambda n, x: F.when(x["gone"], n + F.size(words(x["line"]))).otherwise(n)).cast("long").alias("lost"),
+            F.array_join(F.transform(F.filter(marked, lambda x: ~x["gone"]), lambda x: x["line"]), "\n").alias("clean"))
+
+    left = F.when(F.col("removed").isNull(), F.struct(F.lit(0).cast("long").alias("lost"), F.col("text").alias("clean"))).otherwise(
+        let(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), gone(x).alias("gone"))), cut))
     own = {*METRICS, "base_failed", "lost_words", "clean_text", "kept"}
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    out = rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in own], "m.*",
-                      lost.cast("long").alias("lost_words"), clean.alias("clean_text")).withColumn("base_failed", failed)
-    depleted = F.col("lost_words") * 100 > F.col("n_words") * max_lost_percent
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    failed = (F.col("v.m.n_words") < min_words) | (F.col("v.m.n_repeat_words") * 100 > F.col("v.m.n_words") * max_repeat_percent)
+    depleted = F.col("v.left.lost") * 100 > F.col("v.m.n_words") * max_lost_percent
+    # A generated row is computed once: Catalyst moves no filter on it below and copies none of its expressions.
+    rows = rows.select("row", F.explode(F.array(F.struct(base_metrics(F.col("text")).alias("m"), left.alias("left")))).alias("v"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in own], "v.m.*",
+                       F.col("v.left.lost").alias("lost_words"), F.col("v.left.clean").alias("clean_text"),
+                       failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 def drop_rejected(df: DataFrame, chars_col: str = "n_chars", **parameters) -> DataFrame:
