@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.session import cut_lineage
+
 MAX_ROWS = 3000
 DICTIONARY_BYTES = 32 * 1024
 BLOCK = 1024
@@ -97,6 +99,7 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, max_rows:
     """At most ``max_rows`` (id, label, text) rows of each class in hash order, and the number of labels by class."""
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(
         F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("label"))
+    known = cut_lineage(known.join(df.select(F.col(f"`{id_col}`").alias("id")), "id", "left_semi"))     # labels of documents alone
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64(F.lit("sample"), "id"), "id"]
     chosen = known.where("label = 1").orderBy(*order).limit(max_rows).union(

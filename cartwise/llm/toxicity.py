@@ -3,7 +3,7 @@
 A document has the words it contains and the word beginnings of ``STEMS`` letters as
 features; those that tell the classes apart (by the likelihood-ratio statistic) enter a
 logistic regression.  For each labelled sentence with an identity term, the term is swapped
-for the others of its group, and the squared change of the score is penalised: a
+for the others of its group (``groups``, terms of one or more words), and the squared change of the score is penalised: a
 neutral mention of a group must not move the score, whatever the labels suggest.
 
 The model is fitted on a bounded sample: at most ``max_rows`` labelled documents of each
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +37,7 @@ STEMS = (4, 5, 6, 7)
 RIDGE = 0.5
 PENALTY = 50.0
 
-#: Identity terms; a term is swapped for the others of its line.
+#: The standard groups of identity terms (of one or more words); a term is swapped for the others of its group.
 IDENTITY_TERMS = [
     ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"],
     ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"],
@@ -47,7 +47,7 @@ IDENTITY_TERMS = [
     ["black", "white", "asian", "african", "latino", "arab", "european"],
     ["immigrants", "refugees", "citizens", "foreigners", "migrants"],
     ["disabled", "blind", "deaf", "elderly", "young"],
-    ["femmes", "hommes", "filles"], ["frauen", "manner", "kinder"], ["mujeres", "hombres", "chicas"],
+    ["femmes", "hommes", "filles"], ["frauen", "männer", "kinder"], ["mujeres", "hombres", "chicas"],
 ]
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -89,27 +89,45 @@ def ratio(k1: int, n1: int, k0: int, n0: int) -> float:
     return 2 * (part(k1, n1, k1 / n1) + part(k0, n0, k0 / n0) - part(k1, n1, p) - part(k0, n0, p))
 
 
-def swaps(text: str, index: dict[str, int]) -> Iterator[np.ndarray]:
-    """Feature changes of the sentences of ``text`` when one identity term is swapped."""
+def terms_by_first(groups: Iterable[Iterable[str]]) -> dict[str, list[tuple[tuple[str, ...], list[tuple[str, ...]]]]]:
+    """First word -> (the term's words, the words of each other term of its group)."""
+    out: dict[str, list] = {}
+    for group in groups:
+        terms = sorted({w for t in group if (w := tuple(LETTERS.findall(t.lower())))})
+        for term in terms:
+            out.setdefault(term[0], []).append((term, [t for t in terms if t != term]))
+    return out
+
+
+def swaps(text: str, index: dict[str, int], terms: dict[str, list]) -> Iterator[np.ndarray]:
+    """Feature changes of the sentences of ``text`` when one identity term is swapped, in all its places."""
     for sentence in SENTENCE.split(text.lower()):
-        found = set(LETTERS.findall(sentence))
-        for group in IDENTITY_TERMS:
-            for term in found.intersection(group):
-                rest = {f for w in found - {term} for f in features_of(w)}
-                for other in group:
-                    if other != term:
-                        change = np.zeros(len(index))
-                        for sign, word in ((1, other), (-1, term)):
-                            for f in features_of(word):
-                                if f in index and f not in rest:
-                                    change[index[f]] += sign
-                        if change.any():
-                            yield change
+        said = LETTERS.findall(sentence)
+        places: dict[tuple, set[int]] = {}
+        groups = {}
+        for i, word in enumerate(said):
+            for term, others in terms.get(word, ()):
+                if tuple(said[i:i + len(term)]) == term:
+                    places.setdefault(term, set()).update(range(i, i + len(term)))
+                    groups[term] = others
+        for term, covered in places.items():
+            rest = {f for i, w in enumerate(said) if i not in covered for f in features_of(w)}
+            old = {f for w in term for f in features_of(w)} - rest
+            for other in groups[term]:
+                new = {f for w in other for f in features_of(w)} - rest
+                change = np.zeros(len(index))
+                for sign, gone in ((1, new - old), (-1, old - new)):
+                    for f in gone:
+                        if f in index:
+                            change[index[f]] += sign
+                if change.any():
+                    yield change
 
 
 def fit_texts(texts: list[str], y: np.ndarray, share: float, max_features: int = MAX_FEATURES,
-              penalty: float = PENALTY) -> Model:
+              penalty: float = PENALTY, groups: Iterable[Iterable[str]] = IDENTITY_TERMS) -> Model:
     """Fit on texts and 0/1 labels; ``share`` is the true share of 1."""
+    terms = terms_by_first(groups)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     share = min(max(share, 1e-6), 1 - 1e-6)
     if not n1 or not n0:
@@ -125,7 +143,7 @@ def fit_texts(texts: list[str], y: np.ndarray, share: float, max_features: int =
     pull = np.zeros((len(chosen) + 1, len(chosen) + 1))
     for row, t in enumerate(texts):
         x[row, [index[f] for f in features(t) if f in index]] = 1
-        for change in swaps(t, index):
+        for change in swaps(t, index, terms):
             pull[:-1, :-1] += np.outer(change, change)
     weight = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     ridge = np.eye(len(chosen) + 1) * RIDGE
@@ -143,11 +161,13 @@ def fit_texts(texts: list[str], y: np.ndarray, share: float, max_features: int =
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, penalty: float = PENALTY) -> Model:
+        max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, penalty: float = PENALTY,
+        groups: Iterable[Iterable[str]] = IDENTITY_TERMS) -> Model:
+    """Fit on a bounded sample; ``groups`` are the identity terms that must be exchangeable."""
     rows, counts = labelled_sample(df, labels, label_col, max_rows, id_col, text_col)
     total = counts.get(0, 0) + counts.get(1, 0)
     share = counts.get(1, 0) / total if total else 0.5
-    return fit_texts([r["text"] or "" for r in rows], np.array([r["label"] for r in rows], float), share, max_features, penalty)
+    return fit_texts([r["text"] or "" for r in rows], np.array([r["label"] for r in rows], float), share, max_features, penalty, groups)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
