@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.ordering import global_row_number
+from cartwise.session import cut_lineage
+
+BROADCAST_BYTES = 32 * 1024 * 1024     # measured size up to which the bundles are sent to every task
 
 
 # F08 / F09 ----------------------------------------------------------------------------
@@ -45,23 +48,35 @@ def encode(baskets: DataFrame, vocab: DataFrame, key: str = "InvoiceNo", items:
 
 
 # L02 ----------------------------------------------------------------------------------
-def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo", items: str = "Items",
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Label 1 when some bundle is contained in the basket.
 
     A basket that holds a bundle holds the bundle's rarest item, so each bundle is looked
     up under that item alone: popular items never become join keys.  The left-semi join
     stops at the first bundle found whole and emits no pairs.  A bundle is its array of
     items; its printed name plays no part.
+
+    The bundles under their rarest items are written and measured.  Up to
+    ``broadcast_bytes`` every task holds them, so no basket is copied into a shuffle.
+    Beyond, only the (basket, item) rows whose item is some bundle's rarest get the basket's
+    items, after a semi-join of the narrow rows.
     """
     long = basket_items(baskets, key, items)
     frequency = long.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
     whole = bundles.select(F.array_sort(F.array_distinct("items")).alias("_bundle")).filter(F.size("_bundle") > 0)
-    rarest = (whole.select("_bundle", F.explode("_bundle").alias("item")).join(frequency, "item", "left")
-              .groupBy("_bundle").agg(F.min_by("item", F.struct(F.coalesce("_n", F.lit(0)), "item")).alias("_rare")))
-    rows = baskets.select(F.col(key), F.array_distinct(items).alias("_held"))
-    rows = rows.select(key, "_held", F.explode("_held").alias("item"))
+    rarest = cut_lineage(whole.select("_bundle", F.explode("_bundle").alias("item")).join(frequency, "item", "left")
+                         .groupBy("_bundle").agg(F.min_by("item", F.struct(F.coalesce("_n", F.lit(0)), "item")).alias("_rare")))
+    size = rarest.agg(F.sum(F.octet_length("_rare") + 64 + F.aggregate(
+        "_bundle", F.lit(0), lambda total, item: total + F.coalesce(F.octet_length(item), F.lit(0)) + 16))).first()[0]
+    held = baskets.select(F.col(key), F.array_distinct(items).alias("_held"))
+    if (size or 0) <= broadcast_bytes:
+        rows, index = held.select(key, "_held", F.explode("_held").alias("item")), F.broadcast(rarest)
+    else:
+        hits = long.join(rarest.select("_rare").distinct(), F.col("item") == F.col("_rare"), "left_semi")
+        rows, index = hits.join(held, key), rarest
     found = (F.col("item") == F.col("_rare")) & (F.size(F.array_except("_bundle", "_held")) == 0)
-    hits = rows.join(rarest, found, "left_semi").select(key).distinct()
+    hits = rows.join(index, found, "left_semi").select(key).distinct()
     labelled = baskets.join(hits.withColumn("_hit", F.lit(1)), key, "left")
     return labelled.withColumn("label", F.when(F.col("_hit").isNotNull(), 1).otherwise(0)).drop("_hit")
 

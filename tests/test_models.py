@@ -1,6 +1,7 @@
 """Labels, splits, Naive Bayes against hand-computed values, metrics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,28 @@ def test_labels(spark):
     assert lab2 == [1, 1, 0, 1]
 
 
+@pytest.mark.parametrize("limit", [X.BROADCAST_BYTES, 0])
+def test_labels_of_long_baskets_copy_no_basket_needlessly(spark, limit):
+    rng = random.Random(5)
+    names = [f"i{n}" for n in range(40)]
+    tx = [rng.sample(names, rng.randint(1, 8)) for _ in range(300)] + [[f"long{n}" for n in range(500)] + ["i1", "i2"], [], None]
+    sets = [tuple(rng.sample(names, k)) for k in (2, 2, 2, 3, 3, 4) for _ in range(4)] + [("i1", "i2", "long7"), ("absent", "i1")]
+    out = X.label_baskets(_tx(spark, tx), _bundles(spark, sets), broadcast_bytes=limit)
+    assert {int(r["InvoiceNo"]): r["label"] for r in out.collect()} == {
+        i: int(any(set(b) <= set(t or ()) for b in sets)) for i, t in enumerate(tx)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Items reach the test of a basket either where the bundles are (broadcast), or after a semi-join on their rarest items.
+    assert plan.count("LeftSemi") == (1 if limit else 2) and ("rightHint=(strategy=broadcast)" in plan) == bool(limit)
+    many = [(f"long{n}", "i1") for n in range(0, 500, 50)]
+    big = spark.createDataFrame([("b", tx[300])], "InvoiceNo string, Items array<string>")
+    assert X.label_baskets(big, _bundles(spark, many), broadcast_bytes=limit).first()["label"] == 1
+
+
+def test_labels_without_bundles(spark):
+    none = spark.createDataFrame([], "items array<string>, bundle string, size int, support_count bigint")
+    assert [r["label"] for r in X.label_baskets(_tx(spark, [["a"], ["b"]]), none).collect()] == [0, 0]
+
+
 def test_kfold_sizes_disjoint_cover(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("InvoiceNo"))
     f = X.kfold(df, 5).groupBy("fold").count().collect()
