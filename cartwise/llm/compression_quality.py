@@ -6,7 +6,8 @@ dictionaries matter in all of it; the normalised difference (bad - good) / (bad
 the compressed sizes becomes a score by a logistic calibration.
 
 The model is fitted on a bounded sample: at most ``max_rows`` labelled documents of each
-class, those with the smallest hash of their id.  Even ones train the dictionaries,
+class, those with the smallest hash of their id, and of these as many as ``max_chars``
+characters hold (texts of over 1/32 of that are scored but not sampled).  Even ones train the dictionaries,
 odd ones the calibration, where each class weighs as much as it has labelled rows.
 
 Defined results: null and empty texts have difference 0 and get the score calibrated for
@@ -26,10 +27,12 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cartwise.session import cut_lineage
 
 MAX_ROWS = 3000
+MAX_CHARS = 32_000_000     # of the sampled texts of a class
 DICTIONARY_BYTES = 32 * 1024
 BLOCK = 1024
 LEVEL = 3
@@ -95,8 +98,12 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3, s
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id",
-                    text_col: str = "text") -> tuple[list, dict[int, int]]:
-    """At most ``max_rows`` (id, label, text) rows of each class in hash order, and the number of labels by class."""
+                    text_col: str = "text", max_chars: int = MAX_CHARS) -> tuple[list, dict[int, int]]:
+    """(id, label, text) rows of each class in hash order, and the number of labels by class.
+
+    At most ``max_rows`` rows and ``max_chars`` characters a class reach the driver; texts of
+    over ``max_chars // 32`` characters are not sampled.
+    """
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(
         F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("label"))
     known = cut_lineage(known.join(df.select(F.col(f"`{id_col}`").alias("id")), "id", "left_semi"))     # labels of documents alone
@@ -104,15 +111,18 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label_col: str, max_rows:
     order = [F.xxhash64(F.lit("sample"), "id"), "id"]
     chosen = known.where("label = 1").orderBy(*order).limit(max_rows).union(
         known.where("label = 0").orderBy(*order).limit(max_rows))
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(
-        F.broadcast(chosen), "id")       # at most twice ``max_rows`` ids
-    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
-    return sorted(texts.collect(), key=lambda r: (r["label"], str(r["id"]))), counts
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(
+        F.coalesce(F.length("text"), F.lit(0)) <= max_chars // 32).join(F.broadcast(chosen), "id")       # at most twice ``max_rows`` ids
+    texts = cut_lineage(texts.groupBy("id", "label").agg(F.min("text").alias("text")))
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(*order))
+    fitting = texts.select("id", "label", so_far.alias("chars")).where(F.col("chars") <= max_chars).select("id")
+    sample = texts.join(F.broadcast(fitting), "id", "left_semi").collect()
+    return sorted(sample, key=lambda r: (r["label"], str(r["id"]))), counts
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        max_rows: int = MAX_ROWS) -> Model:
-    rows, counts = labelled_sample(df, labels, label_col, max_rows, id_col, text_col)
+        max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    rows, counts = labelled_sample(df, labels, label_col, max_rows, id_col, text_col, max_chars)
     texts = {c: [r["text"] or "" for r in rows if r["label"] == c] for c in (0, 1)}
     total = counts.get(0, 0) + counts.get(1, 0)
     if min(len(texts[0]), len(texts[1])) < 2:

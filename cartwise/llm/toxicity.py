@@ -7,7 +7,8 @@ for the others of its group (``groups``, terms of one or more words), and the sq
 neutral mention of a group must not move the score, whatever the labels suggest.
 
 The model is fitted on a bounded sample: at most ``max_rows`` labelled documents of each
-class, those with the smallest hash of their id; class weights restore the true shares.
+class, those with the smallest hash of their id, and of these as many as ``max_chars``
+characters hold (texts of over 1/32 of that are scored but not sampled); class weights restore the true shares.
 
 Defined results: null and empty texts have no features and get the base score; null
 labels and labels without a document are not used; of several labels of one id the
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.compression_quality import labelled_sample
+from cartwise.llm.compression_quality import MAX_CHARS, labelled_sample
 
 MAX_ROWS = 4000
 MAX_FEATURES = 600
@@ -162,9 +163,9 @@ def fit_texts(texts: list[str], y: np.ndarray, share: float, max_features: int =
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, penalty: float = PENALTY,
-        groups: Iterable[Iterable[str]] = IDENTITY_TERMS) -> Model:
+        groups: Iterable[Iterable[str]] = IDENTITY_TERMS, max_chars: int = MAX_CHARS) -> Model:
     """Fit on a bounded sample; ``groups`` are the identity terms that must be exchangeable."""
-    rows, counts = labelled_sample(df, labels, label_col, max_rows, id_col, text_col)
+    rows, counts = labelled_sample(df, labels, label_col, max_rows, id_col, text_col, max_chars)
     total = counts.get(0, 0) + counts.get(1, 0)
     share = counts.get(1, 0) / total if total else 0.5
     return fit_texts([r["text"] or "" for r in rows], np.array([r["label"] for r in rows], float), share, max_features, penalty, groups)

@@ -207,6 +207,24 @@ def test_labels_without_a_document_and_two_labels_of_one_id(spark):
     assert counts == {0: 4, 1: 6} and len(rows) == 10 and {r["id"]: r["label"] for r in rows}[4] == 1
 
 
+def test_sample_is_bounded_in_characters(spark):
+    texts = ["x" * 40] * 30 + ["y" * 33] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, mark int")
+    whole, counts = compression_quality.labelled_sample(docs, labels, "mark", 100)
+    assert [r["id"] for r in whole if r["label"] == 0] == sorted(range(0, 33, 2), key=str) and counts == {0: 17, 1: 16}
+    some, same = compression_quality.labelled_sample(docs, labels, "mark", 100, max_chars=1280)
+    assert same == counts and {r["id"] for r in some} == set(range(33))                     # 40 characters are just short enough
+    short, same = compression_quality.labelled_sample(docs, labels, "mark", 100, max_chars=1279)
+    assert same == counts and {r["id"] for r in short} == {30, 31, 32}                      # longer texts are not sampled
+    docs = docs.where("doc_id < 30").unionByName(docs.where("doc_id < 30").selectExpr("doc_id + 100 doc_id", "text", "lang", "source", "n_chars"))
+    labels = labels.union(labels.selectExpr("doc_id + 100", "mark"))
+    cut, _ = compression_quality.labelled_sample(docs, labels, "mark", 25, max_chars=1280)
+    assert [sum(r["label"] == c for r in cut) for c in (0, 1)] == [25, 25]
+    cut, _ = compression_quality.labelled_sample(docs.withColumn("text", F.repeat("text", 1)), labels, "mark", 100, max_chars=1280)
+    assert all(sum(len(r["text"]) for r in cut if r["label"] == c) <= 1280 for c in (0, 1))
+
+
 # ------------------------------------------------------------------ stages
 @pytest.mark.parametrize("stage", [line_rules.drop_rejected, dedup.drop_copies, simhash.drop_near_copies, mixing.mix_rows])
 def test_stages_on_an_empty_table(spark, stage):
