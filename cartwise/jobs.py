@@ -14,22 +14,23 @@ from cartwise.sources.files import load_snapshot, save_snapshot
 
 
 def prepare(spark: SparkSession, out: str, load: Callable[[], DataFrame], params: JobParams = JobParams(),
-            force: bool = False) -> dict:
-    """The snapshot at ``out``; made from the raw lines of ``load()`` if there is none or ``force`` is set."""
+            force: bool = False, placed_by: str | None = None) -> dict:
+    """The snapshot at ``out``; made from the raw lines of ``load()`` if there is none or ``force`` is set.
+
+    ``placed_by`` as in ``dedup_first``, for loaders whose lines lie by such a column; it is not saved.
+    """
     if not force:
         try:
             return load_snapshot(spark, out)
         except FileNotFoundError:
             pass
-    lines = preprocess(load(), params)
-    baskets = create_baskets(lines)
-    save_snapshot(out, lines, baskets, mine_bundles(baskets, params.min_support, params.max_bundle_size))
+    lines = preprocess(load(), params, placed_by=placed_by).drop(placed_by or "")
+    save_snapshot(out, lines, create_baskets, lambda baskets: mine_bundles(baskets, params.min_support, params.max_bundle_size))
     return load_snapshot(spark, out)
 
 
 def regenerate_bundles(spark: SparkSession, out: str, params: JobParams = JobParams()) -> dict:
     """New baskets and bundles from the saved lines alone; without a snapshot FileNotFoundError is raised."""
     saved = load_snapshot(spark, out)
-    baskets = create_baskets(saved["lines"])
-    save_snapshot(out, None, baskets, mine_bundles(baskets, params.min_support, params.max_bundle_size), saved["lines_at"])
+    save_snapshot(out, saved["lines"], create_baskets, lambda baskets: mine_bundles(baskets, params.min_support, params.max_bundle_size), saved["lines_at"])
     return load_snapshot(spark, out)

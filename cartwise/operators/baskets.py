@@ -8,25 +8,27 @@ from pyspark.sql import functions as F
 from cartwise.schema import ROW_ORDER
 
 
-def create_baskets(lines: DataFrame, order: str = ROW_ORDER) -> DataFrame:
+def create_baskets(lines: DataFrame, order: str = ROW_ORDER, placed_by: str | None = None) -> DataFrame:
     """One row per invoice.
 
     ``Items`` are the descriptions in line order; ``CustomerID`` / ``InvoiceDate`` the
     first non-null values; value and quantity are sums.  After F06 an invoice has
     at most one line per stock code, so ``Items`` is bounded by the catalogue, not by
     the data volume; the sums combine map-side.  If no basket has more than one
-    item the result is empty (otherwise single-item baskets are kept).
+    item the result is empty (otherwise single-item baskets are kept).  ``placed_by``: a
+    column that the invoice determines; lines that lie together by it stay there.
     """
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
     baskets = (lines.filter(F.col("InvoiceNo").isNotNull())
-               .groupBy("InvoiceNo")
+               .groupBy("InvoiceNo", *([placed_by] if placed_by else []))
                .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
                                                                       F.col("Description").alias("d")))),
                                 lambda s: s["d"]).alias("Items"),
                     first("CustomerID").alias("CustomerID"),
                     first("InvoiceDate").alias("InvoiceDate"),
                     F.sum("TransactionValue").alias("TransactionValue"),
-                    F.sum("Quantity").cast("bigint").alias("Quantity")))
+                    F.sum("Quantity").cast("bigint").alias("Quantity"))
+               .drop(placed_by or ""))
     gate = baskets.agg(F.max(F.size("Items"))).scalar()
     return baskets.filter(F.coalesce(gate, F.lit(0)) > 1)
 

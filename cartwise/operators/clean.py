@@ -64,17 +64,21 @@ def duplicate_lines(df: DataFrame, keys=DUP_KEYS) -> DataFrame:
     return df.join(dup_keys, on=cond, how="left_semi")
 
 
-def dedup_first(df: DataFrame, keys=DUP_KEYS, order: str = ROW_ORDER) -> DataFrame:
+def dedup_first(df: DataFrame, keys=DUP_KEYS, order: str = ROW_ORDER, placed_by: str | None = None) -> DataFrame:
     """keep the first line (by ``order``) of every key group.
 
+    ``placed_by`` names a column that ``keys`` determine.  Where the input is partitioned by
+    it (a join on it), the groups are formed in place, and so are later groups by it.
+
     ``min_by`` is a declarative aggregate with a partial phase: a key holding a
     third of the data is reduced map-side before the shuffle, unlike a
     ``row_number`` window that would sort the whole group in one task.
     """
     cols = df.columns
-    rest = [c for c in cols if c not in keys]
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-    return agg.select(*keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*cols)
+    placed = [placed_by] if placed_by else []
+    rest = [c for c in cols if c not in (*keys, *placed)]
+    agg = df.groupBy(*placed, *keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    return agg.select(*placed, *keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*cols)
 
 
 # P01 ----------------------------------------------------------------------------------
@@ -92,23 +96,23 @@ def engineer_features(df: DataFrame) -> DataFrame:
 
 
 # F07 ----------------------------------------------------------------------------------
-def clean_lines(raw: DataFrame) -> DataFrame:
-    """F01→F06 (no text normalization yet)."""
+def clean_lines(raw: DataFrame, placed_by: str | None = None) -> DataFrame:
+    """F01→F06 (no text normalization yet); ``placed_by`` as in ``dedup_first``."""
     return (raw.transform(handle_cancellations)
                .transform(remove_missing_customers)
                .transform(drop_missing_descriptions)
                .transform(keep_positive_amounts)
-               .transform(dedup_first))
+               .transform(dedup_first, placed_by=placed_by))
 
 
-def preprocess(raw: DataFrame, params=None, enrich=None, anomalies=True) -> DataFrame:
+def preprocess(raw: DataFrame, params=None, enrich=None, anomalies=True, placed_by: str | None = None) -> DataFrame:
     """cancellations → customers → descriptions → amounts → dedup →
     P01 → (E01/E02 when a scorer is given) → P02–P05 → A11/A12."""
     from cartwise.operators.anomaly import flag_anomalies
     from cartwise.schema import JobParams
 
     params = params or JobParams()
-    df = clean_lines(raw).transform(normalize_descriptions)
+    df = clean_lines(raw, placed_by).transform(normalize_descriptions)
     if enrich is not None:
         df = enrich(df)
     df = df.transform(engineer_features)

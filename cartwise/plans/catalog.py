@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartwise.plans import sqlparts as S
 from cartwise.schema import ROW_ORDER, JobParams
+from cartwise.sources.tables import PLACED_BY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,9 +40,20 @@ def lines(spark, sf):
     return retail_lines(spark, sf)
 
 
-def processed(spark, sf, outliers=True):
+def _placed(spark, sf):
+    from cartwise.sources.tables import retail_lines
+    return retail_lines(spark, sf, placed=True)
+
+
+def cleaned(spark, sf):
+    from cartwise.operators.clean import clean_lines
+    return clean_lines(_placed(spark, sf), PLACED_BY).drop(PLACED_BY)
+
+
+def processed(spark, sf, outliers=True, placed=False):
     from cartwise.operators.clean import preprocess
-    return preprocess(lines(spark, sf), JobParams(outlier_enabled=outliers, iqr_multiplier=OUTLIER_MULTIPLIER))
+    out = preprocess(_placed(spark, sf), JobParams(outlier_enabled=outliers, iqr_multiplier=OUTLIER_MULTIPLIER), placed_by=PLACED_BY)
+    return out if placed else out.drop(PLACED_BY)
 
 
 _MEMO: dict = {}
@@ -67,7 +79,7 @@ def release(spark):
 
 def baskets(spark, sf):
     from cartwise.operators.baskets import create_baskets
-    return _memo(spark, (sf, "baskets"), lambda: create_baskets(processed(spark, sf, outliers=False)))
+    return _memo(spark, (sf, "baskets"), lambda: create_baskets(processed(spark, sf, outliers=False, placed=True), placed_by=PLACED_BY))
 
 
 def show_ts(c="InvoiceDate"):

@@ -6,7 +6,7 @@ from cartwise.operators import clean as C
 from cartwise.operators.anomaly import flag_anomalies
 from cartwise.operators.baskets import create_baskets
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import (OUTLIER_MULTIPLIER, TS_SQL, baskets, lines, out_lines, processed, register,
+from cartwise.plans.catalog import (OUTLIER_MULTIPLIER, TS_SQL, baskets, cleaned, lines, out_lines, processed, register,
                                     show_ts, sql_lines)
 from cartwise.schema import JobParams
 
@@ -44,7 +44,7 @@ def f05(spark, sf):
 
 @register("F06", S.with_ctes(S.LINES, S.CLEAN, body=sql_lines("dd", "IsCancellation")))
 def f06(spark, sf):
-    return out_lines(C.clean_lines(lines(spark, sf)))
+    return out_lines(cleaned(spark, sf))
 
 
 _ANOMALY_CTE = f"""
@@ -73,7 +73,7 @@ def f07(spark, sf):
 
 @register("P01", S.with_ctes(S.LINES, S.CLEAN, body="SELECT InvoiceNo, StockCode, Description FROM proc"))
 def p01(spark, sf):
-    return C.normalize_descriptions(C.clean_lines(lines(spark, sf))).select("InvoiceNo", "StockCode", "Description")
+    return C.normalize_descriptions(cleaned(spark, sf)).select("InvoiceNo", "StockCode", "Description")
 
 
 @register("P02", S.with_ctes(S.LINES, S.CLEAN, body=f"SELECT InvoiceNo, StockCode, {TS_SQL} FROM feat"))

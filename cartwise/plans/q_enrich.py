@@ -6,14 +6,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cartwise.operators import enrich as EN
-from cartwise.operators.clean import clean_lines, normalize_descriptions
+from cartwise.operators.clean import normalize_descriptions
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import lines, processed, register
+from cartwise.plans.catalog import cleaned, lines, processed, register
 from cartwise.plans.q_clean import _ANOMALY_CTE
 
 
 def _lines(spark, sf):
-    return normalize_descriptions(clean_lines(lines(spark, sf)))
+    return normalize_descriptions(cleaned(spark, sf))
 
 
 @register("E01", S.with_ctes(S.LINES, S.CLEAN, body="""SELECT InvoiceNo, StockCode, Description,

@@ -21,7 +21,7 @@ from cartwise.plans.q_stock import INV_SQL, alias_map, inventory, norm_sql
 from cartwise.schema import LINE_COLUMNS, ROW_ORDER, JobParams
 from cartwise.session import checkpoint_dir
 from cartwise.sources import files as FS
-from cartwise.sources.tables import table
+from cartwise.sources.tables import PLACED_BY, retail_lines, table
 
 
 def scratch(spark):
@@ -79,7 +79,7 @@ def _params():
 @register("S04", SNAPSHOT_SQL)
 def s04(spark, sf):
     from cartwise.jobs import prepare
-    return _tables(prepare(spark, scratch(spark), lambda: lines(spark, sf), _params()))
+    return _tables(prepare(spark, scratch(spark), lambda: retail_lines(spark, sf, placed=True), _params(), placed_by=PLACED_BY))
 
 
 @register("S05", SNAPSHOT_SQL)
@@ -87,7 +87,7 @@ def s05(spark, sf):
     """A snapshot with other bundles, reused, its bundles then made anew from the saved lines alone."""
     from cartwise.jobs import prepare, regenerate_bundles
     out = scratch(spark)
-    prepare(spark, out, lambda: lines(spark, sf), JobParams(min_support=0.1))
+    prepare(spark, out, lambda: retail_lines(spark, sf, placed=True), JobParams(min_support=0.1), placed_by=PLACED_BY)
     regenerate_bundles(spark, out, _params())
 
     def not_again():

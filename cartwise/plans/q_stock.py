@@ -6,7 +6,7 @@ from cartwise.operators.anomaly import with_record_key
 from cartwise.functions.text import candidate_hash, normalize_basic
 from cartwise.operators import stock as ST
 from cartwise.plans import sqlparts as S
-from cartwise.plans.catalog import baskets, lines, processed, register
+from cartwise.plans.catalog import baskets, cleaned, lines, processed, register
 from cartwise.plans.q_recommend import APPL, BREQ, MODEL_CTES, basket_recommendations, req_scores_sql
 from cartwise.sources.tables import table
 
@@ -67,8 +67,8 @@ amap AS (SELECT al.alias, cn.canonical FROM al JOIN cn ON string_split(al.alias,
 SELECT p.InvoiceNo, p.StockCode, coalesce(a.canonical, p.Description) AS Description FROM proc p
 LEFT JOIN amap a ON a.alias = p.Description"""))
 def p11(spark, sf):
-    from cartwise.operators.clean import apply_aliases, clean_lines, normalize_descriptions
-    d = normalize_descriptions(clean_lines(lines(spark, sf)))
+    from cartwise.operators.clean import apply_aliases, normalize_descriptions
+    d = normalize_descriptions(cleaned(spark, sf))
     return apply_aliases(d, alias_map(spark, sf)).select("InvoiceNo", "StockCode", "Description")
 
 

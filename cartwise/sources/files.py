@@ -51,19 +51,25 @@ def _stamp() -> str:
 MANIFEST = "timestamp string, lines string, baskets string, bundles string"
 
 
-def save_snapshot(out: str, lines: DataFrame | None, baskets: DataFrame, bundles: DataFrame, keep_lines: str | None = None) -> str:
+def save_snapshot(out: str, lines: DataFrame | None, baskets, bundles, keep_lines: str | None = None) -> str:
     """Parquet per table and a TSV copy of the lines in a new version, then a manifest row that names them.
 
     Nothing is overwritten, so a snapshot may be derived from the one before and its readers
-    are unaffected.  ``keep_lines`` names lines already saved (bundles-only runs).  Returns
-    the timestamp.
+    are unaffected.  ``keep_lines`` names lines already saved (bundles-only runs).
+    ``baskets`` and ``bundles`` are tables, or functions that make them from the saved lines
+    and the saved baskets, so that no table is worked out again for the next.  Returns the
+    timestamp.
     """
     stamp = _stamp()
     version = f"version-{stamp}"
     if keep_lines is None:
+        spark = lines.sparkSession
         lines.write.parquet(f"{out}/{version}/lines")
-        csv_to_tsv(lines.sparkSession.read.parquet(f"{out}/{version}/lines"), f"{out}/{version}/lines_tsv")
+        lines = spark.read.parquet(f"{out}/{version}/lines")
+        csv_to_tsv(lines, f"{out}/{version}/lines_tsv")
+    baskets = baskets(lines) if callable(baskets) else baskets
     baskets.write.parquet(f"{out}/{version}/baskets")
+    bundles = bundles(baskets.sparkSession.read.parquet(f"{out}/{version}/baskets")) if callable(bundles) else bundles
     bundles.write.parquet(f"{out}/{version}/bundles")
     row = (stamp, keep_lines or f"{version}/lines", f"{version}/baskets", f"{version}/bundles")
     baskets.sparkSession.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{out}/_manifest")

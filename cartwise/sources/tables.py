@@ -43,9 +43,19 @@ JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
+# The same rows for Spark: lines meet parts and orders meet customers first, so that lines
+# move by part and then by order, in which they stay.
+_SELECTED = RETAIL_VIEW_SQL.split("FROM {lineitem} l")[0]
+RETAIL_VIEW_SPARK = _SELECTED + """FROM ({lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey)
+JOIN ({orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey)
+ON l.l_orderkey = o.o_orderkey
+"""
+
 # Unique, stable line order of the view (file order stand-in).
 ORDER_COLUMNS = ("ord1", "ord2", "ord3", "ord4", "ord5")
 ORDER_SQL = ", ".join(ORDER_COLUMNS)
+# The order key as a column of its own: an invoice number has one, and lines lie together by it.
+PLACED_BY = "_place"
 
 
 def retail_view_sql_duckdb() -> str:
@@ -54,17 +64,20 @@ def retail_view_sql_duckdb() -> str:
                                   customer="customer", nation="nation")
 
 
-def retail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retail_lines(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """Raw invoice lines (FIXTURES §3) with a struct ``row_order``.
 
     The joins are planned by Catalyst: nation (25 rows) and, at small scale, part and
     customer fall under ``autoBroadcastJoinThreshold`` (a size check on real
-    statistics); lineitem ⋈ orders is a shuffle join on the order key.
+    statistics); lineitem ⋈ part and then ⋈ orders are shuffle joins, the last on the order
+    key.  ``placed`` adds that key as ``PLACED_BY``, so that steps by invoice that are told
+    of it move no line again.
     """
     tabs = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "customer", "nation")}
-    df = spark.sql(RETAIL_VIEW_SQL, **tabs)
+    df = spark.sql(RETAIL_VIEW_SPARK, **tabs)
     return df.select(
         "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
         "CustomerID", "Country",
         F.struct(*[F.col(c).alias(c) for c in ORDER_COLUMNS]).alias(ROW_ORDER),
+        *([F.col("ord1").alias(PLACED_BY)] if placed else []),
     )
