@@ -167,21 +167,45 @@ def _prefix_hash(level: Column | int) -> Column:
     return F.xxhash64(F.substring("text", F.lit(1), _length(level)))
 
 
+def _ladder() -> Column:
+    """Hashes of a text's prefixes, the shortest first, up to the whole text."""
+    return F.transform(F.sequence(F.lit(0), F.col("whole")), lambda k: _prefix_hash(k))
+
+
 def heavy_prefixes(undecided: DataFrame, limit: int) -> DataFrame:
-    """Hashes of the prefixes whose texts weigh more than ``limit``: level, hash, whole (some text ends there)."""
-    hashes = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda k: F.xxhash64(F.substring("text", F.lit(1), _length(k))))
-    ladder = undecided.select("whole", (F.char_length("text") + 1).alias("weight"), F.posexplode(hashes).alias("level", "hash"))
-    return ladder.groupBy("level", "hash").agg(F.sum("weight").alias("weight"), F.max(F.col("level") == F.col("whole")).alias("whole")).where(
-        F.col("weight") > limit)
+    """Hashes of the prefixes whose texts weigh more than ``limit``: level, hash, whole (some text ends there), root (hash of the first level)."""
+    ladder = undecided.select("whole", (F.char_length("text") + 1).alias("weight"), _prefix_hash(0).alias("root"), F.posexplode(_ladder()).alias("level", "hash"))
+    return ladder.groupBy("level", "hash").agg(F.sum("weight").alias("weight"), F.max(F.col("level") == F.col("whole")).alias("whole"),
+                                               F.min("root").alias("root")).where(F.col("weight") > limit)
+
+
+def heavy_sets(heavy: DataFrame, slot: int = 8) -> DataFrame:
+    """One hash table per heavy first prefix: an array of arrays, a deeper heavy hash in that at hash mod size.
+
+    The levels are in it as well: a hash counts at its own level alone.
+    """
+    sizes = heavy.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / slot).cast("int").alias("n"))
+    slots = heavy.join(sizes, "root").select("root", F.pmod("hash", "n").cast("int").alias("slot"), F.struct("level", "hash").alias("held")).union(
+        sizes.select("root", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"), F.lit(None).cast("struct<level: int, hash: bigint>")))
+    slots = slots.groupBy("root", "slot").agg(F.collect_list("held").alias("held"))
+    return slots.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("slot", "held")))["held"].alias("table"))
 
 
 def with_prefix(undecided: DataFrame, heavy: DataFrame, top: int) -> DataFrame:
-    """Adds prefix_start, prefix_hash and hot (the whole text is heavy).  ``top``: the highest heavy level, -1 for none."""
+    """Adds prefix_start, prefix_hash and hot (the whole text is heavy).  ``top``: the highest heavy level, -1 for none.
+
+    One join on the first prefix, whatever the levels: a text goes as deep as it has heavy
+    prefixes, which lie one in the other.
+    """
     out = undecided.withColumn("depth", F.lit(0))
-    for k in range(top + 1):
-        at = F.broadcast(heavy.where(F.col("level") == k).select(F.col("hash").alias("at")))     # at most 4 * MAX_RANGES rows
-        out = out.join(at, (_prefix_hash(k) == F.col("at")) & (F.col("whole") >= k), "left").withColumn(
-            "depth", F.col("depth") + F.col("at").isNotNull().cast("int")).drop("at")
+    if top >= 0:
+        sets = F.broadcast(heavy_sets(heavy).withColumnRenamed("root", "at"))       # at most 4 * MAX_RANGES hashes a level
+
+        def is_heavy(h, k):
+            return F.array_contains(F.get("table", F.pmod(h, F.size("table")).cast("int")), F.struct(k.cast("int").alias("level"), h.alias("hash")))
+
+        found = F.size(F.filter(F.transform(_ladder(), lambda h, k: is_heavy(h, k)), lambda x: x))
+        out = undecided.join(sets, _prefix_hash(0) == F.col("at"), "left").withColumn("depth", F.when(F.col("at").isNull(), F.lit(0)).otherwise(found))
     prefix = F.substring("text", F.lit(1), _length(F.least("depth", "whole")))
     return out.select(*undecided.columns, (F.col("depth") > F.col("whole")).alias("hot"),
                       F.substring("text", F.lit(1), F.least(F.lit(KEY_CHARS), _length(F.least("depth", "whole")))).alias("prefix_start"),
