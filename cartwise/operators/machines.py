@@ -2,8 +2,8 @@
 
 ``train`` fits k machines at once.  Each has its own training rows: machine j leaves out the
 rows whose ``left_out`` is j, so the k machines of a cross-validation, or a machine and the
-one that calibrates it, share every pass.  Rows are packed once into blocks (items as
-positions, or dense kernel features); a step evaluates all machines' trial points in one
+one that calibrates it, share every pass.  Rows are packed once into blocks of items' positions
+(kernel features are made from them in each pass, a block at a time); a step evaluates all machines' trial points in one
 job, whose tasks add up gradients by feature and whose sums are combined by a ``groupBy``
 on the feature (or, where all tasks' sums are few, in the driver).  What reaches the driver
 is of the size of the coefficient table, features x machines: bounded by the catalogue and
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 BLOCK_ROWS = 4096
+VECTORS = 1 << 14           # item vectors that a task keeps from one block to the next
 MAX_CELLS = 50_000_000      # features x machines that the driver holds
 DIRECT_CELLS = 2_000_000    # (tasks x) features x machines whose partial sums the driver adds up itself
 SMOOTH = 0.1                # width of the rounded corner of the hinge
@@ -82,11 +83,14 @@ class Positions:
     def size(self) -> int:
         return len(self.index)
 
+    def decoder(self) -> None:
+        return None
+
     def encode(self, baskets: list) -> dict:
         index = self.index
         held = [sorted({index[i] for i in (() if b is None else b) if i in index}) for b in baskets]
         ptr = np.cumsum([0, *map(len, held)], dtype=np.int32)
-        return {"idx": np.array([i for b in held for i in b], np.int32).tobytes(), "ptr": ptr.tobytes(), "x": None}
+        return {"idx": np.array([i for b in held for i in b], np.int32).tobytes(), "ptr": ptr.tobytes()}
 
 
 @dataclass
@@ -98,21 +102,43 @@ class KernelMap:
 
     def project(self, baskets: list) -> np.ndarray:
         """Sums of the items' vectors, one row per basket."""
-        held = [sorted({i for i in (() if b is None else b) if self.scale.get(i)}) for b in baskets]
-        known = sorted({i for b in held for i in b})
+        known = sorted({i for b in baskets for i in (() if b is None else b) if self.scale.get(i)})
         at = {item: k for k, item in enumerate(known)}
-        vectors = np.stack([self.vector(i) for i in known]) if known else np.zeros((0, self.width))
-        out = np.zeros((len(held), self.width))
-        for k, b in enumerate(held):
-            if b:
-                out[k] = vectors[[at[i] for i in b]].sum(axis=0)
+        held = [sorted({at[i] for i in (() if b is None else b) if i in at}) for b in baskets]
+        ptr = np.cumsum([0, *map(len, held)], dtype=np.int32)
+        return self.sums(np.array([i for b in held for i in b], np.int32), ptr, known.__getitem__, {})
+
+    def sums(self, idx: np.ndarray, ptr: np.ndarray, name: Callable, vectors: dict) -> np.ndarray:
+        """Sums of the vectors of the items at ``idx``, one row per stretch of ``ptr``; ``vectors`` keeps some for the next call."""
+        used, at = np.unique(idx, return_inverse=True)
+        if len(vectors) > VECTORS:
+            vectors.clear()
+        table = np.stack([vectors[i] if i in vectors else vectors.setdefault(i, self.vector(name(i))) for i in used.tolist()]) \
+            if len(used) else np.zeros((0, self.width))
+        out = np.zeros((len(ptr) - 1, self.width))
+        for k in np.flatnonzero(np.diff(ptr)):
+            out[k] = table[at[ptr[k]:ptr[k + 1]]].sum(axis=0)
         return out
 
     def features(self, baskets: list) -> np.ndarray:
         return self.finish(self.project(baskets))
 
     def encode(self, baskets: list) -> dict:
-        return {"idx": None, "ptr": None, "x": self.features(baskets).astype(np.float32).tobytes()}
+        """The items' positions: dense features are made in each pass, block by block, and never kept."""
+        return Positions(self.index).encode(baskets)
+
+    @property
+    def index(self) -> dict:
+        return {item: k for k, item in enumerate(sorted(i for i, s in self.scale.items() if s))}
+
+    def decoder(self) -> Callable[[dict], np.ndarray]:
+        names, vectors = list(self.index), {}
+
+        def dense(row: dict) -> np.ndarray:
+            idx, ptr = np.frombuffer(row["idx"], np.int32), np.frombuffer(row["ptr"], np.int32)
+            return self.finish(self.sums(idx, ptr, names.__getitem__, vectors)).astype(np.float32)
+
+        return dense
 
 
 @dataclass
@@ -184,7 +210,7 @@ class LandmarkMap(KernelMap):
 # Training -------------------------------------------------------------------------------
 def pack(rows: DataFrame, items: str, encoder, parallelism: int) -> DataFrame:
     """Blocks of encoded rows with classes (+1, -1) and the machine that leaves each row out."""
-    fields = [("n", pa.int32()), ("y", pa.binary()), ("out", pa.binary()), ("idx", pa.binary()), ("ptr", pa.binary()), ("x", pa.binary())]
+    fields = [("n", pa.int32()), ("y", pa.binary()), ("out", pa.binary()), ("idx", pa.binary()), ("ptr", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,13 +221,13 @@ def pack(rows: DataFrame, items: str, encoder, parallelism: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in fields], names=[n for n, _ in fields])
 
     return (rows.select(items, F.col("label").cast("int"), F.col("left_out").cast("int")).coalesce(parallelism)
-            .mapInArrow(run, "n int, y binary, out binary, idx binary, ptr binary, x binary"))
+            .mapInArrow(run, "n int, y binary, out binary, idx binary, ptr binary"))
 
 
-def _margins(row: dict, size: int, weights: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+def _margins(row: dict, size: int, weights: np.ndarray, dense: Callable[[dict], np.ndarray] | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
     """Rows x machines margins without intercept, and the function that adds row values up by feature."""
-    if row["x"] is not None:
-        x = np.frombuffer(row["x"], np.float32).reshape(row["n"], size)
+    if dense is not None:
+        x = dense(row)
         return x @ weights, lambda d: x.T @ d
     idx, ptr = np.frombuffer(row["idx"], np.int32), np.frombuffer(row["ptr"], np.int32)
     of = np.repeat(np.arange(row["n"]), np.diff(ptr))
@@ -210,7 +236,7 @@ def _margins(row: dict, size: int, weights: np.ndarray) -> tuple[np.ndarray, Cal
 
 
 def evaluate(blocks: DataFrame, size: int, machines: list[int], weights: np.ndarray, bias: np.ndarray, tasks: int,
-             direct_cells: int = DIRECT_CELLS):
+             direct_cells: int = DIRECT_CELLS, encoder=None):
     """Sums over each machine's rows of the loss and its gradients: (loss, by feature, by intercept).
 
     Tasks return their sums by feature.  Where all tasks' sums are few they are added up
@@ -221,12 +247,13 @@ def evaluate(blocks: DataFrame, size: int, machines: list[int], weights: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((size + 2, k)), False        # the last two rows: intercepts, losses
+        dense = encoder.decoder() if encoder is not None else None
         for batch in batches:
-            for row in batch.to_pylist():
-                seen = True
+            for i in range(batch.num_rows):
+                row, seen = batch.slice(i, 1).to_pylist()[0], True
                 y = np.frombuffer(row["y"], np.int8).astype(np.float64)[:, None]
                 own = np.frombuffer(row["out"], np.int32)[:, None] != chosen
-                margins, add = _margins(row, size, weights)
+                margins, add = _margins(row, size, weights, dense)
                 slack = 1 - y * (margins + bias)
                 bent = np.clip(slack / SMOOTH, 0, 1) * own
                 d = -y * bent
@@ -313,7 +340,7 @@ def train(rows: DataFrame, items: str, encoder, stats: ItemStats, C: float = 1.0
     try:
         while live := [j for j, m in machines.items() if not m.done and m.steps <= max_iter]:
             trial = np.stack([machines[j].trial for j in live], axis=1)
-            loss, slope, lean = evaluate(blocks, size, live, trial[:size] * scale[:, live], trial[size], tasks, direct_cells)
+            loss, slope, lean = evaluate(blocks, size, live, trial[:size] * scale[:, live], trial[size], tasks, direct_cells, encoder)
             passes += 1
             for c, j in enumerate(live):
                 u = trial[:size, c]
