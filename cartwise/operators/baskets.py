@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.schema import ROW_ORDER
 
 
-def create_baskets(lines: DataFrame, order: str = ROW_ORDER, placed_by: str | None = None) -> DataFrame:
+def create_baskets(lines: DataFrame, order: str = ROW_ORDER, placed_by: str | None = None,
+                   keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per invoice.
 
     ``Items`` are the descriptions in line order; ``CustomerID`` / ``InvoiceDate`` the
@@ -17,6 +20,10 @@ def create_baskets(lines: DataFrame, order: str = ROW_ORDER, placed_by: str | No
     the data volume; the sums combine map-side.  If no basket has more than one
     item the result is empty (otherwise single-item baskets are kept).  ``placed_by``: a
     column that the invoice determines; lines that lie together by it stay there.
+
+    ``keep`` persists the baskets: whether any has more than one item is then looked up at once, in
+    what is kept, up to the first such basket.  Without it that question is a second
+    run over the lines.
     """
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
     baskets = (lines.filter(F.col("InvoiceNo").isNotNull())
@@ -29,6 +36,9 @@ def create_baskets(lines: DataFrame, order: str = ROW_ORDER, placed_by: str | No
                     F.sum("TransactionValue").alias("TransactionValue"),
                     F.sum("Quantity").cast("bigint").alias("Quantity"))
                .drop(placed_by or ""))
+    if keep is not None:
+        kept = keep(baskets)
+        return kept.filter(F.lit(False)) if kept.filter(F.size("Items") > 1).isEmpty() else kept
     gate = baskets.agg(F.max(F.size("Items"))).scalar()
     return baskets.filter(F.coalesce(gate, F.lit(0)) > 1)
 

@@ -78,8 +78,13 @@ def release(spark):
 
 
 def baskets(spark, sf):
+    """The shared baskets: the lines are run through once, then the kept baskets are read."""
     from cartwise.operators.baskets import create_baskets
-    return _memo(spark, (sf, "baskets"), lambda: create_baskets(processed(spark, sf, outliers=False, placed=True), placed_by=PLACED_BY))
+    key = (spark.sparkContext.applicationId, sf, "baskets")
+    if key not in _MEMO:
+        _MEMO[key] = create_baskets(processed(spark, sf, outliers=False, placed=True), placed_by=PLACED_BY,
+                                    keep=lambda made: _memo(spark, (sf, "assembled"), lambda: made))
+    return _MEMO[key]
 
 
 def show_ts(c="InvoiceDate"):
