@@ -7,6 +7,8 @@ function of the basket key (stable under repartitioning and recomputation).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def encode(baskets: DataFrame, vocab: DataFrame, key: str = "InvoiceNo", items:
 
 # L02 ----------------------------------------------------------------------------------
 def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo", items: str = "Items",
-                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES, one_row_a_key: bool = False) -> DataFrame:
     """Label 1 when some bundle is contained in the basket.
 
     A basket that holds a bundle holds the bundle's rarest item, so each bundle is looked
@@ -61,6 +63,10 @@ def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo"
     ``broadcast_bytes`` every task holds them, so no basket is copied into a shuffle.
     Beyond, only the (basket, item) rows whose item is some bundle's rarest get the basket's
     items, after a semi-join of the narrow rows.
+
+    Rows of one key share their label, and a null key has label 0.  ``one_row_a_key`` says that
+    no key comes twice, as from ``create_baskets``: where every task holds the bundles, a
+    basket is then labelled where it lies and nothing is joined back.
     """
     long = basket_items(baskets, key, items)
     frequency = long.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
@@ -69,6 +75,9 @@ def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo"
                          .groupBy("_bundle").agg(F.min_by("item", F.struct(F.coalesce("_n", F.lit(0)), "item")).alias("_rare")))
     size = rarest.agg(F.sum(F.octet_length("_rare") + 64 + F.aggregate(
         "_bundle", F.lit(0), lambda total, item: total + F.coalesce(F.octet_length(item), F.lit(0)) + 16))).first()[0]
+    if one_row_a_key and (size or 0) <= broadcast_bytes:
+        holds = _holds_bundle(rarest.collect())(F.col(items))       # measured: at most ``broadcast_bytes``
+        return baskets.withColumn("label", F.when(F.col(key).isNotNull() & holds, 1).otherwise(0))
     held = baskets.select(F.col(key), F.array_distinct(items).alias("_held"))
     if (size or 0) <= broadcast_bytes:
         rows, index = held.select(key, "_held", F.explode("_held").alias("item")), F.broadcast(rarest)
@@ -81,6 +90,27 @@ def label_baskets(baskets: DataFrame, bundles: DataFrame, key: str = "InvoiceNo"
     return labelled.withColumn("label", F.when(F.col("_hit").isNotNull(), 1).otherwise(0)).drop("_hit")
 
 
+def _holds_bundle(rarest: list):
+    """Whether a basket holds one of the bundles (rows ``_bundle``, ``_rare``), as a function of its items."""
+    one, more = {}, {}      # by rarest item: the other items of pairs; what the other bundles have beside it
+    for bundle, rare in rarest:
+        rest = frozenset(bundle) - {rare}
+        if rare is not None and len(rest) == 1:
+            one.setdefault(rare, set()).update(rest)
+        elif rare is not None:
+            more.setdefault(rare, []).append(rest)
+
+    @F.pandas_udf("boolean")
+    def holds(baskets: pd.Series) -> pd.Series:
+        out = np.zeros(len(baskets), bool)
+        for at, basket in enumerate(baskets):
+            held = set(() if basket is None else basket)
+            out[at] = any(i in one and not one[i].isdisjoint(held) or i in more and any(rest <= held for rest in more[i]) for i in held)
+        return pd.Series(out)
+
+    return holds
+
+
 # L03 / L04 ----------------------------------------------------------------------------
 def hash_unit(key: str, seed: int = 42):
     """Uniform [0, 1) from md5('seed|key') (first 32 bits)."""

@@ -15,7 +15,7 @@ N_SPLITS = 10
 def labelled(spark, sf):
     from cartwise.plans.catalog import _memo
     return _memo(spark, (sf, "labelled"),
-                 lambda: X.label_baskets(baskets(spark, sf), bundles(spark, sf)))
+                 lambda: X.label_baskets(baskets(spark, sf), bundles(spark, sf), one_row_a_key=True))
 
 
 def split(spark, sf):
