@@ -56,13 +56,24 @@ def _class_counts(train: DataFrame):
     return counts
 
 
+def _items_with(data: DataFrame, cols: list, key: str, items: str, one_row_a_key: bool) -> DataFrame:
+    """Key, ``cols``, item of each basket.  Where no key comes twice a basket's own columns go with its items; else they are joined by key."""
+    if not one_row_a_key:
+        return basket_items(data, key, items).join(data.select(key, *cols), key)
+    return (data.filter(F.col(key).isNotNull()).select(key, *cols, F.explode(F.array_distinct(items)).alias("item"))
+            .filter(F.col("item").isNotNull()))
+
+
 def fit_multinomial_nb(train: DataFrame, vocab: DataFrame, alpha: float = 1.0,
-                       key: str = "InvoiceNo", items: str = "Items") -> NBModel:
-    """theta = log((cnt + alpha) / (tot + alpha·V)), empirical log priors."""
+                       key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> NBModel:
+    """theta = log((cnt + alpha) / (tot + alpha·V)), empirical log priors.
+
+    ``one_row_a_key`` as in ``label_baskets``: no basket is then joined to itself.
+    """
     counts = _class_counts(train)
     n = sum(counts.values())
     v = vocab.count()
-    ci = (basket_items(train, key, items).join(train.select(key, "label"), key)
+    ci = (_items_with(train, ["label"], key, items, one_row_a_key)
           .groupBy("item").agg(F.count_if(F.col("label") == 0).alias("c0"),
                                F.count_if(F.col("label") == 1).alias("c1")))
     full = vocab.select("item").join(ci, "item", "left").fillna(0, ["c0", "c1"])
@@ -77,7 +88,7 @@ def fit_multinomial_nb(train: DataFrame, vocab: DataFrame, alpha: float = 1.0,
 
 
 def fit_gaussian_nb(train: DataFrame, vocab: DataFrame, var_smoothing: float = 1e-9,
-                    key: str = "InvoiceNo", items: str = "Items") -> NBModel:
+                    key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> NBModel:
     """Per class/item Bernoulli mean and variance p(1-p) + eps, eps = 1e-9·max feature variance.
 
     log N(x) for binary x: the x = 0 terms summed over the whole vocabulary go into the
@@ -86,7 +97,7 @@ def fit_gaussian_nb(train: DataFrame, vocab: DataFrame, var_smoothing: float = 1
     """
     counts = _class_counts(train)
     n = sum(counts.values())
-    ci = (basket_items(train, key, items).join(train.select(key, "label"), key)
+    ci = (_items_with(train, ["label"], key, items, one_row_a_key)
           .groupBy("item").agg(F.count_if(F.col("label") == 0).alias("c0"),
                                F.count_if(F.col("label") == 1).alias("c1")))
     full = vocab.select("item").join(ci, "item", "left").fillna(0, ["c0", "c1"])
@@ -247,23 +258,23 @@ def _has_both(df: DataFrame) -> bool:
 
 # L14 ----------------------------------------------------------------------------------
 FITTERS = {
-    "nb": lambda train, vocab: fit_multinomial_nb(train, vocab),
-    "gnb": lambda train, vocab: fit_gaussian_nb(train, vocab),
-    "svm": lambda train, vocab: fit_svm(train),
+    "nb": lambda train, vocab, one_row_a_key: fit_multinomial_nb(train, vocab, one_row_a_key=one_row_a_key),
+    "gnb": lambda train, vocab, one_row_a_key: fit_gaussian_nb(train, vocab, one_row_a_key=one_row_a_key),
+    "svm": lambda train, vocab, one_row_a_key: fit_svm(train),
 }
 
 
-def fit_all(train: DataFrame, vocab: DataFrame, names=("nb", "gnb", "svm")) -> dict:
+def fit_all(train: DataFrame, vocab: DataFrame, names=("nb", "gnb", "svm"), one_row_a_key: bool = False) -> dict:
     """One fitted model per name.  An SVM is left out where the labels have one class."""
     both = _has_both(train)
-    return {n: FITTERS[n](train, vocab) for n in names if both or n != "svm"}
+    return {n: FITTERS[n](train, vocab, one_row_a_key) for n in names if both or n != "svm"}
 
 
-def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "gnb", "svm")):
+def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "gnb", "svm"), one_row_a_key: bool = False):
     """Fit on the rows without ``is_test``, score the others: (models, metrics by model)."""
     from cartwise.operators.metrics import grouped_metrics
 
-    models = fit_all(data.filter(~F.col("is_test")), vocab, names)
+    models = fit_all(data.filter(~F.col("is_test")), vocab, names, one_row_a_key)
     test, scored = data.filter("is_test"), None
     for n, m in models.items():
         rows = m.predict_proba(test).select(F.lit(n).alias("model"), "label", "prediction")
@@ -271,7 +282,7 @@ def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "g
     return models, grouped_metrics(scored, ["model"])
 
 
-def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb")) -> DataFrame:
+def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb"), one_row_a_key: bool = False) -> DataFrame:
     """Mean and deviation of each metric over the folds, for the models in ``names``.
 
     All folds are one pass per Naive Bayes model and one fit for the SVM; ``data`` (with
@@ -281,21 +292,21 @@ def cross_validate(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=
 
     scored = None
     for n in names:
-        rows = CROSS_VALIDATORS[n](data, vocab, n_splits).select(F.lit(n).alias("model"), "fold", "label", "prediction")
+        rows = CROSS_VALIDATORS[n](data, vocab, n_splits, one_row_a_key).select(F.lit(n).alias("model"), "fold", "label", "prediction")
         scored = rows if scored is None else scored.unionByName(rows)
     return cv_summary(grouped_metrics(scored, ["model", "fold"]))
 
 
-def fit_all_with_kfold(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb")):
+def fit_all_with_kfold(data: DataFrame, vocab: DataFrame, n_splits: int = 10, names=("nb", "gnb"), one_row_a_key: bool = False):
     """The models of the last fold (fitted on the other folds), which the job keeps, and ``cross_validate``."""
-    return (fit_all(data.filter(F.col("fold") != n_splits - 1), vocab, names),
-            cross_validate(data, vocab, n_splits, names))
+    return (fit_all(data.filter(F.col("fold") != n_splits - 1), vocab, names, one_row_a_key),
+            cross_validate(data, vocab, n_splits, names, one_row_a_key))
 
 
 # L13 ----------------------------------------------------------------------------------
-def _fold_counts(data: DataFrame, vocab: DataFrame, n_splits: int, key: str, items: str):
+def _fold_counts(data: DataFrame, vocab: DataFrame, n_splits: int, key: str, items: str, one_row_a_key: bool):
     """(long rows, per fold and item the class counts of the other folds, per fold their class sizes)."""
-    long = basket_items(data, key, items).join(data.select(key, "label", "fold"), key)
+    long = _items_with(data, ["label", "fold"], key, items, one_row_a_key)
     fc = long.groupBy("fold", "item").agg(F.count_if(F.col("label") == 0).alias("f0"),
                                           F.count_if(F.col("label") == 1).alias("f1"))
     allc = fc.groupBy("item").agg(F.sum("f0").alias("a0"), F.sum("f1").alias("a1"))
@@ -323,7 +334,7 @@ def _score_folds(data: DataFrame, long: DataFrame, params: DataFrame, base: Data
 
 
 def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: float = 1.0,
-                      key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+                      key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> DataFrame:
     """L13 in one pass: every row scored by the model trained on the other folds.
 
     Per-fold counts (fold × item × class) are subtracted from the totals, so the k
@@ -331,7 +342,7 @@ def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: f
     ``data`` needs ``label`` and ``fold``.  Returns key, fold, label, p1, prediction.
     """
     v = vocab.count()
-    long, grid, rest = _fold_counts(data, vocab, n_splits, key, items)
+    long, grid, rest = _fold_counts(data, vocab, n_splits, key, items, one_row_a_key)
     tot = grid.groupBy("fold").agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
     params = grid.join(tot, "fold").select(
         "fold", "item", F.log((F.col("c0") + alpha) / (F.col("t0") + alpha * v)).alias("w0"),
@@ -342,12 +353,12 @@ def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: f
 
 
 def cv_gaussian_nb(data: DataFrame, vocab: DataFrame, n_splits: int, var_smoothing: float = 1e-9,
-                   key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+                   key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> DataFrame:
     """L13 for the Gaussian model, from the same per-fold counts; result as ``cv_multinomial_nb``.
 
     Where no feature of a training set varies, its class priors decide.
     """
-    long, grid, rest = _fold_counts(data, vocab, n_splits, key, items)
+    long, grid, rest = _fold_counts(data, vocab, n_splits, key, items, one_row_a_key)
     counted = grid.join(rest, "fold")
     p_all = (F.col("c0") + F.col("c1")) / (F.col("r0") + F.col("r1"))
     eps = counted.groupBy("fold").agg((var_smoothing * F.max(p_all * (1 - p_all))).alias("eps"))
@@ -394,7 +405,7 @@ def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo
 
 
 CROSS_VALIDATORS = {
-    "nb": lambda data, vocab, n_splits: cv_multinomial_nb(data, vocab, n_splits),
-    "gnb": lambda data, vocab, n_splits: cv_gaussian_nb(data, vocab, n_splits),
-    "svm": lambda data, vocab, n_splits: cv_svm(data, n_splits),
+    "nb": lambda data, vocab, n_splits, one_row_a_key: cv_multinomial_nb(data, vocab, n_splits, one_row_a_key=one_row_a_key),
+    "gnb": lambda data, vocab, n_splits, one_row_a_key: cv_gaussian_nb(data, vocab, n_splits, one_row_a_key=one_row_a_key),
+    "svm": lambda data, vocab, n_splits, one_row_a_key: cv_svm(data, n_splits),
 }

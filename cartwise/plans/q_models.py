@@ -32,7 +32,7 @@ def nb_model(spark, sf, kind="multinomial"):
     vocab = vocab_of(spark, sf)
     train = data.filter(~F.col("is_test"))
     fit = MD.fit_multinomial_nb if kind == "multinomial" else MD.fit_gaussian_nb
-    return fit(train, vocab), data
+    return fit(train, vocab, one_row_a_key=True), data
 
 
 # ------------------------------------------------------------------ shared oracle CTEs
@@ -181,7 +181,7 @@ fm AS (SELECT model, fold, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accu
   round(avg(recall), 9) AS recall, round(stddev_pop(recall), 9) AS std_recall,
   round(avg(f1), 9) AS f1, round(stddev_pop(f1), 9) AS std_f1, CAST(count(*) AS INTEGER) AS n_splits FROM fm GROUP BY model"""))
 def l13(spark, sf):
-    return MD.cross_validate(folds(spark, sf), vocab_of(spark, sf), N_SPLITS)
+    return MD.cross_validate(folds(spark, sf), vocab_of(spark, sf), N_SPLITS, one_row_a_key=True)
 
 
 def folds(spark, sf):
@@ -191,13 +191,13 @@ def folds(spark, sf):
 
 @register("L13M", S.with_ctes(*BASE, CV_SQL, body="SELECT item, round(w0, 9) AS w0, round(w1, 9) AS w1 FROM fprm WHERE k = 9"))
 def l13m(spark, sf):
-    return MD.fit_all_with_kfold(folds(spark, sf), vocab_of(spark, sf), N_SPLITS)[0]["nb"].params.select("item", F.round("w0", 9).alias("w0"), F.round("w1", 9).alias("w1"))
+    return MD.fit_all_with_kfold(folds(spark, sf), vocab_of(spark, sf), N_SPLITS, one_row_a_key=True)[0]["nb"].params.select("item", F.round("w0", 9).alias("w0"), F.round("w1", 9).alias("w1"))
 
 
 @register("L14", S.with_ctes(*BASE, MNB, GNB, body="SELECT 'nb' AS model, * FROM (" + metrics_sql("pred WHERE is_test")
                              + ") UNION ALL SELECT 'gnb', * FROM (" + metrics_sql("gpred WHERE is_test") + ")"))
 def l14(spark, sf):
-    return MD.fit_all_with_random_split(split(spark, sf), vocab_of(spark, sf), ("nb", "gnb"))[1]
+    return MD.fit_all_with_random_split(split(spark, sf), vocab_of(spark, sf), ("nb", "gnb"), one_row_a_key=True)[1]
 
 
 @register("L09")
@@ -238,7 +238,7 @@ def l17(spark, sf):
 
 def compared_scores(spark, sf, names, ensemble=()):
     data = split(spark, sf)
-    models = MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), names)
+    models = MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), names, one_row_a_key=True)
     scores = None
     for n, m in models.items():
         rows = m.predict_proba(data.filter("is_test")).select(
@@ -253,12 +253,12 @@ ALL_MODELS = ("nb", "gnb", "svm")
 
 @register("L13S")
 def l13s(spark, sf):
-    return MD.cross_validate(folds(spark, sf), vocab_of(spark, sf), N_SPLITS, ALL_MODELS)
+    return MD.cross_validate(folds(spark, sf), vocab_of(spark, sf), N_SPLITS, ALL_MODELS, one_row_a_key=True)
 
 
 @register("L14S")
 def l14s(spark, sf):
-    return MD.fit_all_with_random_split(split(spark, sf), vocab_of(spark, sf), ALL_MODELS)[1]
+    return MD.fit_all_with_random_split(split(spark, sf), vocab_of(spark, sf), ALL_MODELS, one_row_a_key=True)[1]
 
 
 @register("L16S")

@@ -19,13 +19,13 @@ def engine(spark, sf):
     data = split(spark, sf)
     vocab = vocab_of(spark, sf)
     train = data.filter(~F.col("is_test"))
-    return {"nb": MD.fit_multinomial_nb(train, vocab), "gnb": MD.fit_gaussian_nb(train, vocab)}, data
+    return {"nb": MD.fit_multinomial_nb(train, vocab, one_row_a_key=True), "gnb": MD.fit_gaussian_nb(train, vocab, one_row_a_key=True)}, data
 
 
 def svm_engine(spark, sf):
     """The ensemble of Naive Bayes and the SVM (R01S, R06S, R07S; no SQL twin: an iterative fit)."""
     data = split(spark, sf)
-    return MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), ("nb", "svm")), data
+    return MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), ("nb", "svm"), one_row_a_key=True), data
 
 
 def basket_requests(data):

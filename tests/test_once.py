@@ -65,3 +65,16 @@ def test_baskets_with_the_same_most_frequent_items_lie_together(spark):
     names = sorted({i for b in held for i in b})
     counted = {"|".join(s): n for k in (2, 3) for s in itertools.combinations(names, k) if (n := sum(set(s) <= set(b) for b in held)) >= 15}
     assert {r["bundle"]: r["support_count"] for r in mine_bundles(baskets, 0.1, 3).collect()} == counted and counted
+
+
+def test_a_baskets_label_goes_with_its_items(spark):
+    from cartwise.operators import models as MD
+    rows = [(str(k), [x for x in "abcd" if (k * 3 + ord(x)) % 5 < 2] + [None], k % 2, k % 3) for k in range(24)] + [("e", [], 1, 0), ("n", None, 0, 1), (None, ["a"], 1, 2)]
+    df = spark.createDataFrame(rows, "InvoiceNo string, Items array<string>, label int, fold int")
+    vocab = spark.createDataFrame([(x,) for x in "abcd"], "item string")
+    for fit in (MD.fit_multinomial_nb, MD.fit_gaussian_nb):
+        here = fit(df, vocab, one_row_a_key=True)
+        assert _rows(here.params) == _rows(fit(df, vocab).params) and here.base.collect() == fit(df, vocab).base.collect()
+    assert MD.cross_validate(df, vocab, 3, one_row_a_key=True).collect() == MD.cross_validate(df, vocab, 3).collect()
+    plan = MD._items_with(df, ["label"], "InvoiceNo", "Items", True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
