@@ -10,6 +10,9 @@ Range bounds come from sampling, and the sample depends on the order in which
 shuffle blocks arrive, so the numbered rows are materialised once with a
 reliable checkpoint (shared ``spark.checkpoint.dir``) before the counts and the
 offsets are taken from them.  Callers pass narrow frames (keys + order columns).
+
+Where the order begins with a digest no bounds need to be sampled, and nothing is written:
+see ``digest_row_number``.
 """
 
 from __future__ import annotations
@@ -36,3 +39,24 @@ def global_row_number(df: DataFrame, order, name: str = "rank", num_partitions:
     return (numbered.join(F.broadcast(offsets), "_pid")
                     .withColumn(name, F.col("_off") + F.col("_local") + 1)
                     .drop("_pid", "_local", "_off"))
+
+
+DIGITS = 3      # a range: the digests that share their first hexadecimal digits
+
+
+def digest_row_number(df: DataFrame, digest, ties, name: str = "rank") -> DataFrame:
+    """1-based position of each row in the total order (``digest``, ``ties``), ``digest`` a hexadecimal text of the row.
+
+    Distinct inputs of a digest spread evenly over its first digits, so these are the ranges.  They depend
+    on the row alone: a recomputation gives the same numbers without a checkpoint.  A row moves once, and
+    its digest is made again where it arrives instead of moving with it.
+    """
+    ranges = df.withColumn("_range", F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("int"))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_range").orderBy(digest, *ties)
+    return (ranges.repartition("_range").withColumn("_local", F.row_number().over(within))
+                  .join(F.broadcast(offsets), "_range")
+                  .withColumn(name, F.col("_off") + F.col("_local"))
+                  .drop("_range", "_local", "_off"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.functions.ordering import global_row_number
+from cartwise.functions.ordering import digest_row_number, global_row_number
 from cartwise.session import cut_lineage
 
 BROADCAST_BYTES = 32 * 1024 * 1024     # measured size up to which the bundles are sent to every task
@@ -125,21 +125,26 @@ def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str
     return df.withColumn("is_test", hash_unit(key, seed) >= F.lit(1.0 - test_size))
 
 
-def kfold(df: DataFrame, n_splits: int = 10, seed: int = 42, key: str = "InvoiceNo", exact: bool = True) -> DataFrame:
+def kfold(df: DataFrame, n_splits: int = 10, seed: int = 42, key: str = "InvoiceNo", exact: bool = True,
+          one_row_a_key: bool = False) -> DataFrame:
     """``fold`` in 0..k-1; disjoint and covering.
 
-    ``exact`` numbers rows in hash order (range-partitioned, see functions.ordering)
-    so fold sizes differ by at most one; otherwise fold = hash mod k.
+    ``exact`` numbers rows in hash order (by ranges of the hash, see functions.ordering)
+    so fold sizes differ by at most one; otherwise fold = hash mod k.  ``one_row_a_key`` says that
+    no key comes twice, as from ``create_baskets``: the rows themselves are then numbered, and
+    no keys are made distinct and joined back.
     """
     if n_splits < 2:
         raise ValueError(f"cannot deal rows into {n_splits} folds; use two or more")
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    digest = lambda k: F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(k).cast("string"), F.lit(""))))
     if not exact:
-        return df.withColumn("fold", (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n_splits).cast("int"))
+        return df.withColumn("fold", (F.conv(F.substring(digest(key), 1, 8), 16, 10).cast("bigint") % n_splits).cast("int"))
+    fold = ((F.col("_r") - 1) % n_splits).cast("int").alias("fold")
+    if one_row_a_key:
+        return digest_row_number(df, digest(key), [F.col(key)], "_r").select(*df.columns, fold)
     # One fold per distinct key, a null key included: repeated keys neither multiply nor split.
-    keys = df.select(F.col(key).alias("_key"), h.alias("_h")).distinct()
-    ranked = global_row_number(keys, [F.col("_h"), F.col("_key")], "_r")
-    folds = ranked.select("_key", ((F.col("_r") - 1) % n_splits).cast("int").alias("fold"))
+    keys = df.select(F.col(key).alias("_key")).distinct()
+    folds = digest_row_number(keys, digest("_key"), [F.col("_key")], "_r").select("_key", fold)
     return df.join(folds, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 

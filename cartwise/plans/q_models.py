@@ -109,7 +109,7 @@ def l03(spark, sf):
 @register("L04", S.with_ctes(S.LINES, S.CLEAN, S.BASKETS, body="""SELECT InvoiceNo,
   CAST((row_number() OVER (ORDER BY md5('42|' || InvoiceNo), InvoiceNo) - 1) % 10 AS INTEGER) AS fold FROM baskets"""))
 def l04(spark, sf):
-    return X.kfold(baskets(spark, sf), 10, 42).select("InvoiceNo", "fold")
+    return X.kfold(baskets(spark, sf), 10, 42, one_row_a_key=True).select("InvoiceNo", "fold")
 
 
 @register("L06", S.with_ctes(*BASE, MNB, body="SELECT InvoiceNo, label, round(p1, 6) AS p1, prediction FROM pred WHERE is_test"))
@@ -186,7 +186,7 @@ def l13(spark, sf):
 
 def folds(spark, sf):
     from cartwise.plans.catalog import _memo
-    return _memo(spark, (sf, "folds", N_SPLITS), lambda: X.kfold(labelled(spark, sf), N_SPLITS, 42))
+    return _memo(spark, (sf, "folds", N_SPLITS), lambda: X.kfold(labelled(spark, sf), N_SPLITS, 42, one_row_a_key=True))
 
 
 @register("L13M", S.with_ctes(*BASE, CV_SQL, body="SELECT item, round(w0, 9) AS w0, round(w1, 9) AS w1 FROM fprm WHERE k = 9"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +47,19 @@ JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
 # The same rows for Spark: lines meet parts and orders meet customers first, so that lines
-# move by part and then by order, in which they stay.
-_SELECTED = RETAIL_VIEW_SQL.split("FROM {lineitem} l")[0]
-RETAIL_VIEW_SPARK = _SELECTED + """FROM ({lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey)
-JOIN ({orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey)
-ON l.l_orderkey = o.o_orderkey
+# move by part and then by order, in which they stay.  Column names differ from table to table,
+# so their qualifiers can go.
+_SELECTED = re.sub(r"\b[lopcn]\.(?=[lopcn]_)", "", RETAIL_VIEW_SQL.split("FROM {lineitem} l")[0])
+LINES_WITH_PARTS = "SELECT * FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+RETAIL_VIEW_SPARK = _SELECTED + """FROM {lines}
+JOIN ({orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey)
+ON l_orderkey = o_orderkey
 """
 
+# Lines that a task is meant for.  Sorts and groups hold a line at ten times and more of what it takes
+# in a shuffle, by whose size Spark would put partitions together.
+LINES_A_TASK = 250_000
+
 # Unique, stable line order of the view (file order stand-in).
 ORDER_COLUMNS = ("ord1", "ord2", "ord3", "ord4", "ord5")
 ORDER_SQL = ", ".join(ORDER_COLUMNS)
@@ -64,6 +73,13 @@ def retail_view_sql_duckdb() -> str:
                                   customer="customer", nation="nation")
 
 
+def _line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the lines by order, or 0 where Spark's own number is enough (one for each core, if it has as many partitions)."""
+    tasks = math.ceil(table(spark, sf_dir, "lineitem").count() / LINES_A_TASK)
+    own = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return tasks if tasks > own else 0
+
+
 def retail_lines(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """Raw invoice lines (FIXTURES §3) with a struct ``row_order``.
 
@@ -71,10 +87,15 @@ def retail_lines(spark: SparkSession, sf_dir: str, placed: bool = False) -> Data
     customer fall under ``autoBroadcastJoinThreshold`` (a size check on real
     statistics); lineitem ⋈ part and then ⋈ orders are shuffle joins, the last on the order
     key.  ``placed`` adds that key as ``PLACED_BY``, so that steps by invoice that are told
-    of it move no line again.
+    of it move no line again.  As all those steps then run in the tasks of that join, these
+    are as many as the lines need (``LINES_A_TASK``), unless Spark makes that many by itself.
     """
     tabs = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "customer", "nation")}
-    df = spark.sql(RETAIL_VIEW_SPARK, **tabs)
+    lines = spark.sql(LINES_WITH_PARTS, lineitem=tabs.pop("lineitem"), part=tabs.pop("part"))
+    tasks = _line_tasks(spark, sf_dir) if placed else 0
+    if tasks:
+        lines = lines.repartition(tasks, "l_orderkey")
+    df = spark.sql(RETAIL_VIEW_SPARK, lines=lines, **tabs)
     return df.select(
         "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
         "CustomerID", "Country",
