@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -164,9 +164,9 @@ class KernelSVMModel(_Margins):
     def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
         features, weights, intercept = self.features, self.weights, self.intercept
 
-        @F.pandas_udf("double")
-        def margin(held: pd.Series) -> pd.Series:
-            return pd.Series(features.features(held.tolist()) @ weights + intercept)
+        @F.arrow_udf("double")
+        def margin(held: pa.Array) -> pa.Array:
+            return pa.array(features.margins(held, weights) + intercept)
 
         return baskets.withColumn("_margin", margin(items))
 
@@ -218,12 +218,13 @@ def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str
     if kernel not in KERNELS:
         raise ValueError(f"kernel is one of {', '.join(KERNELS)}, not {kernel!r}")
     parts = random_split(train, calibration, seed, key)
-    rows = parts.withColumn("left_out", F.when(F.col("is_test"), 1).otherwise(-1)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = parts.select(key, items, "label", "is_test", F.when(F.col("is_test"), 1).otherwise(-1).alias("left_out")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = item_stats(rows, items, 2)
         if not stats.rows[:, 0].all():
             raise ValueError("an SVM needs rows of both classes")
         calibrates = bool(stats.rows[:, 1].all() and (stats.rows[:, 0] > stats.rows[:, 1]).all())
+        stats = stats.first(2 if calibrates else 1)     # no margins are asked of a second machine else
         if kernel == "linear":
             fitted = train_machines(rows, items, Positions({i: k for k, i in enumerate(stats.items)}), stats, C, stats.deviation(), max_iter)
         else:
