@@ -19,11 +19,54 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from cartwise.operators.features import basket_items, random_split
-from cartwise.operators.machines import FourierMap, ItemStats, KernelMap, LandmarkMap, Positions, calibrate, item_stats
+from cartwise.operators.machines import MAX_CELLS, Block, FourierMap, ItemStats, KernelMap, LandmarkMap, Positions, calibrate, item_stats
 from cartwise.operators.machines import train as train_machines
 from cartwise.operators.mining import hash_sample
 
 
+def item_sums(names: list, weights: np.ndarray):
+    """Per basket the sums of its known items' weights, one for each column, as a function of its items.
+
+    ``weights`` of three dimensions are items x folds x columns: a basket then takes those of its fold, the
+    function's second argument.  The table is bounded by the catalogue, as the machines' coefficients are.
+    """
+    places, folds = Positions({item: k for k, item in enumerate(names)}), weights.shape[1] if weights.ndim == 3 else 1
+    flat = weights.reshape(len(names) * folds, weights.shape[-1])
+
+    def sums(held: pa.Array, fold: pa.Array | None) -> pa.Array:
+        block = places.encode(held)
+        if fold is not None:
+            block = Block(block.idx * folds + np.repeat(fold.to_numpy(zero_copy_only=False), np.diff(block.ptr)), block.ptr)
+        out = np.empty((block.n, flat.shape[1]))
+        for rows, margins, _ in places.pieces(block, flat):
+            out[rows] = margins
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), out.reshape(-1))
+
+    @F.arrow_udf("array<double>")
+    def of_all(held: pa.Array) -> pa.Array:
+        return sums(held, None)
+
+    @F.arrow_udf("array<double>")
+    def of_fold(held: pa.Array, fold: pa.Array) -> pa.Array:
+        return sums(held, fold)
+
+    return of_all if weights.ndim == 2 else of_fold
+
+
+def _summed(key: str, items: str, names: list, weights: np.ndarray, fold: str | None = None):
+    """``item_sums`` as a column; a null key has no items, as in the joins by key, nor has a basket of no such fold."""
+    known = F.col(key).isNotNull()
+    if fold is None:
+        return item_sums(names, weights)(F.when(known, F.col(items)))
+    known = known & F.col(fold).between(0, weights.shape[1] - 1)
+    return item_sums(names, weights)(F.when(known, F.col(items)), F.when(known, F.col(fold)).otherwise(0).cast("int"))
+
+
+def _collected(params: DataFrame, columns: list) -> tuple[list, np.ndarray]:
+    table = params.select("item", *columns).toArrow()
+    return table.column("item").to_pylist(), np.stack([table.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
+
+
 @dataclass
 class NBModel:
     kind: str                  # "multinomial" | "gaussian"
@@ -31,14 +74,20 @@ class NBModel:
     base: DataFrame            # one row: b0, b1 (class log-prior + per-class constants)
     classes: list
 
-    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
-        """``p1`` = P(label = 1) and ``prediction`` per basket."""
-        sums = (basket_items(baskets, key, items).join(self.params, "item")
-                .groupBy(key).agg(F.sum("w0").alias("s0"), F.sum("w1").alias("s1")))
+    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> DataFrame:
+        """``p1`` = P(label = 1) and ``prediction`` per basket.  ``one_row_a_key`` as in ``label_baskets``: a basket is scored where it lies."""
+        if one_row_a_key and self.params.count() <= MAX_CELLS // 2:
+            names, weights = _collected(self.params, ["w0", "w1"])
+            scored = baskets.withColumn("_s", _summed(key, items, names, weights)).select(
+                *baskets.columns, F.get("_s", F.lit(0)).alias("s0"), F.get("_s", F.lit(1)).alias("s1"))
+        else:
+            sums = (basket_items(baskets, key, items).join(self.params, "item")
+                    .groupBy(key).agg(F.sum("w0").alias("s0"), F.sum("w1").alias("s1")))
+            scored = baskets.join(sums, key, "left")
         b = self.base.first()
         j0 = F.lit(b["b0"]) + F.coalesce(F.col("s0"), F.lit(0.0))
         j1 = F.lit(b["b1"]) + F.coalesce(F.col("s1"), F.lit(0.0))
-        scored = baskets.join(sums, key, "left").withColumn("_d", j0 - j1)
+        scored = scored.withColumn("_d", j0 - j1)
         if self.classes == [0, 1]:
             p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_d")))
             pred = F.when(j1 > j0, 1).otherwise(0)
@@ -128,8 +177,8 @@ def _platt(margin, a: float, b: float):
 class _Margins:
     """What the linear and the kernel machine share: ``prediction`` by the margin's sign, ``p1`` by Platt scaling of it."""
 
-    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
-        scored = self.margins(baskets, key, items)
+    def predict_proba(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> DataFrame:
+        scored = self.margins(baskets, key, items, one_row_a_key)
         return (scored.withColumn("p1", _platt(F.col("_margin"), self.a, self.b))
                 .withColumn("prediction", F.when(F.col("_margin") > 0, 1).otherwise(0)).drop("_margin"))
 
@@ -143,9 +192,12 @@ class SVMModel(_Margins):
     b: float
     classes: list
     passes: int = 0
+    known: tuple | None = None  # (items, weights): the same for tasks that score baskets where they lie
 
-    def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
-        """``_margin`` beside the columns of ``baskets``; unknown items weigh nothing."""
+    def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> DataFrame:
+        """``_margin`` beside the columns of ``baskets``; unknown items weigh nothing.  ``one_row_a_key`` as with ``NBModel``."""
+        if one_row_a_key and self.known is not None:
+            return baskets.withColumn("_margin", F.get(_summed(key, items, self.known[0], self.known[1][:, None]), F.lit(0)) + F.lit(self.intercept))
         sums = basket_items(baskets, key, items).join(self.weights, "item").groupBy(key).agg(F.sum("w").alias("_margin"))
         return baskets.join(sums, key, "left").withColumn("_margin", F.coalesce("_margin", F.lit(0.0)) + F.lit(self.intercept))
 
@@ -161,7 +213,7 @@ class KernelSVMModel(_Margins):
     classes: list
     passes: int = 0
 
-    def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items") -> DataFrame:
+    def margins(self, baskets: DataFrame, key: str = "InvoiceNo", items: str = "Items", one_row_a_key: bool = False) -> DataFrame:
         features, weights, intercept = self.features, self.weights, self.intercept
 
         @F.arrow_udf("double")
@@ -206,7 +258,7 @@ def kernel_map(train: DataFrame, stats: ItemStats, kernel: str, gamma: float | s
 
 def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items",
             kernel: str = "linear", calibration: float = 0.2, seed: int = 42, gamma: float | str = "scale", degree: int = 3,
-            coef0: float = 0.0, n_components: int = 512, max_iter: int = 100) -> SVMModel | KernelSVMModel:
+            coef0: float = 0.0, n_components: int = 512, max_iter: int = 100, one_row_a_key: bool = False) -> SVMModel | KernelSVMModel:
     """Items scaled to unit deviation, a soft-margin machine (hinge with a rounded corner), Platt scaling.
 
     The machine is fitted on all rows.  Platt scaling sees margins of rows that their
@@ -214,6 +266,7 @@ def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str
     ``calibration`` of the rows (by key hash) and scores them.  Where one of the two parts
     lacks a class (tiny data), the margins of the training rows serve.  ``kernel`` other
     than linear goes through ``n_components`` approximate kernel features (see machines).
+    ``one_row_a_key`` as in ``label_baskets``: baskets are scored where they lie.
     """
     if kernel not in KERNELS:
         raise ValueError(f"kernel is one of {', '.join(KERNELS)}, not {kernel!r}")
@@ -233,10 +286,12 @@ def fit_svm(train: DataFrame, C: float = 1.0, key: str = "InvoiceNo", items: str
 
         def model(j: int, a: float = 1.0, b: float = 0.0):
             if kernel == "linear":
-                return SVMModel(weight_table(train.sparkSession, stats.items, fitted.weights[:, j]), float(fitted.bias[j]), a, b, [0, 1], fitted.passes)
+                return SVMModel(weight_table(train.sparkSession, stats.items, fitted.weights[:, j]), float(fitted.bias[j]), a, b, [0, 1], fitted.passes,
+                                (stats.items, fitted.weights[:, j]))
             return KernelSVMModel(features, fitted.weights[:, j], float(fitted.bias[j]), a, b, [0, 1], fitted.passes)
 
-        seen = model(1).margins(rows.filter("is_test"), key, items) if calibrates else model(0).margins(rows, key, items)
+        seen = (model(1).margins(rows.filter("is_test"), key, items, one_row_a_key) if calibrates
+                else model(0).margins(rows, key, items, one_row_a_key))
         seen = seen.select("_margin", "label").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return model(0, *calibrate(seen))
@@ -261,7 +316,7 @@ def _has_both(df: DataFrame) -> bool:
 FITTERS = {
     "nb": lambda train, vocab, one_row_a_key: fit_multinomial_nb(train, vocab, one_row_a_key=one_row_a_key),
     "gnb": lambda train, vocab, one_row_a_key: fit_gaussian_nb(train, vocab, one_row_a_key=one_row_a_key),
-    "svm": lambda train, vocab, one_row_a_key: fit_svm(train),
+    "svm": lambda train, vocab, one_row_a_key: fit_svm(train, one_row_a_key=one_row_a_key),
 }
 
 
@@ -278,7 +333,7 @@ def fit_all_with_random_split(data: DataFrame, vocab: DataFrame, names=("nb", "g
     models = fit_all(data.filter(~F.col("is_test")), vocab, names, one_row_a_key)
     test, scored = data.filter("is_test"), None
     for n, m in models.items():
-        rows = m.predict_proba(test).select(F.lit(n).alias("model"), "label", "prediction")
+        rows = m.predict_proba(test, one_row_a_key=one_row_a_key).select(F.lit(n).alias("model"), "label", "prediction")
         scored = rows if scored is None else scored.unionByName(rows)
     return models, grouped_metrics(scored, ["model"])
 
@@ -322,10 +377,19 @@ def _fold_counts(data: DataFrame, vocab: DataFrame, n_splits: int, key: str, ite
     return long, grid, rest
 
 
-def _score_folds(data: DataFrame, long: DataFrame, params: DataFrame, base: DataFrame, key: str) -> DataFrame:
-    """key, fold, label, p1, prediction; a training set of one class says that class."""
-    sums = (long.join(params, ["fold", "item"]).groupBy(key).agg(F.sum("w0").alias("s0"), F.sum("w1").alias("s1")))
-    scored = data.select(key, "fold", "label").join(sums, key, "left").join(base, "fold")
+def _score_folds(data: DataFrame, long: DataFrame, params: DataFrame, base: DataFrame, key: str, items: str, n_splits: int, one_row_a_key: bool) -> DataFrame:
+    """key, fold, label, p1, prediction; a training set of one class says that class.  ``one_row_a_key`` as with ``NBModel``."""
+    if one_row_a_key and params.count() <= MAX_CELLS // 2:
+        table = params.select("fold", "item", "w0", "w1").toArrow()
+        at = table.column("item").combine_chunks().dictionary_encode()
+        weights = np.zeros((len(at.dictionary), n_splits, 2))
+        weights[at.indices.to_numpy(), table.column("fold").to_numpy()] = np.stack([table.column(c).to_numpy() for c in ("w0", "w1")], axis=1)
+        scored = (data.select(key, "fold", "label", _summed(key, items, at.dictionary.to_pylist(), weights, "fold").alias("_s"))
+                  .select(key, "fold", "label", F.get("_s", F.lit(0)).alias("s0"), F.get("_s", F.lit(1)).alias("s1"))
+                  .join(F.broadcast(base), "fold"))       # a row for each fold
+    else:
+        sums = (long.join(params, ["fold", "item"]).groupBy(key).agg(F.sum("w0").alias("s0"), F.sum("w1").alias("s1")))
+        scored = data.select(key, "fold", "label").join(sums, key, "left").join(base, "fold")
     j0 = F.col("b0") + F.coalesce(F.col("s0"), F.lit(0.0))
     j1 = F.col("b1") + F.coalesce(F.col("s1"), F.lit(0.0))
     no0, no1 = F.col("r0") == 0, F.col("r1") == 0
@@ -350,7 +414,7 @@ def cv_multinomial_nb(data: DataFrame, vocab: DataFrame, n_splits: int, alpha: f
         F.log((F.col("c1") + alpha) / (F.col("t1") + alpha * v)).alias("w1"))
     n = F.col("r0") + F.col("r1")
     base = rest.select("fold", "r0", "r1", F.log(F.col("r0") / n).alias("b0"), F.log(F.col("r1") / n).alias("b1"))
-    return _score_folds(data, long, params, base, key)
+    return _score_folds(data, long, params, base, key, items, n_splits, one_row_a_key)
 
 
 def cv_gaussian_nb(data: DataFrame, vocab: DataFrame, n_splits: int, var_smoothing: float = 1e-9,
@@ -376,16 +440,17 @@ def cv_gaussian_nb(data: DataFrame, vocab: DataFrame, n_splits: int, var_smoothi
     n = F.col("r0") + F.col("r1")
     prior = lambda c: F.log(F.col(f"r{c}") / n) + F.coalesce(F.col(f"z{c}"), F.lit(0.0))
     base = rest.join(absent, "fold", "left").select("fold", "r0", "r1", prior(0).alias("b0"), prior(1).alias("b1"))
-    return _score_folds(data, long, params.select("fold", "item", "w0", "w1"), base, key)
+    return _score_folds(data, long, params.select("fold", "item", "w0", "w1"), base, key, items, n_splits, one_row_a_key)
 
 
-def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items", max_iter: int = 100) -> DataFrame:
+def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo", items: str = "Items", max_iter: int = 100,
+           one_row_a_key: bool = False) -> DataFrame:
     """L13 for the SVM: all folds' machines in the same passes; key, fold, label, prediction.
 
     Machine k is fitted on all rows of the other folds.  The margins of all machines are
     columns of one sum per basket, of which the basket's own fold takes its own.  The class
     is the sign of the margin, so no Platt scaling is fitted.  A training set of one class
-    says that class.
+    says that class.  ``one_row_a_key`` as in ``label_baskets``: a basket is scored where it lies.
     """
     stats = item_stats(data.withColumn("left_out", F.col("fold")), items, n_splits)
     if not stats.n.any():
@@ -393,20 +458,24 @@ def cv_svm(data: DataFrame, n_splits: int, C: float = 1.0, key: str = "InvoiceNo
     fitted = train_machines(data.withColumn("left_out", F.col("fold")), items, Positions({i: k for k, i in enumerate(stats.items)}),
                             stats, C, stats.deviation(), max_iter)
     spark = data.sparkSession
-    long = basket_items(data.filter(F.col("fold").between(0, n_splits - 1)), key, items).join(data.select(key, "fold"), key)
-    sums = (long.join(weight_table(spark, stats.items, fitted.weights), "item").groupBy(key)
-            .agg(F.sum(F.get("w", F.col("fold"))).alias("_margin")))
     known = [(k, float(fitted.bias[k]), bool(stats.rows[:, k].all()), int(stats.rows[1, k] > 0))
              for k in range(n_splits) if stats.n[k]]
     folds = spark.createDataFrame(known, "fold int, _bias double, _both boolean, _only int")
     margin = F.coalesce("_margin", F.lit(0.0)) + F.col("_bias")
     prediction = F.when(~F.col("_both"), F.col("_only")).otherwise(F.when(margin > 0, 1).otherwise(0))
-    return (data.select(key, "fold", "label").join(folds, "fold").join(sums, key, "left")
-            .select(key, "fold", "label", prediction.alias("prediction")))
+    if one_row_a_key:
+        own = F.get(_summed(key, items, stats.items, fitted.weights[:, :, None], "fold"), F.lit(0))
+        scored = data.select(key, "fold", "label", own.alias("_margin")).join(F.broadcast(folds), "fold")
+    else:
+        long = basket_items(data.filter(F.col("fold").between(0, n_splits - 1)), key, items).join(data.select(key, "fold"), key)
+        sums = (long.join(weight_table(spark, stats.items, fitted.weights), "item").groupBy(key)
+                .agg(F.sum(F.get("w", F.col("fold"))).alias("_margin")))
+        scored = data.select(key, "fold", "label").join(folds, "fold").join(sums, key, "left")
+    return scored.select(key, "fold", "label", prediction.alias("prediction"))
 
 
 CROSS_VALIDATORS = {
     "nb": lambda data, vocab, n_splits, one_row_a_key: cv_multinomial_nb(data, vocab, n_splits, one_row_a_key=one_row_a_key),
     "gnb": lambda data, vocab, n_splits, one_row_a_key: cv_gaussian_nb(data, vocab, n_splits, one_row_a_key=one_row_a_key),
-    "svm": lambda data, vocab, n_splits, one_row_a_key: cv_svm(data, n_splits),
+    "svm": lambda data, vocab, n_splits, one_row_a_key: cv_svm(data, n_splits, one_row_a_key=one_row_a_key),
 }

@@ -204,8 +204,8 @@ def l14(spark, sf):
 def l09(spark, sf):
     """Margin classes and Platt probabilities of the test baskets (no SQL twin: an iterative fit)."""
     data = split(spark, sf)
-    svm = MD.fit_svm(data.filter(~F.col("is_test")))
-    return svm.predict_proba(data.filter("is_test")).select("InvoiceNo", "label", F.round("p1", 6).alias("p1"), "prediction")
+    svm = MD.fit_svm(data.filter(~F.col("is_test")), one_row_a_key=True)
+    return svm.predict_proba(data.filter("is_test"), one_row_a_key=True).select("InvoiceNo", "label", F.round("p1", 6).alias("p1"), "prediction")
 
 
 def _kernel_scores(spark, sf, kernel):
@@ -241,7 +241,7 @@ def compared_scores(spark, sf, names, ensemble=()):
     models = MD.fit_all(data.filter(~F.col("is_test")), vocab_of(spark, sf), names, one_row_a_key=True)
     scores = None
     for n, m in models.items():
-        rows = m.predict_proba(data.filter("is_test")).select(
+        rows = m.predict_proba(data.filter("is_test"), one_row_a_key=True).select(
             F.col("InvoiceNo").alias("request_id"), F.lit(n).alias("model"), F.round("p1", 6).alias("confidence"))
         scores = rows if scores is None else scores.unionByName(rows)
     return MT.side_by_side(scores, models=list(names), ensemble=ensemble)
